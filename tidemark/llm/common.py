@@ -65,3 +65,20 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, F.col("__llm_offset") + within)
         .drop("__llm_part", "__llm_offset", "__llm_at")
     )
+
+
+#: Keys with over this share of the rows are joined by broadcast: at most 1 / HOT_SHARE of them exist.
+HOT_SHARE = 1e-3
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with per_key, which has one row for each key of rows and in ``count`` its rows there.
+
+    Keys with very many rows, of which there can be only a thousand, are joined by broadcast, so that
+    no task gets all rows of one; the others are joined by shuffle.
+    """
+    hot = F.col(count) > F.lit(max(1000, int(total * HOT_SHARE)))
+    added = [c for c in per_key.columns if c != key]
+    near = rows.join(F.broadcast(per_key.filter(hot)), key, "left")
+    cold = near.filter(F.col(count).isNull()).drop(*added).join(per_key.filter(~hot), key)
+    return near.filter(F.col(count).isNotNull()).unionByName(cold)

@@ -17,12 +17,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint
+from .common import ascii_lower, checkpoint, join_counted
 
 #: Filter words that may be broadcast (about 50 bytes each in a hash table). Larger filters are joined by shuffle.
 BROADCAST_WORDS = 1 << 20
-#: Groups of over this share of the rows are joined by broadcast: at most 1 / HOT_SHARE of them exist.
-HOT_SHARE = 1e-3
 
 
 def _normal(text: str) -> Column:
@@ -87,18 +85,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.max_by("__llm_row", "__llm_id"), F.max("__llm_row")).alias("__llm_keep_row"),
         F.count("*").alias("group_size"),
     )
-    is_hot = F.col("group_size") > F.lit(max(1000, int(n * HOT_SHARE)))
-    near = possible.join(F.broadcast(groups.filter(is_hot)), "text_sha256", "left")
-    in_hot = near.filter("group_size is not null")
-    in_cold = near.filter("group_size is null").drop("keep_id", "__llm_keep_row", "group_size").join(groups.filter(~is_hot), "text_sha256")
+    shared = join_counted(possible, groups, "text_sha256", "group_size", n)
     alone = flagged.filter(~F.col("__llm_possible")).select(
         F.col("__llm_id").alias(id_col), F.col("__llm_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    for part in (in_hot, in_cold):
-        alone = alone.unionByName(
-            part.select(F.col("__llm_id").alias(id_col), "keep_id", "group_size", (F.col("__llm_row") == F.col("__llm_keep_row")).alias("kept"), "text_sha256")
-        )
-    return alone
+    return alone.unionByName(
+        shared.select(F.col("__llm_id").alias(id_col), "keep_id", "group_size", (F.col("__llm_row") == F.col("__llm_keep_row")).alias("kept"), "text_sha256")
+    )
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
