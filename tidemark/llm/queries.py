@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CONTROL, chat_digests, format_chat, marked_conversation
@@ -12,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .mixing import plan_mix
 from .simhash import near_duplicates
+from .token_files import read_tokens, write_tokens
 from .warc import LEAST, read_bundles, write_bundles
 
 
@@ -27,6 +29,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(format_chat(turns.unionByName(marked_conversation(spark))))
@@ -45,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash": op3_simhash,
+    "op4_token_files": op4_token_files,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
