@@ -12,6 +12,7 @@ from .common import UPPER, table
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .mixing import plan_mix
+from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_files import read_tokens, write_tokens
 from .warc import LEAST, read_bundles, write_bundles
@@ -34,6 +35,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(format_chat(turns.unionByName(marked_conversation(spark))))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op6_secret_scan": op6_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
