@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .chat import CONTROL, chat_digests, format_chat, marked_conversation
 from .common import UPPER, table
 from .exact_dedup import exact_dedup
@@ -35,6 +36,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_secret_scan": op6_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
