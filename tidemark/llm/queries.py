@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .chat import CONTROL, chat_digests, format_chat, marked_conversation
 from .common import UPPER, table
 from .exact_dedup import exact_dedup
 from .langid import language_id
+from .lattice import decode, encode
 from .mixing import plan_mix
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -44,6 +46,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Per document: the number of its pieces, the CRC-32 of their ids in decimal and joined by commas, and the digest of the text they decode to."""
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    read = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join("pieces", ",")
+    return read.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.crc32(listed.cast("binary")).alias("pieces_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(format_chat(turns.unionByName(marked_conversation(spark))))
@@ -65,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,

@@ -278,5 +278,5 @@ def _reader(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files."""
-    return files.select("file", "base").repartition("file").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files by a task each."""
+    return files.select("file", "base").repartition(max(1, files.count())).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")

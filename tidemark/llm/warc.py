@@ -217,5 +217,6 @@ def _reader(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """All records of the bundles that the index names, read back from their frames (columns of READ)."""
-    return index.select("bundle").distinct().repartition("bundle").mapInArrow(_reader, READ)
+    """All records of the bundles that the index names, read back from their frames by a task each (columns of READ)."""
+    bundles = checkpoint(index.select("bundle").distinct())
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(_reader, READ)
