@@ -33,9 +33,10 @@ def test_viterbi_takes_the_best_path(spark):
     table = {"".join(rng.choices("abc", k=rng.randint(1, 4))): -rng.random() * 9 for _ in range(25)} | {"a": -5.0, "b": -6.5}
     ids = {p: i for i, p in enumerate(table)}
     words = ["".join(rng.choices("abcé", k=rng.randint(1, 12))) for _ in range(80)]
-    frame = spark.createDataFrame([("", -1, 0.0), *((p, ids[p], s) for p, s in table.items())], "piece string, id int, score double")
-    edges = lattice.lattice(spark.createDataFrame([(w,) for w in set(words)], "word string"), frame, 4)
-    got = {r.word: r.ids for r in lattice.segment(edges, lattice.viterbi_fold(), 1000).collect()}
+    model = lattice.Pieces.__new__(lattice.Pieces)
+    model.normal, model.longest, model.first_byte = [(p, ids[p], s) for p, s in table.items()], 4, 1000
+    model.scores = sorted(set(table.values()), reverse=True)
+    got = {r.word: r.ids for r in lattice.encode_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), model, "unigram").collect()}
     score = {i: table[p] for p, i in ids.items()}
 
     def best(word):

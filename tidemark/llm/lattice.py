@@ -25,11 +25,11 @@ sign U+2581, which reads as a space.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -39,10 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import new_folder
+
 SPACE = "▁"
 UNIT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|\p{{Nd}}|[^\p{{L}}\p{{M}}\p{{Nd}}{SPACE}]+)|{SPACE}+")
+#: The same, faster, for texts of ASCII and Latin-1.
+_LATIN_UNIT = re.compile(f"{SPACE}*(?:[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9{SPACE}]+)|{SPACE}+").findall
+_ALL_LATIN = re.compile(f"[\\x00-ÿ{SPACE}]*").fullmatch
 LONGEST = 61
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 _CLASS = regex.compile(r"([\p{L}\p{M}])|(\p{Nd})")
 
 
@@ -51,6 +56,11 @@ def _class(c: str) -> str:
     return "space" if c == SPACE else "sign" if not m else "letter" if m[1] else "digit"
 
 
+def _constant(values: Sequence[float | None], kind: str) -> Column:
+    """An array of numbers as one literal."""
+    return F.from_json(F.lit("[" + ",".join("null" if v is None else repr(v) for v in values) + "]"), f"array<{kind}>")
+
+
 class Pieces:
     """The piece table of a model file."""
 
@@ -61,6 +71,8 @@ class Pieces:
         n = m.get_piece_size()
         self.normal = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.longest = max(len(p) for p, _, _ in self.normal)
+        #: Different scores, best first; a piece's rank is the place of its score.
+        self.scores = sorted({x for _, _, x in self.normal}, reverse=True)
         self.first_byte = m.piece_to_id("<0x00>")
         if [m.id_to_piece(self.first_byte + b) for b in range(256)] != [f"<0x{b:02X}>" for b in range(256)]:
             raise ValueError("the model has no byte pieces in a row")
@@ -75,8 +87,18 @@ class Pieces:
         return self.model.encode("\n" + unit.replace(SPACE, " "))[2:]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The normal pieces, and the empty one as -1."""
-        return spark.createDataFrame([("", -1, 0.0), *self.normal], "piece string, id int, score double")
+        """(piece, id, rank) of the pieces of two and more characters, and the empty one as -1."""
+        place = {x: i for i, x in enumerate(self.scores)}
+        return spark.createDataFrame([("", -1, 0), *((p, i, place[x]) for p, i, x in self.normal if len(p) > 1)], "piece string, id int, rank int")
+
+    def tables(self, kind: str) -> dict[str, Column]:
+        """What a fold looks up: constant arrays by code point and by rank."""
+        ids = {ord(p): (i, x) for p, i, x in self.normal if len(p) == 1}
+        points = range(max(ids, default=0) + 1)
+        out = {"char_ids": _constant([ids[c][0] if c in ids else None for c in points], "int")}
+        if kind != "bpe":
+            out |= {"char_scores": _constant([ids[c][1] if c in ids else None for c in points], "double"), "scores": _constant(self.scores, "double")}
+        return out
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -94,65 +116,78 @@ def _plain(unit: str) -> bool:
 
 
 def units(text: str) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    if not text:
+        return []
+    marked = SPACE + text.replace(" ", SPACE)
+    return _LATIN_UNIT(marked) if _ALL_LATIN(marked) else UNIT.findall(marked)
 
 
 _BIT = "shiftleft(1L, {})"
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): for each different word, the pieces within it as an array of (rank, start, end, id, score)."""
-    starts = F.explode(F.sequence(F.lit(0), F.length("word") - 1))
-    first = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 1)  # the empty start keeps units without any piece
+    """(word, edges): for each different word, the pieces of two and more characters within it.
+
+    An edge is one long: the rank, 6 bits each of start and end, 20 of id; so that edges are grouped and
+    sorted as numbers, by rank and place. ``table`` has piece, id and rank, and the empty piece, which
+    keeps words that have no other, with id -1. Words hold at most LONGEST characters.
+    """
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("word") - 2, F.lit(0))))
+    first = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 2)
     ends = F.explode(F.sequence(first, F.least(F.col("start") + longest, F.length("word"))))
-    parts = words.repartition("word").withColumn("start", starts).withColumn("end", ends)
+    parts = words.withColumn("hash", F.xxhash64("word")).repartition("hash").withColumn("start", starts).withColumn("end", ends)
     parts = parts.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    bounds = F.expr(f"{_BIT.format('start')} | {_BIT.format('end')}").alias("ends")
-    inner = F.expr(f"({_BIT.format('end')} - 1) & ~({_BIT.format('start + 1')} - 1)").alias("inner")
-    edge = F.struct((-F.col("score")).alias("rank"), "start", "end", "id", bounds, inner)
-    found = parts.join(F.broadcast(table), "piece").groupBy("word").agg(F.collect_list(F.when(F.col("id") >= 0, edge)).alias("edges"))
-    return found.withColumn("edges", F.sort_array("edges"))
-
-
-def merge_fold() -> Column:
-    """Boundaries left by BPE, as bits: edges are in order of rank and place, and the first that spans two pieces merges them."""
-    return F.expr(f"""
-        aggregate(
-            sequence(1, length(word)),
-            {_BIT.format('length(word) + 1')} - 1,
-            (bits, i) -> coalesce(bits & ~get(filter(edges, e -> (bits & e.ends) = e.ends and bit_count(bits & e.inner) = 1), 0).inner, bits))""")
-
-
-def viterbi_fold(unknown: float = -100.0) -> Column:
-    """Boundaries of the path with the best total score, as bits. Characters without a piece cost ``unknown``."""
-    return F.expr(f"""
-        aggregate(
-            sequence(1, length(word)),
-            array(struct(0D as score, 1L as bits)),
-            (best, at) -> concat(best, array(array_max(concat(
-                array(struct(best[at - 1].score + {unknown}D as score, best[at - 1].bits | {_BIT.format('at')} as bits)),
-                transform(filter(edges, e -> e.end = at),
-                          e -> struct(best[e.start].score - e.rank as score, best[e.start].bits | {_BIT.format('at')} as bits)))))),
-            best -> element_at(best, -1).bits)""")
-
-
-def segment(edges: DataFrame, fold: Column, first_byte: int) -> DataFrame:
-    """(word, ids): the pieces between the boundaries that a fold leaves; bytes where there is no piece."""
-    cut = edges.withColumn("bits", fold).withColumn("at", F.expr(f"filter(sequence(0, length(word)), i -> (bits & {_BIT.format('i')}) <> 0)"))
-    ids = "transform(slice(at, 1, size(at) - 1), (s, j) -> get(filter(edges, e -> e.start = s and e.end = at[j + 1]), 0).id)"
-    raw = f"""flatten(transform(slice(at, 1, size(at) - 1), (s, j) -> if(
-        exists(edges, e -> e.start = s and e.end = at[j + 1]),
-        transform(slice(filter(edges, e -> e.start = s and e.end = at[j + 1]), 1, 1), e -> e.id),
-        transform(sequence(1, octet_length(substring(word, s + 1, 1))),
-                  k -> {first_byte} + cast(conv(substring(hex(encode(substring(word, s + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int)))))"""
-    plain = cut.withColumn("ids", F.expr(ids))
-    return plain.select("word", F.when(F.exists("ids", lambda i: i.isNull()), F.expr(raw)).otherwise(F.col("ids")).alias("ids"))
+    edge = F.expr("shiftleft(cast(rank as bigint), 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(end as bigint), 20) | id")
+    found = parts.join(F.broadcast(table), "piece").groupBy("hash", "word").agg(F.collect_list(F.when(F.col("id") >= 0, edge)).alias("edges"))
+    unpacked = F.expr(f"""transform(sort_array(edges), x -> struct(
+        cast(x & 1048575 as int) as id, cast(shiftright(x, 26) & 63 as int) as start, cast(shiftright(x, 20) & 63 as int) as end, cast(shiftright(x, 32) as int) as rank,
+        {_BIT.format('cast(shiftright(x, 26) & 63 as int)')} | {_BIT.format('cast(shiftright(x, 20) & 63 as int)')} as ends,
+        ({_BIT.format('cast(shiftright(x, 20) & 63 as int)')} - 1) & ~({_BIT.format('cast(shiftright(x, 26) & 63 as int) + 1')} - 1) as inner))""")
+    return found.select("word", unpacked.alias("edges"))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body with a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _segment(first_byte: int) -> str:
+    """SQL of the ids between the boundaries ``bits``: the edges there, single characters by code point, or bytes where there is no piece."""
+    char = "substring(word, s + 1, 1)"
+    at = f"filter(sequence(0, length(word) - 1), s -> (bits & {_BIT.format('s')}) <> 0)"
+    piece = f"coalesce(get(filter(found, e -> e.start = s), 0).id, get(char_ids, ascii({char})))"
+    raw = f"""flatten(transform({at}, s -> if({piece} is not null, array({piece}),
+        transform(sequence(1, octet_length({char})), k -> {first_byte} + cast(conv(substring(hex(encode({char}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int)))))"""
+    found = "filter(edges, e -> (bits & e.ends) = e.ends and (bits & e.inner) = 0)"
+    return _let("found", found, _let("ids", f"transform({at}, s -> {piece})", f"if(exists(ids, i -> i is null), {raw}, ids)"))
+
+
+def merge_fold(first_byte: int) -> Column:
+    """BPE: of the edges, in order of rank and place, the first that spans two present pieces merges them, until none is left."""
+    done = _BIT.format(62)
+    bits = f"""aggregate(sequence(1, length(word)), {_BIT.format('length(word) + 1')} - 1,
+        (bits, i) -> if((bits & {done}) <> 0, bits, coalesce(
+            bits & ~get(filter(edges, e -> (bits & e.ends) = e.ends and bit_count(bits & e.inner) = 1), 0).inner, bits | {done}))) & ~{done}"""
+    return F.expr(_let("bits", bits, _segment(first_byte)))
+
+
+def viterbi_fold(first_byte: int, unknown: float = -100.0) -> Column:
+    """Unigram: the path of the best total score, by rank in ``scores`` and by code point in ``char_scores``.
+
+    Characters without a piece cost ``unknown``.
+    """
+    char = f"coalesce(get(char_scores, ascii(substring(word, at, 1))), {unknown}D)"
+    bits = f"""element_at(aggregate(sequence(1, length(word)), array(struct(0D as score, 1L as bits)),
+        (best, at) -> concat(best, array(array_max(concat(
+            array(struct(best[at - 1].score + {char} as score, best[at - 1].bits | {_BIT.format('at')} as bits)),
+            transform(filter(edges, e -> e.end = at), e -> struct(best[e.start].score + scores[e.rank] as score, best[e.start].bits | {_BIT.format('at')} as bits))))))), -1).bits"""
+    return F.expr(_let("bits", bits, _segment(first_byte)))
 
 
 def encode_words(words: DataFrame, model: Pieces, kind: str = "bpe") -> DataFrame:
     """(word, ids) for the different words of a table with one column of that name."""
-    fold = {"bpe": merge_fold, "unigram": viterbi_fold}[kind]()
-    return segment(lattice(words, model.table(words.sparkSession), model.longest), fold, model.first_byte)
+    edges = lattice(words, model.table(words.sparkSession), model.longest).withColumns(model.tables(kind))
+    return edges.select("word", (merge_fold if kind == "bpe" else viterbi_fold)(model.first_byte).alias("ids"))
 
 
 def _pack(data: bytes) -> bytes:
@@ -183,11 +218,8 @@ def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[str,
         yield name(), ids, texts
 
 
-def _by_bucket(texts: Iterable[str], buckets: int) -> dict[int, list[str]]:
-    """The different units of some texts, in order in each bucket."""
-    seen: set[str] = set()
-    for text in texts:
-        seen.update(units(text))
+def _by_bucket(seen: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """The different units of a chunk that the lattice takes, in order in each bucket."""
     by: dict[int, list[str]] = {}
     for u in sorted(filter(_plain, seen)):
         by.setdefault(zlib.crc32(u.encode()) % buckets, []).append(u)
@@ -199,7 +231,10 @@ def _deal_units(buckets: int, size: int) -> Callable:
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, texts in _chunks(batches, size):
-            by = _by_bucket(texts, buckets)
+            seen: set[str] = set()
+            for text in texts:
+                seen.update(units(text))
+            by = _by_bucket(seen, buckets)
             packed = [_pack("\0".join(x).encode()) for x in by.values()]
             yield pa.RecordBatch.from_arrays([pa.array(by.keys(), pa.int32()), pa.array([name] * len(by), pa.string()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "units"])
 
@@ -254,40 +289,76 @@ def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["chunk", "bucket", "packed"])
 
 
-def _assemble(path: str, id_type: pa.DataType, buckets: int) -> Callable:
+class _Chunk:
+    """The texts of a chunk as numbers of their units, and the ids of each unit as these come in."""
+
+    def __init__(self, packed: bytes, buckets: int):
+        table = pa.ipc.open_stream(_unpack(packed)).read_all().combine_chunks()
+        self.ids, self.number, self.docs = table.column("id").combine_chunks(), {}, []
+        number = self.number
+        for text in table.column("text"):
+            self.docs.append(np.array([number.setdefault(u, len(number)) for u in units(text.as_py())], np.int32))
+        self.by = _by_bucket(number, buckets)
+        self.known: list[np.ndarray | None] = [None] * len(number)
+
+    def learn(self, bucket: int, answers: list[bytes]) -> None:
+        for u, a in zip(self.by.pop(bucket), answers, strict=True):
+            self.known[self.number[u]] = np.array(a.split(b","), np.int32)
+
+    def finish(self, model: Pieces) -> Iterator[pa.RecordBatch]:
+        if self.by:
+            raise ValueError("the texts differ between two readings; write them to a table first")
+        for u, i in self.number.items():
+            if not _plain(u):
+                self.known[i] = np.array(model.long_unit(u), np.int32)
+        size = np.array([len(x) for x in self.known], np.int64)
+        first = np.r_[0, np.cumsum(size)]
+        flat = np.concatenate([np.empty(0, np.int32), *self.known])
+        for at in range(0, len(self.docs), 64):
+            some = self.docs[at : at + 64]
+            u = np.concatenate(some)
+            ends = np.cumsum(size[u])
+            take = np.arange(ends[-1] if len(u) else 0) + np.repeat(first[u] - (ends - size[u]), size[u])
+            bounds = np.r_[0, ends][np.r_[0, np.cumsum([len(x) for x in some])]]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[take]))
+            yield pa.RecordBatch.from_arrays([self.ids.slice(at, len(some)), lists], names=["__llm_id", "pieces"])
+
+
+def _assemble(path: str, buckets: int) -> Callable:
     """Rows sorted by chunk, first its texts, then the ids of its units by bucket: the ids of the texts."""
 
-    def ids(text: str, known: dict[str, list[int]]) -> list[int]:
-        out: list[int] = []
-        for u in units(text):
-            out += known[u] if _plain(u) else pieces(path).long_unit(u)
-        return out
-
-    def finish(table: pa.Table | None, known: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
-        for batch in table.to_batches(max_chunksize=64) if table else ():
-            found = [ids(x, known) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["__llm_id", "pieces"])
-
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, table, by = None, {}, None, {}
+        now, held = None, None
         for batch in batches:
             for chunk, bucket, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
-                    yield from finish(table, known)
-                    now, known, table, by = chunk, {}, None, {}
+                    if held:
+                        yield from held.finish(pieces(path))
+                    now, held = chunk, None
                 if bucket < 0:
-                    table = pa.ipc.open_stream(_unpack(packed)).read_all()
-                    by = _by_bucket(table.column("text").to_pylist(), buckets)
-                elif table is None or bucket not in by:
+                    held = _Chunk(packed, buckets)
+                elif held is None or bucket not in held.by:
                     raise ValueError("the texts differ between two readings; write them to a table first")
                 else:
-                    answers = _unpack(packed).split(b"\0")
-                    known.update(zip(by[bucket], ([int(x) for x in a.split(b",")] for a in answers), strict=True))
-        yield from finish(table, known)
+                    held.learn(bucket, _unpack(packed).split(b"\0"))
+        if held:
+            yield from held.finish(pieces(path))
 
     return put
 
 
+def _written(answers: DataFrame) -> DataFrame:
+    """answers, written to the shared folder. Edges are grouped by sorting, which spills and is faster here than hashed objects."""
+    spark, name = answers.sparkSession, "spark.sql.execution.useObjectHashAggregateExec"
+    before, folder = spark.conf.get(name), new_folder(spark, "pieces")
+    spark.conf.set(name, "false")
+    try:
+        answers.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(answers.schema).parquet(folder)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe", buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, pieces array<int>) for each row of docs."""
     spark, model = docs.sparkSession, pieces(path)
@@ -298,26 +369,30 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     asked = rows.mapInArrow(_deal_units(buckets, chunk_bytes), "bucket int, chunk string, units binary").repartition(buckets, "bucket")
     words = asked.sortWithinPartitions("bucket").mapInArrow(_different, "word string")
     bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("int").alias("bucket")
-    told = encode_words(words, model, kind).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
+    told = _written(encode_words(words, model, kind)).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
     both = told.unionByName(asked, allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
     known = both.mapInArrow(_answer, "chunk string, bucket int, packed binary")
     texts = rows.mapInArrow(_deal_texts(id_type, chunk_bytes), "chunk string, bucket int, packed binary")
     by_chunk = texts.unionByName(known).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     schema = T.StructType([T.StructField("__llm_id", spark_type), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return by_chunk.mapInArrow(_assemble(path, id_type, buckets), schema).withColumnRenamed("__llm_id", id_col)
+    return by_chunk.mapInArrow(_assemble(path, buckets), schema).withColumnRenamed("__llm_id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "pieces", name: str = "decoded") -> DataFrame:
-    """encoded with the text of its pieces."""
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "pieces", name: str = "decoded") -> DataFrame:
+    """(id, pieces, text of the pieces)."""
 
-    def text(ids: Iterable[int] | None) -> str | None:
-        if ids is None:
+    def text(ids: pa.Scalar) -> str | None:
+        if not ids.is_valid:
             return None
-        table = pieces(path).bytes
-        raw = b"".join([table[i] for i in np.asarray(ids).tolist()])
-        return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
-
-    def decoded(column: pd.Series) -> pd.Series:
-        return pd.Series([text(x) for x in column], dtype=object)
-
-    return encoded.withColumn(name, F.pandas_udf(decoded, "string")(F.col(ids_col)))
+        raw = b"".join(map(pieces(path).bytes.__getitem__, ids.values.to_pylist()))
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+    def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = pa.array([text(x) for x in batch.column(1)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[id_col, ids_col, name])
+
+    rows = encoded.select(id_col, ids_col)
+    return rows.mapInArrow(decoded, T.StructType([*rows.schema, T.StructField(name, T.StringType())]))
