@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables."""
 
-from . import series
+from . import panel, pit, series
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "series"]
+__all__ = ["ORACLE_SQL", "QUERIES", "panel", "pit", "series"]
