@@ -19,7 +19,7 @@ def isin_valid(text: Column) -> Column:
     """Two letters, nine characters and a check digit by Luhn over the letters as numbers."""
     order = F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: (F.position(F.substr(text, i, F.lit(1)), order) - 1).cast("string")), "")
-    return F.coalesce(text.rlike(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.luhn_check(numbers), F.lit(False))
+    return F.coalesce(text.rlike(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.call_function("luhn_check", numbers), F.lit(False))
 
 
 #: Legal forms that a company's name can carry.

@@ -42,7 +42,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
     Both sides are put in one order per key and the last value is carried on: one shuffle and one
     sort, however many right rows match, and no pairs are made. Left rows without a match stay, with nulls.
     """
-    last = 0 if forward == strict else 1  # of equal times, which side comes first in the order
+    last = 0 if strict else 1  # of equal times, the side with the larger number comes first
     value = F.struct(F.col(right_time).alias("__at"), *take)
     both = left.select("*", F.col(left_time).alias("__t"), F.lit(1 - last).alias("__side"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("__v"), F.lit(True).alias("__keep"))
     others = right.select(*keys, F.col(right_time).alias("__t"), F.lit(last).alias("__side"), value.alias("__v"), F.lit(False).alias("__keep")).filter("__t is not null")

@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables."""
 
-from . import panel, pit, series
+from . import flow, panel, pit, series, trades
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "panel", "pit", "series"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flow", "panel", "pit", "series", "trades"]
