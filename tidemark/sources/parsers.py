@@ -12,7 +12,7 @@ _RECENT = "struct<accessionNumber:array<string>,form:array<string>,filingDate:ar
 
 def filings(docs: DataFrame, content: str) -> DataFrame:
     """A company's list of filings, a JSON of parallel arrays, as a row each."""
-    parsed = docs.withColumn("__j", F.from_json(F.col(content).cast("string"), f"cik:string,filings:struct<recent:{_RECENT}>"))
+    parsed = docs.withColumn("__j", F.from_json(F.col(content).cast("string"), f"cik string, filings struct<recent:{_RECENT}>"))
     names = ["accessionNumber", "form", "filingDate", "reportDate", "acceptanceDateTime"]
     zipped = F.arrays_zip(*[F.col(f"__j.filings.recent.{n}").alias(n) for n in names])
     rows = parsed.select(F.col("__j.cik").alias("cik"), F.explode(zipped).alias("f"))
@@ -22,7 +22,7 @@ def filings(docs: DataFrame, content: str) -> DataFrame:
 def company_facts(docs: DataFrame, content: str) -> DataFrame:
     """Nested taxonomy, concept and unit maps of facts as a row for each fact."""
     fact = "array<struct<start:string,`end`:string,val:double,accn:string,form:string,filed:string>>"
-    kind = f"cik:string,facts:map<string,map<string,struct<units:map<string,{fact}>>>>"
+    kind = f"cik string, facts map<string,map<string,struct<units:map<string,{fact}>>>>"
     j = docs.select(F.from_json(F.col(content).cast("string"), kind).alias("j"))
     a = j.select("j.cik", F.explode("j.facts").alias("taxonomy", "c"))
     b = a.select("cik", "taxonomy", F.explode("c").alias("concept", "u"))
