@@ -47,7 +47,7 @@ UNIT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|\p{{Nd}}|[^\p{{L}}\p{{M}}\p
 _LATIN_UNIT = re.compile(f"{SPACE}*(?:[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9{SPACE}]+)|{SPACE}+").findall
 _ALL_LATIN = re.compile(f"[\\x00-ÿ{SPACE}]*").fullmatch
 LONGEST = 61
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _CLASS = regex.compile(r"([\p{L}\p{M}])|(\p{Nd})")
 
 
@@ -125,7 +125,7 @@ def units(text: str) -> list[str]:
 _BIT = "shiftleft(1L, {})"
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+def lattice(words: DataFrame, table: DataFrame, longest: int, partitions: int = 8) -> DataFrame:
     """(word, edges): for each different word, the pieces of two and more characters within it.
 
     An edge is one long: the rank, 6 bits each of start and end, 20 of id; so that edges are grouped and
@@ -135,7 +135,7 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("word") - 2, F.lit(0))))
     first = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 2)
     ends = F.explode(F.sequence(first, F.least(F.col("start") + longest, F.length("word"))))
-    parts = words.withColumn("hash", F.xxhash64("word")).repartition("hash").withColumn("start", starts).withColumn("end", ends)
+    parts = words.withColumn("hash", F.xxhash64("word")).repartition(partitions, "hash").withColumn("start", starts).withColumn("end", ends)
     parts = parts.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
     edge = F.expr("shiftleft(cast(rank as bigint), 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(end as bigint), 20) | id")
     found = parts.join(F.broadcast(table), "piece").groupBy("hash", "word").agg(F.collect_list(F.when(F.col("id") >= 0, edge)).alias("edges"))
@@ -184,9 +184,9 @@ def viterbi_fold(first_byte: int, unknown: float = -100.0) -> Column:
     return F.expr(_let("bits", bits, _segment(first_byte)))
 
 
-def encode_words(words: DataFrame, model: Pieces, kind: str = "bpe") -> DataFrame:
+def encode_words(words: DataFrame, model: Pieces, kind: str = "bpe", partitions: int = 8) -> DataFrame:
     """(word, ids) for the different words of a table with one column of that name."""
-    edges = lattice(words, model.table(words.sparkSession), model.longest).withColumns(model.tables(kind))
+    edges = lattice(words, model.table(words.sparkSession), model.longest, partitions).withColumns(model.tables(kind))
     return edges.select("word", (merge_fold if kind == "bpe" else viterbi_fold)(model.first_byte).alias("ids"))
 
 
@@ -273,17 +273,20 @@ def _different(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, first its (unit, ids), then the chunks' packed units: the ids of these, packed in the same order."""
+    """Rows sorted by bucket, first its (unit, ids), then the chunks' packed units: for each of these the number of ids of every unit, and all ids."""
     now, known = None, {}
     for batch in batches:
         rows = []
-        for bucket, chunk, packed, word, ids in zip(*(c.to_pylist() for c in batch.columns)):
+        lists = batch.column(4)
+        data, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), lists.offsets.to_pylist()
+        for k, (bucket, chunk, packed, word) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
             if bucket != now:
                 now, known = bucket, {}
             if chunk is None:
-                known[word.encode()] = ",".join(map(str, ids)).encode()
+                known[word.encode()] = data[4 * ends[k] : 4 * ends[k + 1]]
             else:
-                rows.append((chunk, bucket, _pack(b"\0".join([known[u] for u in _unpack(packed).split(b"\0")]))))
+                found = [known[u] for u in _unpack(packed).split(b"\0")]
+                rows.append((chunk, bucket, _pack(bytes(len(x) // 4 for x in found) + b"".join(found))))
         if rows:
             kinds = (pa.string(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["chunk", "bucket", "packed"])
@@ -298,22 +301,28 @@ class _Chunk:
         number = self.number
         for text in table.column("text"):
             self.docs.append(np.array([number.setdefault(u, len(number)) for u in units(text.as_py())], np.int32))
-        self.by = _by_bucket(number, buckets)
-        self.known: list[np.ndarray | None] = [None] * len(number)
+        self.by = {b: np.array([number[u] for u in us]) for b, us in _by_bucket(number, buckets).items()}
+        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def learn(self, bucket: int, answers: list[bytes]) -> None:
-        for u, a in zip(self.by.pop(bucket), answers, strict=True):
-            self.known[self.number[u]] = np.array(a.split(b","), np.int32)
+    def learn(self, bucket: int, answer: bytes) -> None:
+        units_ = self.by.pop(bucket)
+        sizes = np.frombuffer(answer, np.uint8, len(units_)).astype(np.int64)
+        self.known.append((units_, sizes, np.frombuffer(answer[len(units_) :], "<i4")))
 
     def finish(self, model: Pieces) -> Iterator[pa.RecordBatch]:
         if self.by:
             raise ValueError("the texts differ between two readings; write them to a table first")
         for u, i in self.number.items():
             if not _plain(u):
-                self.known[i] = np.array(model.long_unit(u), np.int32)
-        size = np.array([len(x) for x in self.known], np.int64)
+                ids = np.array(model.long_unit(u), "<i4")
+                self.known.append((np.array([i]), np.array([len(ids)]), ids))
+        size = np.zeros(len(self.number), np.int64)
+        for u, n, _ in self.known:
+            size[u] = n
         first = np.r_[0, np.cumsum(size)]
-        flat = np.concatenate([np.empty(0, np.int32), *self.known])
+        flat = np.empty(first[-1], np.int32)
+        for u, n, ids in self.known:
+            flat[np.arange(len(ids)) + np.repeat(first[u] - (np.cumsum(n) - n), n)] = ids
         for at in range(0, len(self.docs), 64):
             some = self.docs[at : at + 64]
             u = np.concatenate(some)
@@ -340,7 +349,7 @@ def _assemble(path: str, buckets: int) -> Callable:
                 elif held is None or bucket not in held.by:
                     raise ValueError("the texts differ between two readings; write them to a table first")
                 else:
-                    held.learn(bucket, _unpack(packed).split(b"\0"))
+                    held.learn(bucket, _unpack(packed))
         if held:
             yield from held.finish(pieces(path))
 
@@ -369,7 +378,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     asked = rows.mapInArrow(_deal_units(buckets, chunk_bytes), "bucket int, chunk string, units binary").repartition(buckets, "bucket")
     words = asked.sortWithinPartitions("bucket").mapInArrow(_different, "word string")
     bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("int").alias("bucket")
-    told = _written(encode_words(words, model, kind)).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
+    told = _written(encode_words(words, model, kind, buckets)).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
     both = told.unionByName(asked, allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
     known = both.mapInArrow(_answer, "chunk string, bucket int, packed binary")
     texts = rows.mapInArrow(_deal_texts(id_type, chunk_bytes), "chunk string, bucket int, packed binary")
@@ -384,7 +393,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def text(ids: pa.Scalar) -> str | None:
         if not ids.is_valid:
             return None
-        raw = b"".join(map(pieces(path).bytes.__getitem__, ids.values.to_pylist()))
+        table = pieces(path).bytes
+        raw = b"".join(map(table.__getitem__, ids.values.to_numpy().tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
