@@ -85,7 +85,8 @@ def terciles(df: DataFrame, x: str) -> DataFrame:
     n = values.count()
     if not n:
         return df.withColumn("tercile", F.lit(None).cast("string"))
-    cuts = values.agg(F.percentile(x, F.array(F.lit(0.0), F.lit(1.0))).alias("p"), *[F.expr(f"percentile_disc({min((k * n // 3 + 1) / n, 1.0)!r}) WITHIN GROUP (ORDER BY {x})").alias(f"c{k}") for k in (1, 2)]).first()
+    places = [(k * n // 3 + 0.5) / n for k in (1, 2)]
+    cuts = values.agg(*[F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{x}`)").alias(f"c{k}") for k, p in enumerate(places, 1)]).first()
     return df.withColumn("tercile", F.when(F.col(x) < cuts["c1"], "LOW").when(F.col(x) < cuts["c2"], "MID").when(F.col(x).isNotNull(), "HIGH"))
 
 
