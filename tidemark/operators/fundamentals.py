@@ -40,17 +40,16 @@ def trailing_year(quarters: DataFrame, keys: Sequence[str], period: str = "perio
 
 
 def ttm_from_annual(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, period_end, ttm, method) at each key's freshest end: the year itself, or last year + year to date - the same a year before."""
+    """(keys, period_end, ttm, method) at each key's freshest end: the year itself, or last year + year to date - the same a year before; NULL where one of these is missing."""
     f = facts.select(*keys, "period_start", "period_end", "months", "value")
     freshest = f.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("period_end").desc(), F.col("months").desc()))).filter("__r = 1").drop("__r")
-    year = f.filter("months = 12").select(*keys, F.col("period_end").alias("__ye"), F.col("value").alias("__yv"))
-    prior = f.filter("months < 12").select(*keys, F.col("period_end").alias("__pe"), F.col("months").alias("__pm"), F.col("value").alias("__pv"))
-    cur = freshest.alias("c")
-    one = cur.join(year.alias("y"), [*keys], "left").filter((F.col("months") == 12) | F.col("__ye").isNull() | (F.abs(F.datediff(F.date_sub("period_start", 1), "__ye")) <= 5))
-    both = one.join(prior, [*keys], "left").filter((F.col("months") == 12) | F.col("__pe").isNull() | ((F.col("__pm") == F.col("months")) & (F.abs(F.datediff(F.add_months("period_end", -12), "__pe")) <= 7)))
-    value = F.when(F.col("months") == 12, F.col("value")).otherwise(F.col("__yv") + F.col("value") - F.col("__pv"))
-    method = F.when(F.col("months") == 12, "ANNUAL").otherwise("ROLLED")
-    return both.groupBy(*keys, "period_end").agg(F.max(value).alias("ttm"), F.max(method).alias("method"))
+    others = f.select(*keys, F.col("period_end").alias("__e"), F.col("months").alias("__m"), F.col("value").alias("__v"))
+    last_year = (F.col("__m") == 12) & (F.abs(F.datediff(F.date_sub("period_start", 1), "__e")) <= 5)
+    year_before = (F.col("__m") == F.col("months")) & (F.abs(F.datediff(F.add_months("period_end", -12), "__e")) <= 7)
+    both = freshest.join(others, [*keys]).groupBy(*keys, "period_end", "months", "value").agg(F.max(F.when(last_year, F.col("__v"))).alias("__year"), F.max(F.when(year_before, F.col("__v"))).alias("__prior"))
+    annual = F.col("months") == 12
+    value = F.when(annual, F.col("value")).otherwise(F.col("__year") + F.col("value") - F.col("__prior"))
+    return both.select(*keys, "period_end", value.alias("ttm"), F.when(annual, "ANNUAL").otherwise("ROLLED").alias("method"))
 
 
 def growth(df: DataFrame, keys: Sequence[str], order: str, value: str, lag: int, name: str) -> DataFrame:

@@ -177,7 +177,7 @@ def equity_sleeves(spark, sf):
 
 
 @query(f"""WITH {DAILY}, b AS (SELECT day, r AS b FROM d WHERE k = '1-URGENT'), j AS (SELECT k, day, r, b, row_number() OVER (PARTITION BY k ORDER BY day DESC) AS i FROM d JOIN b USING (day))
-    SELECT k, count(*) AS n, round(covar_samp(r, b) / var_samp(b), 5) AS beta FROM j WHERE i <= 250 GROUP BY k""")
+    SELECT k, count(*) AS n, CASE WHEN count(*) >= 60 THEN round(covar_samp(r, b) / var_samp(b), 5) END AS beta FROM j WHERE i <= 250 GROUP BY k""")
 def relative_beta(spark, sf):
     d = _daily(spark, sf)
     bench = d.filter("k = '1-URGENT'").select("day", F.col("r").alias("b"))
@@ -225,7 +225,8 @@ def _facts(spark, sf):
 
 
 @query(f"""WITH {FACTS} SELECT nation, CAST(period_end + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period_end, round(value, 2) AS value,
-    CASE WHEN month(period_end) = 1 OR (month(period_end) = 10 AND nation % 2 = 0) THEN 'DIRECT' ELSE 'DIFFERENCE' END AS source FROM y""")
+    CASE WHEN month(period_end) = 1 OR (month(period_end) = 10 AND nation % 2 = 0) THEN 'DIRECT' ELSE 'DIFFERENCE' END AS source FROM y
+    WHERE month(period_end) = 1 OR (month(period_end) = 10 AND nation % 2 = 0) OR EXISTS (SELECT 1 FROM q p WHERE p.nation = y.nation AND p.period_end = y.period_end - INTERVAL 3 MONTH)""")
 def discrete_quarters(spark, sf):
     return _round(P.discrete_quarters(_facts(spark, sf), ["nation"]), "value", digits=2)
 
