@@ -230,3 +230,27 @@ def test_repeated_hour_is_the_later_instant(spark):
 def test_names_and_week_keys(spark):
     df = spark.createDataFrame([("Café Ñandú, S.A. Holdings Inc.", D(2021, 1, 1))], "n string, d date")
     assert df.select(S.normal_name(F.col("n")), S.week_key(F.col("d"))).first()[:] == ("CAFE NANDU S A", "2020-W53")
+
+
+def test_match_one_to_one_against_a_loop(spark):
+    from tidemark.operators import review
+    from tidemark.plans import reviews
+
+    l = [("a", i, day(i * 3 % 28 + 1)) for i in range(8)]
+    r = [("a", 100 + i, day(i * 5 % 28 + 1)) for i in range(6)] + [("b", 9, day(1))]
+    left, right = spark.createDataFrame(l, "g string, x long, d date"), spark.createDataFrame(r, "g string, y long, e date")
+    used, want = set(), set()
+    for gap, x, y in sorted((abs((d - e).days), x, y) for g, x, d in l for h, y, e in r if g == h and abs((d - e).days) <= 9):
+        if x not in used and y not in used:
+            used |= {x, y}
+            want.add((x, y, gap))
+    got = review.match_one_to_one(left, right, "g", "x", "y", "d", "e", 9)
+    assert {(r.x, r.y, r.days_apart) for r in got.collect()} == want
+    assert reviews.match_discovery.__doc__
+
+
+def test_class_sets_need_a_pool_of_their_size(spark):
+    from tidemark.operators import review
+
+    legs = spark.createDataFrame([("c", 1, ["B", "A"]), ("c", 2, ["A", "B"]), ("d", 1, ["A", "B"]), ("e", 1, ["A", "B"]), ("e", 2, ["A", "C"])], "clause string, place int, pool array<string>")
+    assert rows(review.class_sets(legs, "clause", "pool")) == [("c", 1, "A"), ("c", 2, "B")]

@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables."""
 
-from . import flow, panel, pit, research, series, trades
+from . import flow, panel, pit, research, reviews, series, trades
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flow", "panel", "pit", "research", "series", "trades"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flow", "panel", "pit", "research", "reviews", "series", "trades"]
