@@ -47,7 +47,7 @@ UNIT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|\p{{Nd}}|[^\p{{L}}\p{{M}}\p
 _LATIN_UNIT = re.compile(f"{SPACE}*(?:[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9{SPACE}]+)|{SPACE}+").findall
 _ALL_LATIN = re.compile(f"[\\x00-ÿ{SPACE}]*").fullmatch
 LONGEST = 61
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 _CLASS = regex.compile(r"([\p{L}\p{M}])|(\p{Nd})")
 
 
@@ -74,6 +74,8 @@ class Pieces:
         #: Different scores, best first; a piece's rank is the place of its score.
         self.scores = sorted({x for _, _, x in self.normal}, reverse=True)
         self.first_byte = m.piece_to_id("<0x00>")
+        if n > 1 << 16:
+            raise ValueError("answers hold ids of two bytes")
         if [m.id_to_piece(self.first_byte + b) for b in range(256)] != [f"<0x{b:02X}>" for b in range(256)]:
             raise ValueError("the model has no byte pieces in a row")
         for p, _, _ in self.normal:
@@ -190,8 +192,8 @@ def encode_words(words: DataFrame, model: Pieces, kind: str = "bpe", partitions:
     return edges.select("word", (merge_fold if kind == "bpe" else viterbi_fold)(model.first_byte).alias("ids"))
 
 
-def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _pack(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -249,7 +251,7 @@ def _deal_texts(id_type: pa.DataType, size: int) -> Callable:
             table = pa.table({"id": pa.array([i.as_py() for i in ids], id_type), "text": pa.array(texts, pa.large_string())})
             with (sink := pa.BufferOutputStream()), pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([-1], pa.int32()), pa.array([_pack(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "bucket", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([-1], pa.int32()), pa.array([_pack(sink.getvalue().to_pybytes(), 5)], pa.binary())], names=["chunk", "bucket", "packed"])
 
     return deal
 
@@ -278,15 +280,15 @@ def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         lists = batch.column(4)
-        data, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), lists.offsets.to_pylist()
+        data, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u2").tobytes(), lists.offsets.to_pylist()
         for k, (bucket, chunk, packed, word) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
             if bucket != now:
                 now, known = bucket, {}
             if chunk is None:
-                known[word.encode()] = data[4 * ends[k] : 4 * ends[k + 1]]
+                known[word.encode()] = data[2 * ends[k] : 2 * ends[k + 1]]
             else:
                 found = [known[u] for u in _unpack(packed).split(b"\0")]
-                rows.append((chunk, bucket, _pack(bytes(len(x) // 4 for x in found) + b"".join(found))))
+                rows.append((chunk, bucket, _pack(bytes(len(x) // 2 for x in found) + b"".join(found))))
         if rows:
             kinds = (pa.string(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["chunk", "bucket", "packed"])
@@ -307,7 +309,7 @@ class _Chunk:
     def learn(self, bucket: int, answer: bytes) -> None:
         units_ = self.by.pop(bucket)
         sizes = np.frombuffer(answer, np.uint8, len(units_)).astype(np.int64)
-        self.known.append((units_, sizes, np.frombuffer(answer[len(units_) :], "<i4")))
+        self.known.append((units_, sizes, np.frombuffer(answer[len(units_) :], "<u2")))
 
     def finish(self, model: Pieces) -> Iterator[pa.RecordBatch]:
         if self.by:
@@ -362,7 +364,7 @@ def _written(answers: DataFrame) -> DataFrame:
     before, folder = spark.conf.get(name), new_folder(spark, "pieces")
     spark.conf.set(name, "false")
     try:
-        answers.write.option("compression", "zstd").parquet(folder)
+        answers.write.option("compression", "uncompressed").parquet(folder)  # what is packed already
     finally:
         spark.conf.set(name, before)
     return spark.read.schema(answers.schema).parquet(folder)
@@ -378,9 +380,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     asked = rows.mapInArrow(_deal_units(buckets, chunk_bytes), "bucket int, chunk string, units binary").repartition(buckets, "bucket")
     words = asked.sortWithinPartitions("bucket").mapInArrow(_different, "word string")
     bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("int").alias("bucket")
-    told = _written(encode_words(words, model, kind, buckets)).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
+    told = encode_words(words, model, kind, buckets).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
     both = told.unionByName(asked, allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
-    known = both.mapInArrow(_answer, "chunk string, bucket int, packed binary")
+    known = _written(both.mapInArrow(_answer, "chunk string, bucket int, packed binary"))
     texts = rows.mapInArrow(_deal_texts(id_type, chunk_bytes), "chunk string, bucket int, packed binary")
     by_chunk = texts.unionByName(known).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     schema = T.StructType([T.StructField("__llm_id", spark_type), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
