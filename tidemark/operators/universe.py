@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def build_membership(events: DataFrame, keys: Sequence[str], at: str, order: Sequence[str]) -> DataFrame:
     """(keys, valid_from, valid_to, status) from ADD and DELETE events.
@@ -73,17 +75,11 @@ def succession_closure(edges: DataFrame, old: str, new: str, rounds: int = 32) -
 
     Edges have one successor per predecessor. Those on a cycle have no final successor and are left out.
     """
-    spark = edges.sparkSession
-    now = edges.select(F.col(old).alias("o"), F.col(new).alias("n"), F.lit(1).alias("s")).filter("o <> n")
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            spark.sparkContext.setCheckpointDir(folder)
+    now = cut(edges.select(F.col(old).alias("o"), F.col(new).alias("n"), F.lit(1).alias("s")).filter("o <> n"))
     for _ in range(rounds):
         ahead = now.select(F.col("o").alias("n"), F.col("n").alias("n2"), F.col("s").alias("s2"))
         step = now.join(ahead, "n", "left").select("o", F.coalesce("n2", "n").alias("n"), (F.col("s") + F.coalesce("s2", F.lit(0))).alias("s"), F.col("n2").isNotNull().alias("moved"))
-        if spark.sparkContext.getCheckpointDir() is not None:
-            step = step.checkpoint()
+        step = cut(step)
         now = step.select("o", "n", "s")
         if step.filter("moved").isEmpty():
             break
