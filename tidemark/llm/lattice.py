@@ -358,15 +358,21 @@ def _assemble(path: str, buckets: int) -> Callable:
     return put
 
 
+#: Edges are grouped by sorting, which spills and is faster here than hashed objects; the shuffles go once the answers are written.
+WHILE_WRITTEN = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def _written(answers: DataFrame) -> DataFrame:
-    """answers, written to the shared folder. Edges are grouped by sorting, which spills and is faster here than hashed objects."""
-    spark, name = answers.sparkSession, "spark.sql.execution.useObjectHashAggregateExec"
-    before, folder = spark.conf.get(name), new_folder(spark, "pieces")
-    spark.conf.set(name, "false")
+    """answers, written to the shared folder under the settings of WHILE_WRITTEN."""
+    spark = answers.sparkSession
+    before, folder = {name: spark.conf.get(name) for name in WHILE_WRITTEN}, new_folder(spark, "pieces")
     try:
+        for name, value in WHILE_WRITTEN.items():
+            spark.conf.set(name, value)
         answers.write.option("compression", "uncompressed").parquet(folder)  # what is packed already
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(answers.schema).parquet(folder)
 
 
