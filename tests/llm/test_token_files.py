@@ -45,6 +45,14 @@ def test_hard_texts(spark):
     assert sorted(map(tuple, got), key=str) == sorted(brute(twice), key=str)
 
 
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a<|EndOfText|>b <|STARTOFTEXT|>", "J\u030c", "xJ\u030cy T\u0308 H\u0331", "THE The the It'S ÉCLAIR"])
+def test_case_is_the_library_s(text):
+    """Special tokens are found in the raw text, and NFC comes before Lowercase."""
+    of = tf.Encoder(PATH)
+    ids = np.frombuffer(b"".join(tf.encode_text(text.encode(), of)), "<u4").tolist()
+    assert ids == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tf, "MEMORY_WORDS", 40)
     e = tf.Encoder(PATH)

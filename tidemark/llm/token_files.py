@@ -11,9 +11,11 @@ Any span of ids is read by unpacking only the blocks it touches. Files are writt
 their own through the file system of the folder's address; only those reported by successful tasks
 count.
 
-A document's words are looked up in a bounded memory of words already encoded; unknown words are cut
-where the tokenizer's own pattern cuts them and encoded by the library in long batches. Words with
-other than Latin letters, or with special tokens, go to the library as they are.
+A document's words are looked up in a bounded memory of words already encoded; unknown words are
+lower-cased, cut where the tokenizer's own pattern cuts them and encoded by the library in long
+batches. Words with other than Latin letters, or with what may be a special token, go to the library
+as they are, case included: it finds special tokens before it normalises, and composes before it
+lower-cases.
 
 Defined cases: null and empty texts have the end id only; null ids come first; rows that share an id
 follow each other; very long texts are encoded in blocks of a megabyte; an empty table writes nothing.
@@ -85,7 +87,7 @@ class Encoder:
         for w in words:
             s = w.decode("utf-8", "replace")
             if "<|" not in s and _LATIN.fullmatch(s):
-                plain[w] = _CUT.findall(s)
+                plain[w] = _CUT.findall(s.lower())
             else:
                 other[w] = s
         self._learn_parts(list(set().union(*plain.values()).difference(self.parts)))
@@ -117,8 +119,8 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_text(data: bytes, of: Encoder) -> Iterator[bytes]:
-    """Ids of a text in UTF-8, in pieces. Separators never join words in this kind of tokenizer, and ASCII case is dropped."""
-    for words in word_blocks(data.lower()):
+    """Ids of a text in UTF-8, in pieces. Separators never join words in this kind of tokenizer."""
+    for words in word_blocks(data):
         try:
             yield of.encode(words)
         except KeyError:
