@@ -118,15 +118,18 @@ def resolve_at(points: DataFrame, names: DataFrame, name: str, at: str, start: s
 def prefix_join(left: DataFrame, right: DataFrame, name: str, key: str, least: int) -> DataFrame:
     """left with the key of the right row of the same name, else of the only one whose name begins with it.
 
-    Names meet by their first ``least`` characters, so that the comparison is an equi-join on these.
+    Each right name gives its prefixes of ``least`` characters and more, and these are aggregated to a
+    row each, so that every left name meets one row at most and no pairs are made.
     """
-    r = right.select(F.col(name).alias("__r"), F.col(key).alias("__k"), F.substring(name, 1, least).alias("__p"))
-    l = left.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in left.columns])).withColumn("__p", F.substring(name, 1, least))
-    both = l.join(r, "__p", "left")
-    exact, begins = F.col("__r") == F.col(name), F.col("__r").startswith(F.col(name)) & (F.length(name) >= least)
-    agg = both.groupBy("__row").agg(F.min(F.when(exact, F.col("__k"))).alias("__e"), F.count_distinct(F.when(begins, F.col("__k"))).alias("__n"), F.min(F.when(begins, F.col("__k"))).alias("__b"))
-    how = F.when(F.col("__e").isNotNull(), "EXACT").when(F.col("__n") == 1, "PREFIX").when(F.col("__n") > 1, "AMBIGUOUS").otherwise("NONE")
-    return agg.select("__row.*", F.coalesce("__e", F.when(F.col("__n") == 1, F.col("__b"))).alias(key), how.alias("match"))
+    r = right.select(F.col(name).alias("__r"), F.col(key).alias("__k")).filter("__r is not null and __k is not null")
+    lengths = F.when(F.length("__r") > least, F.sequence(F.lit(least), F.length("__r"))).otherwise(F.array(F.length("__r")))
+    parts = r.withColumn("__n", F.explode(lengths)).select(F.expr("substring(__r, 1, __n)").alias(name), "__k", (F.col("__n") == F.length("__r")).alias("__whole"))
+    per = parts.groupBy(name).agg(F.min(F.when(F.col("__whole"), F.col("__k"))).alias("__e"), F.min("__k").alias("__b"), F.max("__k").alias("__last"))
+    begins = F.length(name) >= least
+    both = left.join(per, name, "left")
+    only = begins & (F.col("__b") == F.col("__last"))
+    how = F.when(F.col("__e").isNotNull(), "EXACT").when(only, "PREFIX").when(begins & F.col("__b").isNotNull(), "AMBIGUOUS").otherwise("NONE")
+    return both.select(*[F.col(f"`{c}`") for c in left.columns], F.coalesce("__e", F.when(only, F.col("__b"))).alias(key), how.alias("match"))
 
 
 def available_after(instant: Column, same_close: Column, next_open: Column, lag_minutes: int = 15) -> Column:
