@@ -1,4 +1,4 @@
-"""Path-dependent trades: first touch by windows, the whole state machine by a fold, and replay from the event log."""
+"""Path-dependent trades: first touch by windows, a state machine of limit plans by a fold, and replay from the event log."""
 
 from __future__ import annotations
 

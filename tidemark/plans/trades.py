@@ -142,7 +142,7 @@ def simulated(spark, sf):
 
 
 def state_machine_log(spark, sf):
-    """The events of each simulated trade. No SQL twin: thirteen states walk bar by bar; tests hold it against stated cases."""
+    """The events of each simulated trade. No SQL twin: eight states walk bar by bar; tests hold it against stated cases."""
     return T.simulate(simulated(spark, sf), "user_id")
 
 
