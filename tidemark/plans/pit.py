@@ -198,7 +198,18 @@ def one_candidate_join(spark, sf):
 @query(f"""WITH {BARS}, q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 50 = 0), s AS (SELECT DISTINCT session_date + ((session_date - DATE '2024-01-01') * 80) :: INT - 10500 AS session_date FROM bars)
     SELECT d, (SELECT min(session_date) FROM s WHERE session_date >= d) AS next_session, (SELECT max(session_date) FROM s WHERE session_date < d) AS last_before FROM q""")
 def session_shifts(spark, sf):
-    d = table(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return _session_shifts(spark, sf, table(spark, sf, "orders").filter("o_orderkey % 50 = 0"))
+
+
+@query(f"""WITH {BARS}, q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT DISTINCT session_date + ((session_date - DATE '2024-01-01') * 80) :: INT - 10500 AS session_date FROM bars)
+    SELECT d, (SELECT min(session_date) FROM s WHERE session_date >= d) AS next_session, (SELECT max(session_date) FROM s WHERE session_date < d) AS last_before FROM q""")
+def session_shifts_all(spark, sf):
+    """The days of every order; session_shifts keeps the fiftieth of the orders that its SQL has."""
+    return _session_shifts(spark, sf, table(spark, sf, "orders"))
+
+
+def _session_shifts(spark, sf, orders):
+    d = orders.select(F.to_date("o_orderdate").alias("d")).distinct()
     day = F.col("session_date")
     spread = F.date_add(day, F.datediff(day, F.lit("2024-01-01")) * 80 - 10500)
     s = B.calendar(bars(spark, sf).select(spread.alias("session_date")), "session_date")
