@@ -1,39 +1,47 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Texts are cut into units that no piece crosses (a run of spaces with the letters, digit or signs that
-follow). Units repeat, so that each task packs the different units of a chunk of documents by hash
-bucket; the different units of a bucket are then encoded once:
+follow). Each task numbers the different units of a chunk of documents, and writes the documents as
+numbers and the units packed by hash bucket, so that texts are read and cut once. The different units
+of a bucket are then encoded once:
 
 * the lattice: every unit is exploded into its substrings of bounded length, these are equi-joined
   with the piece table, and the edges are grouped by unit;
-* the fold, by Spark's higher-order ``aggregate`` over the edges of a unit: for unigram models
-  Viterbi, the path of the best total score; for BPE models, whose segmentation no sum of scores
-  gives, the merge of the best-ranked edge that spans two present pieces, until none is left.
+* the fold: Viterbi, by Spark's higher-order ``aggregate`` over the places of a unit. For unigram
+  models a path's score is the sum of its pieces' scores. For BPE models it is the number of
+  neighbours on the path that BPE would have merged otherwise, which only the BPE segmentation keeps
+  at zero, for every prefix of the unit: so the best edge into a place is the one that agrees with the
+  best path into its start.
+
+Whether two neighbours agree is read from the ranks. A piece's own merges give its halves next to the
+boundary, each with the rank at which it is made and at which it is merged away; the neighbours
+disagree if some piece across the boundary joins two such halves while both are there.
 
 The ids go back to the chunks by bucket, and each chunk is put together from its own units only. So
-what moves is the compressed text once and the different units of each chunk, and no task holds more
+what moves is the numbered text once and the different units of each chunk, and no task holds more
 than a chunk of documents or the units of a bucket.
 
-Characters without a piece become byte pieces. Units of over 61 characters, which the fold's bit masks
-do not hold, are encoded by the sentencepiece library in the task. Texts must come from an input that
-reads the same each time, such as files; where a chunk differs between the two readings the job fails.
+Characters without a piece become byte pieces. Units of over ``LONGEST`` characters, for which the
+fold's cost grows with the square, are encoded by the sentencepiece library in the task.
 
 Defined cases: null and empty texts have no pieces; null ids and repeated rows keep a row each; other
-columns are ignored; an empty table gives an empty result. Decoding gives the text back, but for the
-sign U+2581, which reads as a space.
+columns are ignored; an empty table gives an empty result; a model without byte pieces in a row, with
+pieces that cross units, or with a piece that its own merges do not reach raises ValueError. Decoding
+gives the text back, but for the sign U+2581, which reads as a space.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +51,13 @@ from .common import new_folder
 
 SPACE = "▁"
 UNIT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|\p{{Nd}}|[^\p{{L}}\p{{M}}\p{{Nd}}{SPACE}]+)|{SPACE}+")
-#: The same, faster, for texts of ASCII and Latin-1.
-_LATIN_UNIT = re.compile(f"{SPACE}*(?:[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9{SPACE}]+)|{SPACE}+").findall
-_ALL_LATIN = re.compile(f"[\\x00-ÿ{SPACE}]*").fullmatch
-LONGEST = 61
+_SPACED = re.compile(" *[^ ]+| +$").findall
+#: A unit's places are held in ten bits.
+LONGEST = 1000
 CHUNK_BYTES = 8 << 20
 _CLASS = regex.compile(r"([\p{L}\p{M}])|(\p{Nd})")
+#: Later than any merge.
+_NEVER = 1 << 30
 
 
 def _class(c: str) -> str:
@@ -56,9 +65,27 @@ def _class(c: str) -> str:
     return "space" if c == SPACE else "sign" if not m else "letter" if m[1] else "digit"
 
 
-def _constant(values: Sequence[float | None], kind: str) -> Column:
-    """An array of numbers as one literal."""
-    return F.from_json(F.lit("[" + ",".join("null" if v is None else repr(v) for v in values) + "]"), f"array<{kind}>")
+def _merged(piece: str, ranks: dict[str, int]) -> tuple | None:
+    """The tree of a piece's own merges, as (start, end, rank, left, right), or None where they do not end in it."""
+    parts: list[tuple] = [(i, i + 1, 0, None, None) for i in range(len(piece))]
+    while len(parts) > 1:
+        pairs = [(ranks[w], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (w := piece[a[0] : b[1]]) in ranks]
+        if not pairs:
+            return None
+        rank, k = min(pairs)
+        a, b = parts[k : k + 2]
+        parts[k : k + 2] = [(a[0], b[1], max(rank, a[2], b[2]), a, b)]
+    return parts[0]
+
+
+def _halves(tree: tuple, side: int) -> list[int | None]:
+    """By length less one: the ranks at which a prefix (side 3) or suffix (side 4) of a piece is made and merged away, in 32 bits each."""
+    out: list[int | None] = [None] * (tree[1] - tree[0])
+    gone = _NEVER
+    while tree:
+        out[tree[1] - tree[0] - 1] = tree[2] << 32 | gone
+        gone, tree = tree[2], tree[side]
+    return out
 
 
 class Pieces:
@@ -69,13 +96,14 @@ class Pieces:
 
         m = self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = m.get_piece_size()
-        self.normal = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        found = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        #: Best first; a piece's rank is the place of its score among the different ones.
+        self.normal = sorted(found, key=lambda x: (-x[2], x[1]))
+        place = {x: i for i, x in enumerate(sorted({x for _, _, x in found}, reverse=True))}
+        self.ranks = {p: place[x] for p, _, x in self.normal}
         self.longest = max(len(p) for p, _, _ in self.normal)
-        #: Different scores, best first; a piece's rank is the place of its score.
-        self.scores = sorted({x for _, _, x in self.normal}, reverse=True)
         self.first_byte = m.piece_to_id("<0x00>")
-        if n > 1 << 16:
-            raise ValueError("answers hold ids of two bytes")
+        self.kept = "<u2" if n <= 1 << 16 else "<u4"
         if [m.id_to_piece(self.first_byte + b) for b in range(256)] != [f"<0x{b:02X}>" for b in range(256)]:
             raise ValueError("the model has no byte pieces in a row")
         for p, _, _ in self.normal:
@@ -89,18 +117,26 @@ class Pieces:
         return self.model.encode("\n" + unit.replace(SPACE, " "))[2:]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, rank) of the pieces of two and more characters, and the empty one as -1."""
-        place = {x: i for i, x in enumerate(self.scores)}
-        return spark.createDataFrame([("", -1, 0), *((p, i, place[x]) for p, i, x in self.normal if len(p) > 1)], "piece string, id int, rank int")
-
-    def tables(self, kind: str) -> dict[str, Column]:
-        """What a fold looks up: constant arrays by code point and by rank."""
-        ids = {ord(p): (i, x) for p, i, x in self.normal if len(p) == 1}
-        points = range(max(ids, default=0) + 1)
-        out = {"char_ids": _constant([ids[c][0] if c in ids else None for c in points], "int")}
-        if kind != "bpe":
-            out |= {"char_scores": _constant([ids[c][1] if c in ids else None for c in points], "double"), "scores": _constant(self.scores, "double")}
-        return out
+        """(piece, no, rank) of the pieces of two and more characters, and the empty one as -1."""
+        return spark.createDataFrame([("", -1, 0), *((p, i, self.ranks[p]) for i, (p, _, _) in enumerate(self.normal) if len(p) > 1)], "piece string, no int, rank int")
+
+    def known(self, spark: SparkSession, kind: str) -> Column:
+        """A struct of what the fold looks up, by a piece's number or a character's code point; read from one row, which plans do not print."""
+        chars = {ord(p): (i, x) for p, i, x in self.normal if len(p) == 1}
+        points = range(max(chars, default=0) + 1)
+        told = {"piece_ids": [i for _, i, _ in self.normal], "char_ids": [chars[c][0] if c in chars else None for c in points]}
+        kinds = {"piece_ids": pa.int32(), "char_ids": pa.int32()}
+        if kind == "bpe":
+            trees = [_merged(p, self.ranks) for p, _, _ in self.normal]
+            if None in trees:
+                raise ValueError(f"its own merges do not reach the piece {self.normal[trees.index(None)][0]!r}")
+            told |= {name: [[_NEVER], *(_halves(t, side) for t in trees)] for name, side in (("lefts", 3), ("rights", 4))}
+            kinds |= dict.fromkeys(("lefts", "rights"), pa.list_(pa.int64()))
+        else:
+            told |= {"scores": [x for _, _, x in self.normal], "char_scores": [chars[c][1] if c in chars else None for c in points]}
+            kinds |= dict.fromkeys(("scores", "char_scores"), pa.float64())
+        row = spark.createDataFrame(pa.table({k: pa.array([v], pa.list_(kinds[k])) for k, v in told.items()}))
+        return row.select(F.struct(*told)).scalar()
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -112,40 +148,71 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _plain(unit: str) -> bool:
-    """Units for the lattice. The rest goes to the library; zero characters part packed units."""
-    return len(unit) <= LONGEST and "\0" not in unit
-
-
-def units(text: str) -> list[str]:
+def words(text: str) -> list[str]:
+    """text cut at spaces, each word without the first of the spaces before it."""
     if not text:
         return []
-    marked = SPACE + text.replace(" ", SPACE)
-    return _LATIN_UNIT(marked) if _ALL_LATIN(marked) else UNIT.findall(marked)
+    found = (text.replace(SPACE, " ") if SPACE in text else text).split(" ")
+    return [w[1:] for w in _SPACED(" " + " ".join(found))] if "" in found else found
+
+
+def units(word: str) -> list[str]:
+    """The units of a word. One of letters only is one."""
+    return UNIT.findall(SPACE + word.replace(" ", SPACE))
+
+
+def _words(texts: list[str]) -> pa.ListArray:
+    """The words of each text. Those without runs of spaces are cut by Arrow."""
+    plain = [t != "" and " " not in (t[0], t[-1]) and "  " not in t and SPACE not in t for t in texts]
+    cut = pc.split_pattern(pa.array([t for t, x in zip(texts, plain) if x], pa.string()), " ")
+    other = pa.array([words(t) for t, x in zip(texts, plain) if not x], pa.list_(pa.string()))
+    at, place = [0, len(cut)], []
+    for x in plain:
+        place.append(at[not x])
+        at[not x] += 1
+    return pa.concat_arrays([cut, other]).take(pa.array(place, pa.int64()))
 
 
-_BIT = "shiftleft(1L, {})"
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "\n\r\t"
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int, partitions: int = 8) -> DataFrame:
-    """(word, edges): for each different word, the pieces of two and more characters within it.
+def _cut(vocabulary: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """(numbers of the units of each word, one word after the other; how many each has; the different units).
 
-    An edge is one long: the rank, 6 bits each of start and end, 20 of id; so that edges are grouped and
-    sorted as numbers, by rank and place. ``table`` has piece, id and rank, and the empty piece, which
-    keeps words that have no other, with id -1. Words hold at most LONGEST characters.
+    Words of letters, also with ASCII signs after them, are cut by Arrow.
     """
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("word") - 2, F.lit(0))))
+    core = pc.ascii_rtrim(vocabulary, characters=_SIGNS)
+    simple = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(core).to_numpy()
+    signed = simple & (size < pc.binary_length(vocabulary).to_numpy())
+    lists = [units(w) for w in vocabulary.filter(pa.array(~simple)).to_pylist()]
+    n = 1 + signed.astype(np.int32)
+    n[~simple] = [len(x) for x in lists]
+    heads = pc.binary_join_element_wise(pa.scalar(SPACE), core.filter(pa.array(simple)), "")
+    tails = pa.array([w[k:] for w, k in zip(vocabulary.filter(pa.array(signed)).cast(pa.binary()).to_pylist(), size[signed].tolist())], pa.binary()).cast(pa.string())
+    whole = pa.concat_arrays([heads, tails, pa.array([u for x in lists for u in x], pa.string())]).dictionary_encode()
+    codes, numbers, first = whole.indices.to_numpy(), np.empty(n.sum(), np.int32), np.cumsum(n) - n
+    numbers[first[simple]] = codes[: len(heads)]
+    numbers[first[signed] + 1] = codes[len(heads) : len(heads) + len(tails)]
+    numbers[np.repeat(~simple, n)] = codes[len(heads) + len(tails) :]
+    return numbers, n, whole.dictionary
+
+
+def lattice(units_: DataFrame, table: DataFrame, longest: int, partitions: int = 8) -> DataFrame:
+    """(id, bucket, unit, edges): for each row of (id, bucket, unit), the pieces of two and more characters within it.
+
+    An edge is one long: ten bits each of end and start, twenty each of the piece's rank and number; so
+    that edges are grouped and sorted as numbers, by their ends. ``table`` has piece, no and rank, and the
+    empty piece, which keeps units that have no other. Ids are unique.
+    """
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 2, F.lit(0))))
     first = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 2)
-    ends = F.explode(F.sequence(first, F.least(F.col("start") + longest, F.length("word"))))
-    parts = words.withColumn("hash", F.xxhash64("word")).repartition(partitions, "hash").withColumn("start", starts).withColumn("end", ends)
-    parts = parts.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    edge = F.expr("shiftleft(cast(rank as bigint), 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(end as bigint), 20) | id")
-    found = parts.join(F.broadcast(table), "piece").groupBy("hash", "word").agg(F.collect_list(F.when(F.col("id") >= 0, edge)).alias("edges"))
-    unpacked = F.expr(f"""transform(sort_array(edges), x -> struct(
-        cast(x & 1048575 as int) as id, cast(shiftright(x, 26) & 63 as int) as start, cast(shiftright(x, 20) & 63 as int) as end, cast(shiftright(x, 32) as int) as rank,
-        {_BIT.format('cast(shiftright(x, 26) & 63 as int)')} | {_BIT.format('cast(shiftright(x, 20) & 63 as int)')} as ends,
-        ({_BIT.format('cast(shiftright(x, 20) & 63 as int)')} - 1) & ~({_BIT.format('cast(shiftright(x, 26) & 63 as int) + 1')} - 1) as inner))""")
-    return found.select("word", unpacked.alias("edges"))
+    ends = F.explode(F.sequence(first, F.least(F.col("start") + longest, F.length("unit"))))
+    parts = units_.repartition(partitions, "id").withColumn("start", starts).withColumn("end", ends)
+    parts = parts.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("end") - F.col("start")))
+    edge = F.expr("shiftleft(cast(end as bigint), 50) | shiftleft(cast(start as bigint), 40) | shiftleft(cast(rank as bigint), 20) | no")
+    found = parts.join(F.broadcast(table), "piece").groupBy("id").agg(F.first("bucket").alias("bucket"), F.first("unit").alias("unit"), F.collect_list(F.when(F.col("no") >= 0, edge)).alias("edges"))
+    return found.select("id", "bucket", "unit", F.sort_array("edges").alias("edges"))
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -153,43 +220,72 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _segment(first_byte: int) -> str:
-    """SQL of the ids between the boundaries ``bits``: the edges there, single characters by code point, or bytes where there is no piece."""
-    char = "substring(word, s + 1, 1)"
-    at = f"filter(sequence(0, length(word) - 1), s -> (bits & {_BIT.format('s')}) <> 0)"
-    piece = f"coalesce(get(filter(found, e -> e.start = s), 0).id, get(char_ids, ascii({char})))"
-    raw = f"""flatten(transform({at}, s -> if({piece} is not null, array({piece}),
-        transform(sequence(1, octet_length({char})), k -> {first_byte} + cast(conv(substring(hex(encode({char}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int)))))"""
-    found = "filter(edges, e -> (bits & e.ends) = e.ends and (bits & e.inner) = 0)"
-    return _let("found", found, _let("ids", f"transform({at}, s -> {piece})", f"if(exists(ids, i -> i is null), {raw}, ids)"))
+def _char_ids(first_byte: int) -> str:
+    """SQL of the ids of the character that ends at ``at``: its piece, or its bytes."""
+    char = "substring(unit, at, 1)"
+    raw = f"transform(sequence(1, octet_length({char})), k -> {first_byte} + cast(conv(substring(hex(encode({char}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))"
+    return _let("i", f"get(known.char_ids, ascii({char}))", f"if(i is null, {raw}, array(i))")
+
+
+def _start(edge: str) -> str:
+    return f"cast(shiftright({edge}, 40) & 1023 as int)"
+
+
+def _disagree() -> str:
+    """SQL: whether the piece of an edge c across the start of e joins the halves a and b of the neighbours there while both are there.
+
+    Of equal ranks the left one is merged first.
+    """
+    a = f"get(get(rights, shiftright(t.before, 10)), t.s - {_start('c')} - 1)"
+    b = "get(get(lefts, cast(e & 1048575 as int) + 1), cast(shiftright(c, 50) as int) - t.s - 1)"
+    return _let("b", b, f"b is not null and {_let('a', a, _joined('a', 'b'))}")
+
+
+def _joined(a: str, b: str) -> str:
+    made = f"greatest(shiftright(c, 20) & 1048575, shiftright({a}, 32), shiftright({b}, 32))"
+    return f"coalesce({made} < ({a} & 4294967295) and {made} <= ({b} & 4294967295), false)"
+
 
+#: The last piece of the best path into a place: its number plus one and its start, or zero for the character before.
+_STEP = f"cast(shiftleft((e & 1048575) + 1, 10) as int) | {_start('e')}"
 
-def merge_fold(first_byte: int) -> Column:
-    """BPE: of the edges, in order of rank and place, the first that spans two present pieces merges them, until none is left."""
-    done = _BIT.format(62)
-    bits = f"""aggregate(sequence(1, length(word)), {_BIT.format('length(word) + 1')} - 1,
-        (bits, i) -> if((bits & {done}) <> 0, bits, coalesce(
-            bits & ~get(filter(edges, e -> (bits & e.ends) = e.ends and bit_count(bits & e.inner) = 1), 0).inner, bits | {done}))) & ~{done}"""
-    return F.expr(_let("bits", bits, _segment(first_byte)))
 
+def _bpe_steps() -> str:
+    """SQL of the last pieces by place. Of the edges into a place one, or the character, agrees with the path into its start."""
+    seen = f"struct({_start('e')} as s, coalesce(get(best, {_start('e')}), 0) as before, shiftleft((shiftright(e, 40) & 1023) + 1, 50) as low, shiftleft(shiftright(e, 50) + 1, 50) as high)"
+    across = f"c >= t.low and c < t.high and {_start('c')} < t.s and {_start('c')} >= if(t.before = 0, t.s - 1, t.before & 1023)"
+    clash = _let("t", seen, f"t.s > 0 and exists(edges, c -> {across} and {_disagree()})")
+    return f"""aggregate(edges, array(0), (best, e) -> if(shiftright(e, 50) < size(best) or {clash}, best,
+        concat(best, array_repeat(0, cast(shiftright(e, 50) as int) - size(best)), array({_STEP}))))"""
 
-def viterbi_fold(first_byte: int, unknown: float = -100.0) -> Column:
-    """Unigram: the path of the best total score, by rank in ``scores`` and by code point in ``char_scores``.
 
-    Characters without a piece cost ``unknown``.
+def _unigram_steps(unknown: float) -> str:
+    """SQL of the last pieces by place: those of the greatest sum of scores."""
+    char = f"coalesce(get(known.char_scores, ascii(substring(unit, at, 1))), {unknown}D)"
+    step = f"""array_max(concat(array(struct(best[at - 1].score + {char} as score, 0 as step)),
+        transform(filter(edges, e -> shiftright(e, 50) = at), e -> struct(best[{_start('e')}].score + get(known.scores, cast(e & 1048575 as int)) as score, {_STEP} as step))))"""
+    return f"transform(aggregate(sequence(1, length(unit)), array(struct(0D as score, 0 as step)), (best, at) -> concat(best, array({step}))), b -> b.step)"
+
+
+def viterbi_fold(first_byte: int, kind: str = "bpe", unknown: float = -100.0) -> Column:
+    """The ids of a unit's best path: its last pieces by place, folded over the edges or places, and read back from the end.
+
+    In unigram models characters without a piece cost ``unknown``.
     """
-    char = f"coalesce(get(char_scores, ascii(substring(word, at, 1))), {unknown}D)"
-    bits = f"""element_at(aggregate(sequence(1, length(word)), array(struct(0D as score, 1L as bits)),
-        (best, at) -> concat(best, array(array_max(concat(
-            array(struct(best[at - 1].score + {char} as score, best[at - 1].bits | {_BIT.format('at')} as bits)),
-            transform(filter(edges, e -> e.end = at), e -> struct(best[e.start].score + scores[e.rank] as score, best[e.start].bits | {_BIT.format('at')} as bits))))))), -1).bits"""
-    return F.expr(_let("bits", bits, _segment(first_byte)))
+    ids = f"""aggregate(sequence(length(unit), 1, -1), struct(length(unit) as left, cast(array() as array<int>) as ids), (path, at) -> if(at > path.left, path,
+        if(coalesce(get(steps, at), 0) = 0, struct(at - 1 as left, concat({_char_ids(first_byte)}, path.ids) as ids),
+            struct(get(steps, at) & 1023 as left, concat(array(get(known.piece_ids, shiftright(get(steps, at), 10) - 1)), path.ids) as ids)))).ids"""
+    path = _let("steps", _bpe_steps() if kind == "bpe" else _unigram_steps(unknown), ids)
+    if kind == "bpe":
+        path = _let("rights", "known.rights", _let("lefts", "known.lefts", path))
+    return F.expr(_let("known", "known", path))  # named once, so that its large arrays are not copied into each row
 
 
-def encode_words(words: DataFrame, model: Pieces, kind: str = "bpe", partitions: int = 8) -> DataFrame:
-    """(word, ids) for the different words of a table with one column of that name."""
-    edges = lattice(words, model.table(words.sparkSession), model.longest, partitions).withColumns(model.tables(kind))
-    return edges.select("word", (merge_fold if kind == "bpe" else viterbi_fold)(model.first_byte).alias("ids"))
+def encode_units(units_: DataFrame, model: Pieces, kind: str = "bpe", partitions: int = 8) -> DataFrame:
+    """(bucket, unit, ids) for a table (id, bucket, unit) of different units that are not empty."""
+    spark = units_.sparkSession
+    edges = lattice(units_, model.table(spark), model.longest, partitions).withColumn("known", model.known(spark, kind))
+    return edges.select("bucket", "unit", viterbi_fold(model.first_byte, kind).alias("ids"))
 
 
 def _pack(data: bytes, level: int = 3) -> bytes:
@@ -200,143 +296,173 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[str, list, list[str]]]:
-    """(name, ids, texts) of the documents of a task, in order."""
-    ids, texts, held, crc, k = [], [], 0, 0, 0
+def _pack_units(some: list[str]) -> bytes:
+    """Units, after a list of the places of those with a zero character, as which the others are parted."""
+    odd = [i for i, u in enumerate(some) if "\0" in u]
+    return _pack("\0".join([*(u.encode().hex() if "\0" in u else u for u in some), ",".join(map(str, odd))]).encode())
 
-    def name() -> str:
-        return f"{TaskContext.get().partitionId()}-{k}-{crc}-{len(ids)}"
 
+def _unpack_units(data: bytes) -> list[str]:
+    *some, odd = _unpack(data).decode().split("\0")
+    for i in odd.split(",") if odd else ():
+        some[int(i)] = bytes.fromhex(some[int(i)]).decode()
+    return some
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of a task's documents, in chunks of about size bytes."""
+    ids, texts, held = [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0), batch.column(1)):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             ids.append(i)
             texts.append(data.decode("utf-8", "replace"))
-            crc, held = zlib.crc32(data, crc), held + len(data)
+            held += len(data)
             if held >= size:
-                yield name(), ids, texts
-                ids, texts, held, crc, k = [], [], 0, 0, k + 1
+                yield ids, texts
+                ids, texts, held = [], [], 0
     if ids:
-        yield name(), ids, texts
+        yield ids, texts
 
 
-def _by_bucket(seen: Iterable[str], buckets: int) -> dict[int, list[str]]:
-    """The different units of a chunk that the lattice takes, in order in each bucket."""
-    by: dict[int, list[str]] = {}
-    for u in sorted(filter(_plain, seen)):
-        by.setdefault(zlib.crc32(u.encode()) % buckets, []).append(u)
-    return by
+def _ints(values: Iterable[int], kind: str = "<i4") -> pa.Array:
+    return pa.array([np.asarray(values, kind).tobytes()], pa.binary())
 
 
-def _deal_units(buckets: int, size: int) -> Callable:
-    """For each chunk, its different units by bucket, packed in order."""
+DEALT = "chunk string, bucket int, units binary, docs binary"
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, texts in _chunks(batches, size):
-            seen: set[str] = set()
-            for text in texts:
-                seen.update(units(text))
-            by = _by_bucket(seen, buckets)
-            packed = [_pack("\0".join(x).encode()) for x in by.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(by.keys(), pa.int32()), pa.array([name] * len(by), pa.string()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "units"])
-
-    return deal
 
+def _deal(id_type: pa.DataType, buckets: int, size: int) -> Callable:
+    """For each chunk, as bucket -1 its documents as numbers, and for each bucket its different units.
 
-def _deal_texts(id_type: pa.DataType, size: int) -> Callable:
-    """For each chunk, its ids and texts, packed, as bucket -1."""
+    Units are numbered by bucket and, within it, in order, those for the library last; words list the
+    numbers of their units, documents those of their words.
+    """
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, texts in _chunks(batches, size):
-            table = pa.table({"id": pa.array([i.as_py() for i in ids], id_type), "text": pa.array(texts, pa.large_string())})
+        for ids, texts in _chunks(batches, size):
+            lists, name = _words(texts), uuid.uuid4().hex
+            coded = lists.flatten().dictionary_encode()
+            cut, n_units, unit = _cut(coded.dictionary)
+            bucket = np.fromiter(map(zlib.crc32, unit.cast(pa.binary()).to_pylist()), np.uint32, len(unit)) % np.uint32(buckets)
+            bucket[pc.utf8_length(unit).to_numpy() > LONGEST] = buckets
+            order = pc.sort_indices(unit).to_numpy().astype(np.int64)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            place = np.empty(len(unit), np.int32)
+            place[order] = np.arange(len(unit), dtype=np.int32)
+            some, sizes = unit.take(pa.array(order)).to_pylist(), np.bincount(bucket, minlength=buckets + 1).tolist()
+            ends = np.cumsum(sizes).tolist()
+            by = {b: some[e - n : e] for b, (e, n) in enumerate(zip(ends, sizes)) if n}
+            long = by.pop(buckets, [])
+            docs = {
+                "ids": pa.array([[i.as_py() for i in ids]], pa.list_(id_type)), "ends": _ints(lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()), "words": _ints(coded.indices.to_numpy()), "cut": _ints(place[cut]),
+                "n_units": _ints(n_units), "buckets": _ints(list(by)), "sizes": _ints(list(map(len, by.values()))), "long": pa.array([long], pa.list_(pa.string())),
+            }
+            table = pa.table(docs)
             with (sink := pa.BufferOutputStream()), pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([-1], pa.int32()), pa.array([_pack(sink.getvalue().to_pybytes(), 5)], pa.binary())], names=["chunk", "bucket", "packed"])
+            k = len(by)
+            columns = [[name] * (k + 1), [-1, *by], [None, *map(_pack_units, by.values())], [_pack(sink.getvalue().to_pybytes()), *[None] * k]]
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in DEALT.split(", ")])
+            del lists, coded, unit, some, by, docs, table, columns
+            pa.default_memory_pool().release_unused()
 
     return deal
 
 
 def _different(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different units of each bucket, from rows sorted by bucket."""
+    """(id, bucket, unit): the different units of each bucket, from rows sorted by bucket."""
     now, seen = None, set()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([u.decode() for u in seen], pa.string())], names=["word"])
+        some = sorted(seen)
+        at = np.arange(len(some), dtype=np.int64) + (now << 32)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array([now] * len(some), pa.int32()), pa.array(some, pa.string())], names=["id", "bucket", "unit"])
 
     for batch in batches:
-        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+        for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if bucket != now and seen:
                 yield out()
                 seen = set()
             now = bucket
-            seen.update(_unpack(packed).split(b"\0"))
+            seen.update(_unpack_units(packed))
     if seen:
         yield out()
 
 
-def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(kept: str) -> Callable:
     """Rows sorted by bucket, first its (unit, ids), then the chunks' packed units: for each of these the number of ids of every unit, and all ids."""
-    now, known = None, {}
-    for batch in batches:
-        rows = []
-        lists = batch.column(4)
-        data, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u2").tobytes(), lists.offsets.to_pylist()
-        for k, (bucket, chunk, packed, word) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
-            if bucket != now:
-                now, known = bucket, {}
-            if chunk is None:
-                known[word.encode()] = data[2 * ends[k] : 2 * ends[k + 1]]
-            else:
-                found = [known[u] for u in _unpack(packed).split(b"\0")]
-                rows.append((chunk, bucket, _pack(bytes(len(x) // 2 for x in found) + b"".join(found))))
-        if rows:
-            kinds = (pa.string(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["chunk", "bucket", "packed"])
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        width = np.dtype(kept).itemsize
+        for batch in batches:
+            rows = []
+            lists = batch.column(4)
+            data, ends = lists.values.to_numpy(zero_copy_only=False).astype(kept).tobytes(), lists.offsets.to_pylist()
+            for k, (bucket, chunk, packed, unit) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                if bucket != now:
+                    now, known = bucket, {}
+                if chunk is None:
+                    known[unit] = data[width * ends[k] : width * ends[k + 1]]
+                else:
+                    found = [known[u] for u in _unpack_units(packed)]
+                    sizes = np.fromiter(map(len, found), "<u2", len(found)) // np.uint16(width)
+                    rows.append((chunk, bucket, _pack(sizes.tobytes() + b"".join(found))))
+            if rows:
+                kinds = (pa.string(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["chunk", "bucket", "packed"])
+
+    return answer
+
+
+def _spread(first: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the items of the lists ``which`` stand, one list after the other, and where each list ends among them."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - n), n), ends
 
 
 class _Chunk:
-    """The texts of a chunk as numbers of their units, and the ids of each unit as these come in."""
+    """The documents of a chunk as numbers, and the ids of its units as these come in by bucket."""
 
-    def __init__(self, packed: bytes, buckets: int):
+    def __init__(self, packed: bytes, model: Pieces):
         table = pa.ipc.open_stream(_unpack(packed)).read_all().combine_chunks()
-        self.ids, self.number, self.docs = table.column("id").combine_chunks(), {}, []
-        number = self.number
-        for text in table.column("text"):
-            self.docs.append(np.array([number.setdefault(u, len(number)) for u in units(text.as_py())], np.int32))
-        self.by = {b: np.array([number[u] for u in us]) for b, us in _by_bucket(number, buckets).items()}
-        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.model, self.ids = model, table.column("ids").combine_chunks().flatten()
+        self.ends, self.words, self.cut, self.n_units, buckets, sizes = (np.frombuffer(table.column(c)[0].as_buffer(), "<i4") for c in ("ends", "words", "cut", "n_units", "buckets", "sizes"))
+        self.left = list(zip(buckets.tolist(), sizes.tolist()))[::-1]
+        self.long = table.column("long")[0].as_py()
+        self.sizes: list[np.ndarray] = []
+        self.flat: list[np.ndarray] = []
 
     def learn(self, bucket: int, answer: bytes) -> None:
-        units_ = self.by.pop(bucket)
-        sizes = np.frombuffer(answer, np.uint8, len(units_)).astype(np.int64)
-        self.known.append((units_, sizes, np.frombuffer(answer[len(units_) :], "<u2")))
-
-    def finish(self, model: Pieces) -> Iterator[pa.RecordBatch]:
-        if self.by:
-            raise ValueError("the texts differ between two readings; write them to a table first")
-        for u, i in self.number.items():
-            if not _plain(u):
-                ids = np.array(model.long_unit(u), "<i4")
-                self.known.append((np.array([i]), np.array([len(ids)]), ids))
-        size = np.zeros(len(self.number), np.int64)
-        for u, n, _ in self.known:
-            size[u] = n
-        first = np.r_[0, np.cumsum(size)]
-        flat = np.empty(first[-1], np.int32)
-        for u, n, ids in self.known:
-            flat[np.arange(len(ids)) + np.repeat(first[u] - (np.cumsum(n) - n), n)] = ids
-        for at in range(0, len(self.docs), 64):
-            some = self.docs[at : at + 64]
-            u = np.concatenate(some)
-            ends = np.cumsum(size[u])
-            take = np.arange(ends[-1] if len(u) else 0) + np.repeat(first[u] - (ends - size[u]), size[u])
-            bounds = np.r_[0, ends][np.r_[0, np.cumsum([len(x) for x in some])]]
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[take]))
-            yield pa.RecordBatch.from_arrays([self.ids.slice(at, len(some)), lists], names=["__llm_id", "pieces"])
-
-
-def _assemble(path: str, buckets: int) -> Callable:
-    """Rows sorted by chunk, first its texts, then the ids of its units by bucket: the ids of the texts."""
+        due, n = self.left.pop()
+        if due != bucket:
+            raise ValueError(f"an answer is missing: bucket {due} of a chunk")
+        self.sizes.append(np.frombuffer(answer, "<u2", n).astype(np.int64))
+        self.flat.append(np.frombuffer(answer[2 * n :], self.model.kept))
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.left:
+            raise ValueError(f"an answer is missing: bucket {self.left[-1][0]} of a chunk")
+        for ids in map(self.model.long_unit, self.long):
+            self.sizes.append(np.array([len(ids)]))
+            self.flat.append(np.array(ids, self.model.kept))
+        size, flat = (np.concatenate([np.empty(0, k), *x]).astype(k) for x, k in ((self.sizes, np.int64), (self.flat, np.int32)))
+        take, _ = _spread(np.cumsum(size) - size, size, self.cut)  # from ids by unit to ids by word
+        by_word = np.add.reduceat(np.r_[size[self.cut], 0], np.cumsum(self.n_units) - self.n_units) if len(self.n_units) else np.empty(0, np.int64)
+        flat = flat[take]
+        first, starts = np.cumsum(by_word) - by_word, np.r_[0, self.ends]
+        for at in range(0, len(self.ids), 64):
+            some = starts[at : at + 65]
+            take, ends = _spread(first, by_word, self.words[some[0] : some[-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends][some - some[0]], pa.int32()), pa.array(flat[take]))
+            yield pa.RecordBatch.from_arrays([self.ids.slice(at, len(some) - 1), lists], names=["__llm_id", "pieces"])
+
+
+def _assemble(path: str) -> Callable:
+    """Rows sorted by chunk, first its documents, then the ids of its units by bucket: the ids of the texts."""
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
@@ -344,73 +470,57 @@ def _assemble(path: str, buckets: int) -> Callable:
             for chunk, bucket, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
                     if held:
-                        yield from held.finish(pieces(path))
+                        yield from held.finish()
                     now, held = chunk, None
+                    pa.default_memory_pool().release_unused()
                 if bucket < 0:
-                    held = _Chunk(packed, buckets)
-                elif held is None or bucket not in held.by:
-                    raise ValueError("the texts differ between two readings; write them to a table first")
+                    held = _Chunk(packed, pieces(path))
                 else:
                     held.learn(bucket, _unpack(packed))
         if held:
-            yield from held.finish(pieces(path))
+            yield from held.finish()
 
     return put
 
 
-#: Edges are grouped by sorting, which spills and is faster here than hashed objects; the shuffles go once the answers are written.
-WHILE_WRITTEN = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-
-
-def _written(answers: DataFrame) -> DataFrame:
-    """answers, written to the shared folder under the settings of WHILE_WRITTEN."""
-    spark = answers.sparkSession
-    before, folder = {name: spark.conf.get(name) for name in WHILE_WRITTEN}, new_folder(spark, "pieces")
-    try:
-        for name, value in WHILE_WRITTEN.items():
-            spark.conf.set(name, value)
-        answers.write.option("compression", "uncompressed").parquet(folder)  # what is packed already
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-    return spark.read.schema(answers.schema).parquet(folder)
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe", buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, pieces array<int>) for each row of docs."""
     spark, model = docs.sparkSession, pieces(path)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark_type = docs.schema[id_col].dataType
-    id_type = to_arrow_type(spark_type)
     rows = docs.select(F.col(id_col).alias("__llm_id"), F.col(text_col).cast("binary").alias("__llm_text"))
-    asked = rows.mapInArrow(_deal_units(buckets, chunk_bytes), "bucket int, chunk string, units binary").repartition(buckets, "bucket")
-    words = asked.sortWithinPartitions("bucket").mapInArrow(_different, "word string")
-    bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("int").alias("bucket")
-    told = encode_words(words, model, kind, buckets).select(bucket, F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "word", "ids")
+    folder = new_folder(spark, "lattice")
+    rows.mapInArrow(_deal(to_arrow_type(spark_type), buckets, chunk_bytes), DEALT).write.option("compression", "uncompressed").parquet(f"{folder}/dealt")  # packed already
+    # A session of its own: its shuffles go once the answers are written.
+    own = spark.newSession()
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    own.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    asked = own.read.schema(DEALT).parquet(f"{folder}/dealt").filter("bucket >= 0").select("chunk", "bucket", "units")
+    different = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_different, "id long, bucket int, unit string")
+    told = encode_units(different, model, kind, buckets).select("bucket", F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "unit", "ids")
     both = told.unionByName(asked, allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
-    known = _written(both.mapInArrow(_answer, "chunk string, bucket int, packed binary"))
-    texts = rows.mapInArrow(_deal_texts(id_type, chunk_bytes), "chunk string, bucket int, packed binary")
+    both.mapInArrow(_answer(model.kept), "chunk string, bucket int, packed binary").write.option("compression", "uncompressed").parquet(f"{folder}/answers")
+    texts = spark.read.schema(DEALT).parquet(f"{folder}/dealt").filter("bucket < 0").select("chunk", "bucket", F.col("docs").alias("packed"))
+    known = spark.read.schema("chunk string, bucket int, packed binary").parquet(f"{folder}/answers")
     by_chunk = texts.unionByName(known).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     schema = T.StructType([T.StructField("__llm_id", spark_type), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return by_chunk.mapInArrow(_assemble(path, buckets), schema).withColumnRenamed("__llm_id", id_col)
+    return by_chunk.mapInArrow(_assemble(path), schema).withColumnRenamed("__llm_id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "pieces", name: str = "decoded") -> DataFrame:
     """(id, pieces, text of the pieces)."""
 
-    def text(ids: pa.Scalar) -> str | None:
-        if not ids.is_valid:
-            return None
-        table = pieces(path).bytes
-        raw = b"".join(map(table.__getitem__, ids.values.to_numpy().tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
-
-    def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = pa.array([text(x) for x in batch.column(1)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[id_col, ids_col, name])
-
-    rows = encoded.select(id_col, ids_col)
-    return rows.mapInArrow(decoded, T.StructType([*rows.schema, T.StructField(name, T.StringType())]))
+    def decoded(lists: pa.Array) -> pa.Array:
+        table, texts = pa.array(pieces(path).bytes, pa.large_binary()), []
+        for at in range(0, len(lists), 256):
+            some = lists.slice(at, 256)
+            found = table.take(some.flatten())
+            data, ends = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+            bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())]
+            for a, b, valid in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), some.is_valid().to_pylist()):
+                raw = data[a:b].to_pybytes() if b > a else b""
+                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace") if valid else None)
+        pa.default_memory_pool().release_unused()
+        return pa.array(texts, pa.string())
+
+    return encoded.select(id_col, ids_col, F.arrow_udf(decoded, T.StringType())(F.col(ids_col)).alias(name))
