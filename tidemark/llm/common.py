@@ -41,6 +41,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df, computed once into a table of the shared folder. Unlike a checkpoint's, its size is known to plans and small files are read together."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -2,7 +2,8 @@
 
 The first pass sets two bits of a register-blocked Bloom filter for each text's hash and keeps the
 bits that were set at least twice. A row whose bits were all set twice is possibly repeated. In the
-second pass only those rows shuffle, to be grouped by their SHA-256; the rest pass straight through.
+second pass only those rows shuffle, to be grouped by their SHA-256; the rest pass straight through,
+whatever the size of the table: the filter is bounded and always broadcast (see :mod:`.bloom`).
 
 Defined cases: null texts count as empty; texts are equal when identical after lower-casing A-Z; of
 equal texts the row with the largest id stays, null ids being smallest; of rows that also share the
@@ -12,58 +13,24 @@ id, exactly one stays. Empty tables give empty results. Other columns are carrie
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import ascii_lower, checkpoint, join_counted
 
-#: Filter words that may be broadcast (about 50 bytes each in a hash table). Larger filters are joined by shuffle.
-BROADCAST_WORDS = 1 << 20
-
 
 def _normal(text: str) -> Column:
     return ascii_lower(F.coalesce(F.col(text), F.lit("")))
 
 
-def _words(rows: int) -> int:
-    """64-bit words of the filter: 16 bits a row, so that some 1.5 % of unique rows are flagged in vain."""
-    return 1 << max(10, math.ceil(math.log2(max(rows, 1) / 4)))
-
-
-def _word(h: str, words: int) -> Column:
-    return F.col(h).bitwiseAND(F.lit(words - 1))
-
-
-def _bits(h: str) -> list[Column]:
-    return [F.shiftrightunsigned(h, 52).bitwiseAND(F.lit(63)).cast("int"), F.shiftrightunsigned(h, 58).bitwiseAND(F.lit(63)).cast("int")]
-
-
-def twice_set(rows: DataFrame, h: str, words: int) -> DataFrame:
-    """First pass. The filter's words with a mask of the bits that two or more rows have set."""
-    slots = rows.select(_word(h, words).alias("__llm_word"), F.explode(F.array_distinct(F.array(*_bits(h)))).alias("__llm_bit"))
-    repeated = slots.groupBy("__llm_word", "__llm_bit").agg(F.count("*").alias("__llm_n")).filter("__llm_n > 1")
-    one = F.expr("shiftleft(1L, __llm_bit)")
-    return repeated.groupBy("__llm_word").agg(F.bit_or(one).alias("__llm_mask"))
-
-
-def flag_possible(rows: DataFrame, h: str, filter_words: DataFrame, words: int) -> DataFrame:
-    """Second pass. rows with the boolean __llm_possible: their hash may be repeated."""
-    if words <= BROADCAST_WORDS:
-        filter_words = F.broadcast(filter_words)
-    first, second = (F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, {k}) & 63 as int))") for k in (52, 58))
-    need = first.bitwiseOR(second)
-    hit = F.coalesce(F.col("__llm_mask").bitwiseAND(need) == need, F.lit(False))
-    return (
-        rows.withColumn("__llm_word", _word(h, words))
-        .join(filter_words, "__llm_word", "left")
-        .withColumn("__llm_possible", hit)
-        .drop("__llm_word", "__llm_mask")
-    )
+def _flagged(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
+    """rows with the boolean __llm_possible, from both passes over the hashes in column h."""
+    words = bloom.words_for(n, most)
+    return bloom.flag(rows, h, bloom.of_repeated(rows.select(h), h, words), words, "__llm_possible")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = bloom.MOST_WORDS) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row of docs.
 
     Texts are read once, for their digests; what follows handles some hundred bytes a row.
@@ -77,8 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ).withColumn("__llm_h", F.xxhash64("text_sha256"))
     )
     n = rows.count()
-    words = _words(n)
-    flagged = flag_possible(rows, "__llm_h", twice_set(rows, "__llm_h", words), words)
+    flagged = _flagged(rows, "__llm_h", n, most_words)
     possible = flagged.filter("__llm_possible")
     groups = possible.groupBy("text_sha256").agg(
         F.max("__llm_id").alias("keep_id"),
@@ -94,13 +60,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = bloom.MOST_WORDS) -> DataFrame:
     """The rows of docs that stay, with all their columns. Possibly repeated rows shuffle whole; a group
     shrinks to one row a task before that."""
     cols = docs.columns
     hashed = docs.withColumn("__llm_h", F.xxhash64(_normal(text_col)))
-    words = _words(docs.count())
-    flagged = flag_possible(hashed, "__llm_h", twice_set(hashed.select("__llm_h"), "__llm_h", words), words)
+    flagged = _flagged(hashed, "__llm_h", docs.count(), most_words)
     order = F.struct(F.col(id_col).isNotNull(), F.col(id_col))
     kept = (
         flagged.filter("__llm_possible")
