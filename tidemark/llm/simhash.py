@@ -13,7 +13,7 @@ and never become pairs.
 
 Defined cases: null texts count as empty; documents without words have fingerprint zero, and are
 linked like any other; texts of one or two words are one shingle; repeated rows are copies; null ids
-have a fingerprint and join components, but are no component's id unless all its ids are null; empty
+have a fingerprint and join components, and are a component's id only if all its ids are null; empty
 tables give empty results; very long texts are hashed in blocks of a megabyte.
 """
 
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, join_counted
+from . import bloom
+from .common import checkpoint, join_counted, written
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -156,12 +157,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _components(rows: DataFrame) -> DataFrame:
-    """(__llm_fp, __llm_n, component_id) per distinct fingerprint of rows."""
-    per = checkpoint(rows.groupBy("__llm_fp").agg(F.min("__llm_id").alias("__llm_first"), F.count("*").alias("__llm_n")))
+    """(__llm_fp, __llm_n, __llm_root, component_id) per distinct fingerprint of rows."""
+    per = written(rows.groupBy("__llm_fp").agg(F.min("__llm_id").alias("__llm_first"), F.count("*").alias("__llm_n")), "fingerprints")
     roots = connected_components(links(per.select("__llm_fp"))).select(F.col("a").alias("__llm_fp"), F.col("b").alias("__llm_root"))
     rooted = per.join(roots, "__llm_fp", "left").withColumn("__llm_root", F.coalesce("__llm_root", "__llm_fp"))
     ids = rooted.groupBy("__llm_root").agg(F.min("__llm_first").alias("component_id"), F.count("*").alias("__llm_fps"))
-    return checkpoint(join_counted(rooted, ids, "__llm_root", "__llm_fps", per.count()).select("__llm_fp", "__llm_n", "component_id"))
+    return written(join_counted(rooted, ids, "__llm_root", "__llm_fps", per.count()).select("__llm_fp", "__llm_n", "__llm_root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,21 +172,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("__llm_id").alias(id_col), F.lpad(F.lower(F.hex("__llm_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = bloom.MOST_WORDS) -> DataFrame:
     """One row of each component, that with the smallest id, with all columns of docs.
 
-    Rows that share id and fingerprint count as one; of several null ids, the smallest fingerprint stays.
+    Rows that share id and fingerprint count as one; of equal or only null ids, the smallest fingerprint
+    stays. Only rows whose id a Bloom filter finds among those that go, or that are repeated, shuffle with
+    their columns; the rest pass straight through.
     """
-    rows = checkpoint(fingerprints(docs, id_col, text_col))
-    found = join_counted(rows, _components(rows), "__llm_fp", "__llm_n", rows.count())
-    if rows.filter("__llm_id is not null").groupBy("__llm_id").count().filter("count > 1").isEmpty() and rows.filter("__llm_id is null").isEmpty():
-        gone = found.filter("__llm_id <> component_id").select(F.col("__llm_id").alias(id_col))
-        return docs.join(gone, id_col, "left_anti")
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col("__llm_id").isNull(), "__llm_id", "__llm_fp")).alias("c"))
-    chosen = chosen.select(F.col("c.__llm_id").alias("__llm_chosen"), F.col("c.__llm_fp").alias("__llm_chosen_fp"))
-    numbered = checkpoint(docs.withColumn("__llm_row", F.monotonically_increasing_id()))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    n = rows.count()
+    found = join_counted(rows, _components(rows), "__llm_fp", "__llm_n", n)
+    keys = found.groupBy("__llm_id", "__llm_fp").agg(F.first("__llm_root").alias("__llm_root"), F.count("*").alias("__llm_c"))
+    best = keys.groupBy("__llm_root").agg(F.min(F.struct(F.col("__llm_id").isNull(), "__llm_id", "__llm_fp")).alias("__llm_best"), F.count("*").alias("__llm_k"))
+    keys = join_counted(keys, best, "__llm_root", "__llm_k", n)
+    stays = F.col("__llm_id").eqNullSafe(F.col("__llm_best.__llm_id")) & (F.col("__llm_fp") == F.col("__llm_best.__llm_fp"))
+    keys = keys.select("__llm_id", "__llm_fp", "__llm_c", stays.alias("__llm_stays"), F.xxhash64("__llm_id").alias("__llm_h"))
+    special = written(keys.filter("not __llm_stays or __llm_c > 1"), "special")
+    words = bloom.words_for(special.count(), most_words)
+    flagged = bloom.flag(docs.withColumn("__llm_h", F.xxhash64(F.col(id_col))), "__llm_h", bloom.of_keys(special, "__llm_h", words), words, "__llm_hit")
+    hits, rest = flagged.filter("__llm_hit"), flagged.filter("not __llm_hit").select(*cols)
+    if rows.filter("__llm_id is null").isEmpty() and rows.groupBy("__llm_id").count().filter("count > 1").isEmpty():
+        return rest.unionByName(hits.join(special.select(F.col("__llm_id").alias(id_col)), id_col, "left_anti").select(*cols))
+    numbered = written(hits.select(*cols, F.monotonically_increasing_id().alias("__llm_row")), "hits")
     keyed = numbered.withColumn("__llm_key", F.struct(F.col(id_col).alias("id"), F.col("__llm_row").alias("row")))
-    again = fingerprints(keyed, "__llm_key", text_col).select(F.col("__llm_id.id").alias("__llm_i"), F.col("__llm_id.row").alias("__llm_row"), "__llm_fp")
-    same = F.col("__llm_i").eqNullSafe(F.col("__llm_chosen")) & (F.col("__llm_fp") == F.col("__llm_chosen_fp"))
-    first = again.join(chosen, same, "left_semi").groupBy("__llm_i", "__llm_fp").agg(F.min("__llm_row").alias("__llm_row"))
-    return numbered.join(first.select("__llm_row"), "__llm_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = fingerprints(keyed, "__llm_key", text_col).select(F.col("__llm_id.id").alias("__llm_i"), F.col("__llm_id.row").alias("__llm_row"), F.col("__llm_fp").alias("__llm_f"))
+    matched = written(again.join(special, F.col("__llm_i").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_f") == F.col("__llm_fp"))).select("__llm_i", "__llm_f", "__llm_row", "__llm_stays"), "matched")
+    first = matched.filter("__llm_stays").groupBy("__llm_i", "__llm_f").agg(F.min("__llm_row").alias("__llm_row")).select("__llm_row")
+    gone = matched.select("__llm_row").join(first, "__llm_row", "left_anti")
+    return rest.unionByName(numbered.join(gone, "__llm_row", "left_anti").select(*cols))
