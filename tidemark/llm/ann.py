@@ -13,7 +13,7 @@ smallest id, with as many of its smallest ids as a result can hold.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows with a null id; a row's own id is never its neighbour,
-also when the row is repeated; ties go to the smaller id; fewer candidates than asked for are all
+also when the row is repeated; components may have any finite size; ties go to the smaller id; fewer candidates than asked for are all
 returned; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -47,9 +47,14 @@ def strings(x: np.ndarray, trees: int = TREES) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Of a list column without nulls and with lists of one length."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """Of a list column without nulls and with lists of one length.
+
+    Each vector is scaled by the power of two that brings its largest component under 1, which changes
+    no cosine and keeps squares of very large and very small components in range.
+    """
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    _, power = np.frexp(np.abs(rows).max(axis=1))
+    return np.ldexp(rows, -power[:, None])
 
 
 def gathered(n: int) -> int:
