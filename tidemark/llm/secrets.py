@@ -2,9 +2,9 @@ r"""Secret scans with corpus-wide ownership frequency, by DataFrame functions on
 
 Each text is read once for four kinds of candidates. The base kinds ``assign``, ``access`` and
 ``hex`` are always reported. Then the hash of every candidate's value is counted over the whole
-corpus by distinct repositories and distinct owners: a value that several owners have is a widely
-copied example, a value of a single owner looks live. What the method adds are spans of kind
-``owned``: long mixed tokens that no base rule covers and that a single owner has.
+corpus by distinct repositories and distinct owners: a value that several owners have, or two owners
+in many repositories, is a widely copied example; any other looks live. What the method adds are spans
+of kind ``owned``: long mixed tokens that no base span overlaps and that a single owner has.
 
 Spans are code points, end exclusive. A kind's matches are leftmost and do not overlap; their places
 are running sums over the pieces between them, so that texts with very many matches stay linear.
@@ -27,8 +27,8 @@ HEX = r"[0-9a-f]{24,}"
 OWNED = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "owned": OWNED}
 BASE = ("assign", "access", "hex")
-#: A value of at least so many owners is an example that was copied.
-EXAMPLE_OWNERS = 3
+#: A value of at least so many owners is an example that was copied; so is one of two owners in so many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -45,7 +45,7 @@ def _value(match: Column, kind: Column) -> Column:
 
 
 def candidates(scanned: DataFrame) -> DataFrame:
-    """A row for each valid match: __llm_row, repository, owner, kind, start, end and the hash of its value."""
+    """A row for each valid match: __llm_row, repository, owner, kind, start, end, the hash of its value, and whether a base match overlaps it."""
     kinds = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(k).alias("kind"), F.col(f"__llm_{k}").alias("found")) for i, k in enumerate(KINDS)])
     rows = scanned.select("__llm_row", "__llm_repo", "__llm_owner", F.explode(kinds).alias("k"))
     rows = rows.select("__llm_row", "__llm_repo", "__llm_owner", "k.no", "k.kind", F.posexplode("k.found").alias("at", "m"))
@@ -55,7 +55,11 @@ def candidates(scanned: DataFrame) -> DataFrame:
     rows = rows.withColumn("value", _value(F.col("m.match"), F.col("kind")))
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]")
     valid = F.when(F.col("kind") == "assign", F.length("value") >= 6).when(F.col("kind") == "owned", mixed).otherwise(True)
-    return rows.filter(valid).select("__llm_row", "__llm_repo", "__llm_owner", "no", "kind", "start", "end", F.sha2("value", 256).alias("value_sha256"))
+    rows = rows.filter(valid).select("__llm_row", "__llm_repo", "__llm_owner", "no", "kind", "start", "end", F.sha2("value", 256).alias("value_sha256"))
+    base, place = F.col("kind").isin(*BASE), Window.partitionBy("__llm_row").orderBy("start", "end", "no")
+    before = F.max(F.when(base, F.col("end"))).over(place.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start")
+    after = F.min(F.when(base, F.col("start"))).over(place.rowsBetween(1, Window.unboundedFollowing)) < F.col("end")
+    return rows.withColumn("covered", ~base & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -68,8 +72,9 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """For each row: id, n_assign, n_access, n_hex, base_sha256, spans, and of its candidates n_example, n_live, n_owned."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """For each row: id, n_assign, n_access, n_hex, base_sha256, spans, of its candidates n_example, n_live, n_owned, and in how many
+    repositories and owners the most copied of its spans is found."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     scanned = docs.select(
         F.monotonically_increasing_id().alias("__llm_row"),
@@ -81,18 +86,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = checkpoint(scanned)
     found = checkpoint(candidates(scanned))
     known = join_counted(found, checkpoint(ownership(found)), "value_sha256", "uses", scanned.count())
-    is_base, example = F.col("kind").isin(*BASE), F.col("owners") >= example_owners
-    known = known.filter(is_base | (F.col("owners") == 1))
+    is_base = F.col("kind").isin(*BASE)
+    example = (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories))
+    known = known.filter(is_base | (F.col("owners") == 1) & ~F.col("covered"))
     span = F.struct("start", "no", "kind", "end")
     per = known.groupBy("__llm_row").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS],
         F.count(F.when(is_base & example, 1)).alias("n_example"),
         F.count(F.when(is_base & ~example, 1)).alias("n_live"),
+        F.max("repositories").alias("most_repositories"),
+        F.max("owners").alias("most_owners"),
         F.collect_list(F.when(is_base, span)).alias("__llm_base"),
         F.collect_list(span).alias("__llm_all"),
     )
     none = F.lit(0).cast("long")
-    counts = [*(f"n_{k}" for k in BASE), "n_example", "n_live", "n_owned"]
+    counts = [*(f"n_{k}" for k in BASE), "n_example", "n_live", "n_owned", "most_repositories", "most_owners"]
     joined = scanned.select("__llm_row", "__llm_id").join(per, "__llm_row", "left")
     return joined.select(
         F.col("__llm_id").alias(id_col),
