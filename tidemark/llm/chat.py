@@ -6,8 +6,9 @@ A conversation becomes one string. Adjacent turns of one role share a block, ``<
 that no text can forge a mark and reading back gives the very turns. The loss mask lists the code
 point spans of the assistant's texts.
 
-Turns are ordered by turn, role and text. Where a turn begins in the string is a running sum over the
-conversation, so a very long conversation costs in proportion to its length, and spills.
+Turns are collected, ordered by turn, role and text, and merged by folding the array. The fold keeps its
+pieces in an array that is joined once, and goes by blocks, so that a very long conversation costs in
+proportion to its length.
 
 Defined cases: null text and null role count as empty; null turns come first; null conv_id is a
 conversation of its own; repeated rows are turns of their own; other columns are ignored.
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Turns that are folded at once.
+BLOCK = 512
 OPEN, CLOSE, NEXT = "<s>", "</s>", "[+]"
 #: The template's own marks and those of common chat templates.
 CONTROL = [OPEN, CLOSE, NEXT, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
@@ -41,33 +44,39 @@ def unescape(text: Column) -> Column:
     return _replace(text, [("&lt;", "<"), ("&lsqb;", "["), ("&#10;", "\n"), ("&amp;", "&")])
 
 
+def _merged(turns: Column, trained: str) -> Column:
+    """Folds sorted turns, a block at a time: struct<role, pieces, spans, at> each, with spans from the block's begin."""
+    start = F.struct(
+        F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("pieces"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(0).cast("long").alias("at")
+    )
+
+    def add(acc: Column, t: Column) -> Column:
+        mark = F.when(acc["role"].isNull(), t["head"]).when(acc["role"] == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(CLOSE), t["head"]))
+        begin = acc["at"] + F.length(mark)
+        end = begin + F.length(t["text"])
+        spans = F.when(t["role"] == F.lit(trained), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
+        return F.struct(t["role"].alias("role"), F.concat(acc["pieces"], F.array(mark, t["text"])).alias("pieces"), spans.alias("spans"), end.alias("at"))
+
+    def block(i: Column) -> Column:
+        return F.aggregate(F.slice(turns, i, F.lit(BLOCK)), start.withField("role", F.get(turns, i - 2)["role"]), add)
+
+    return F.transform(F.sequence(F.lit(1), F.size(turns), F.lit(BLOCK)), block)
+
+
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
     """(conv, formatted string, loss_mask array<struct<start, end>>), one row a conversation."""
-    rows = turns.select(
-        F.col(conv).alias("__llm_conv"),
-        F.col(turn).alias("__llm_turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("__llm_role"),
-        escape(F.coalesce(F.col(text), F.lit(""))).alias("__llm_text"),
-    )
-    by = Window.partitionBy("__llm_conv").orderBy("__llm_turn", "__llm_role", "__llm_text")
-    head = F.concat(F.lit(OPEN), F.replace(escape(F.col("__llm_role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
-    before = F.lag("__llm_role").over(by)
-    mark = F.when(before.isNull(), head).when(before == F.col("__llm_role"), F.lit(NEXT)).otherwise(F.concat(F.lit(CLOSE), head))
-    rows = rows.withColumns({"__llm_mark": mark, "__llm_n": F.row_number().over(by)})
-    length = (F.length("__llm_mark") + F.length("__llm_text")).cast("long")
-    rows = rows.withColumn("__llm_end", F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.struct(
-        F.col("__llm_n").alias("n"),
-        F.concat("__llm_mark", "__llm_text").alias("piece"),
-        (F.col("__llm_role") == F.lit(trained)).alias("trained"),
-        (F.col("__llm_end") - F.length("__llm_text")).alias("start"),
-        F.col("__llm_end").alias("end"),
-    )
-    grouped = rows.groupBy("__llm_conv").agg(F.sort_array(F.collect_list(piece)).alias("__llm_turns"))
-    return grouped.select(
+    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    grouped = turns.groupBy(F.col(conv).alias("__llm_conv")).agg(F.sort_array(F.collect_list(one)).alias("__llm_turns"))
+    head = lambda t: F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
+    escaped = F.transform("__llm_turns", lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("text")))
+    merged = grouped.select("__llm_conv", escaped.alias("__llm_turns")).select("__llm_conv", _merged(F.col("__llm_turns"), trained).alias("__llm_blocks"))
+    ends = F.aggregate("__llm_blocks", F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+    merged = merged.withColumn("__llm_before", ends)
+    moved = lambda b, k: F.transform(b["spans"], lambda s: F.struct((s["start"] + F.get("__llm_before", k)).alias("start"), (s["end"] + F.get("__llm_before", k)).alias("end")))
+    return merged.select(
         F.col("__llm_conv").alias(conv),
-        F.concat(F.array_join(F.transform("__llm_turns", lambda t: t["piece"]), ""), F.lit(CLOSE)).alias("formatted"),
-        F.transform(F.filter("__llm_turns", lambda t: t["trained"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss_mask"),
+        F.concat(F.array_join(F.flatten(F.transform("__llm_blocks", lambda b: b["pieces"])), ""), F.lit(CLOSE)).alias("formatted"),
+        F.flatten(F.transform("__llm_blocks", moved)).alias("loss_mask"),
     )
 
 
