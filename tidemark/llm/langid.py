@@ -7,23 +7,24 @@ text. Decoding sums the logistic loss of the margins against each codeword, weig
 bit was right for that language on the training rows, and takes the codeword of least loss. Texts
 whose two best codewords are about as near are flagged as ambiguous.
 
-The classifier is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of the id; the
-default bounds what is counted to some 100 MB of usual texts and the model to a few MB for dozens of
+The classifier is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of id and text
+(copies of a row are chosen together); the default bounds what is counted to some 100 MB of usual texts and the model to a few MB for dozens of
 languages. Every row is predicted, over its whole text.
 
-Defined cases: null texts and texts without letters are ``und`` with score 0; null languages are not
+Defined cases: null texts and texts without letters (number signs are none) are ``und`` with score 0; null languages are not
 learned; rows with a null id are not learned and not held out; without any labelled row all is
 ``und``; with a single language all texts with letters are that language; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ MAX_ROWS = 20_000
 AMBIGUOUS = 0.5
 _SHARPNESS = 8.0
 _BLOCK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANK = bytes(x if x >= 128 or chr(x).isalpha() else 32 for x in range(256))
 
 
@@ -124,7 +125,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     n = labelled.count()
     share = min(1.0, max_rows / max(n, 1))
-    picked = F.pmod(F.xxhash64(F.lit(23).cast("long"), F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
+    hashed = F.xxhash64(F.lit(23).cast("long"), F.col(id_col).cast("string"), F.col(text_col))
+    picked = F.shiftrightunsigned(hashed, 11) < math.ceil(share * (1 << 53))
     rows = labelled.filter(picked).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
