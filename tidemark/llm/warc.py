@@ -25,10 +25,11 @@ from urllib.parse import quote
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, checkpoint, new_folder
+from . import bloom
+from .common import HOT_SHARE, checkpoint, join_counted, new_folder, written
 
 LEAST = 1000
 FRAME_BYTES = 1 << 20
@@ -160,7 +161,7 @@ def _writer(folder: str):
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
     """(id, url, payload, digest, revisits): what each row's record holds; revisits is null for responses."""
     data = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("__llm_id"), F.col(url_col).alias("__llm_url"), data.alias("__llm_html"), F.sha1(data).alias("__llm_digest"))
+    rows = pages.select(F.col(id_col).alias("__llm_id"), F.col(url_col).alias("__llm_url"), data.alias("__llm_html"), F.sha1(data).alias("__llm_digest"), F.monotonically_increasing_id().alias("__llm_row"))
     long = rows.filter(F.length("__llm_html") >= least)
     per_id = long.groupBy("__llm_digest", "__llm_id").agg(F.count("*").alias("__llm_c"))
     per = per_id.groupBy("__llm_digest").agg(
@@ -168,11 +169,14 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         F.coalesce(F.max_by("__llm_c", "__llm_id"), F.sum("__llm_c")).alias("__llm_firsts"),
         F.sum("__llm_c").alias("__llm_n"),
     )
-    per = checkpoint(per.filter("__llm_n > 1"))
-    # Payloads with very many copies, a thousand of them at most, are matched by broadcast; others by shuffle.
+    per = written(per.filter("__llm_n > 1"), "payloads")
+    # Only payloads that a filter of the repeated digests points at are matched, those with very many copies by broadcast.
+    words = bloom.words_for(per.count())
+    hashed = per.withColumn("__llm_h", F.xxhash64("__llm_digest"))
+    flagged = bloom.flag(rows.withColumn("__llm_h", F.xxhash64("__llm_digest")), "__llm_h", bloom.of_keys(hashed, "__llm_h", words), words, "__llm_hit").drop("__llm_h")
     hot = F.col("__llm_n") > F.lit(max(1000, int(pages.count() * HOT_SHARE)))
     added = ["__llm_first", "__llm_firsts", "__llm_n"]
-    near = rows.join(F.broadcast(per.filter(hot)), "__llm_digest", "left")
+    near = flagged.filter("__llm_hit").join(F.broadcast(per.filter(hot)), "__llm_digest", "left")
     far = near.filter("__llm_n is null").drop(*added).join(per.filter(~hot), "__llm_digest", "left")
     found = near.filter("__llm_n is not null").unionByName(far)
     is_first = F.col("__llm_id").eqNullSafe(F.col("__llm_first"))
@@ -180,9 +184,11 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     out = ["__llm_id", "__llm_url", "__llm_html", "__llm_digest"]
     revisit = F.col("__llm_n").isNotNull() & ~is_first
     made = found.filter(~again).select(*out, revisit.alias("__llm_revisit"), F.when(revisit, F.col("__llm_first")).alias("__llm_revisits"))
+    made = made.unionByName(flagged.filter("not __llm_hit").select(*out, F.lit(False).alias("__llm_revisit"), F.lit(None).cast(pages.schema[id_col].dataType).alias("__llm_revisits")))
     if not per.filter("__llm_firsts > 1").isEmpty():  # rows that share id and payload: one of them is the response
-        number = F.row_number().over(Window.partitionBy("__llm_digest").orderBy("__llm_url"))
-        rest = found.filter(again).withColumn("__llm_revisit", number > 1)
+        rest = found.filter(again)
+        least = rest.groupBy("__llm_digest").agg(F.min("__llm_row").alias("__llm_least"), F.count("*").alias("__llm_c"))
+        rest = join_counted(rest, least, "__llm_digest", "__llm_c", pages.count()).withColumn("__llm_revisit", F.col("__llm_row") != F.col("__llm_least"))
         made = made.unionByName(rest.select(*out, "__llm_revisit", F.when(F.col("__llm_revisit"), F.col("__llm_first")).alias("__llm_revisits")))
     return made
 
