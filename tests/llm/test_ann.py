@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import ann
@@ -23,20 +25,51 @@ def brute(rows, k=5):
     return out
 
 
-def test_recall_on_a_table(spark):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").filter("vec_id % 4 < 3")
-    got = ann.nearest_neighbours(vectors, QUERY).toPandas()
-    x = np.array(vectors.toPandas()["embedding"].tolist(), np.float64)
-    ids = vectors.toPandas()["vec_id"].to_numpy()
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    at, hits = {i: j for j, i in enumerate(ids.tolist())}, 0
-    for q, found in got.groupby("query_id"):
-        score = x @ x[at[q]]
-        score[at[q]] = -2
-        hits += len(set(ids[np.lexsort((ids, -score))[:5]]) & set(found["vec_id"]))
-        assert found["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(score[[at[v] for v in found["vec_id"]]], found["score"], atol=1e-12)
-    asked = (ids % 50 == 0).sum()
-    assert got["query_id"].nunique() == asked and hits / (5 * asked) >= 0.9
+def isotropic(rng, n, dim=64):
+    return rng.standard_normal((n, dim)).astype("f4")
+
+
+def clustered(rng, n, dim=64):
+    return (rng.standard_normal((n // 40, dim))[rng.integers(0, n // 40, n)] + 0.6 * rng.standard_normal((n, dim))).astype("f4")
+
+
+def recall(spark, x, folder):
+    """Share of the true nearest five that are found, by blocks of exact scores; the scores found are held against them."""
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), f"{folder}/v.parquet")
+    got = ann.nearest_neighbours(spark.read.parquet(f"{folder}/v.parquet").repartition(8), QUERY).toPandas().sort_values(["query_id", "rank"])
+    y, hits, asked = x.astype(np.float64), 0, len(range(0, len(x), 50))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    found = {q: (g["vec_id"].to_numpy(), g["score"].to_numpy()) for q, g in got.groupby("query_id")}
+    for at in range(0, len(x), 5000):
+        some = list(range(at, min(at + 5000, len(x)), 50))
+        scores = y[some] @ y.T
+        for q, score in zip(some, scores):
+            score[q] = -2
+            best, (ids, told) = np.argpartition(-score, 5)[:5], found[q]
+            assert len(ids) == 5 and np.allclose(score[ids], told, atol=1e-12)
+            hits += len(set(best) & set(ids))
+    return hits / (5 * asked)
+
+
+@pytest.mark.parametrize("make", [isotropic, clustered])
+def test_recall(spark, tmp_path, make):
+    assert recall(spark, make(np.random.default_rng(7), 40_000), tmp_path) >= 0.9
+
+
+def test_recall_where_depths_come_from_a_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 2_000)
+    assert recall(spark, clustered(np.random.default_rng(8), 20_000), tmp_path) >= 0.9
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [1e-200, 1e-200]), (3, [3e-310, 0.0]), (50, [-1e308, -1e308])]
+    got = {}
+    for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), QUERY).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 12)))
+    half = round(math.sqrt(0.5), 12)
+    assert got == {0: [(1, 1.0), (3, 1.0), (2, half), (50, -half)], 50: [(0, -half), (1, -half), (3, -half), (2, -1.0)]}
+    bad = spark.createDataFrame([(0, [0.0, 0.0]), (50, [float("nan"), 1.0]), (100, None)], "vec_id long, embedding array<double>")
+    assert ann.nearest_neighbours(bad, QUERY).count() == 0
 
 
 @pytest.mark.parametrize("part", [8192, 16])

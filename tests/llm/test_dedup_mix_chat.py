@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidemark.llm import chat, exact_dedup, mixing
+from tidemark.llm import bloom, chat, exact_dedup, mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __kept string"
 
@@ -32,13 +32,35 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0 == exact_dedup.drop_duplicates(docs.limit(0)).count()
 
 
-def test_hot_group_and_unbroadcast_filter(spark, monkeypatch):
-    rows = [(i, "same" if i % 3 == 0 else f"text {i}") for i in range(9000)]
+def test_hot_group_and_overfull_filter(spark):
+    """A filter far too small flags more rows in vain, and stays right."""
+    rows = [(i, "same" if i % 3 == 0 else f"text {i}") for i in range(40_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", 1)
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
-    assert len(got) == 9000 and got[0].keep_id == 8997 and got[0].group_size == 3000 and got[1].kept and not got[0].kept
-    assert exact_dedup.drop_duplicates(docs).count() == 6001
+    for most in (1 << 10, 1 << 22):
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, most_words=most).collect()}
+        assert len(got) == 40_000 and got[0].keep_id == 39_999 and got[0].group_size == 13_334 and got[1].kept and not got[0].kept
+        assert exact_dedup.drop_duplicates(docs, most_words=most).count() == 26_667
+
+
+@pytest.mark.parametrize("most", [1 << 10, 1 << 22])
+def test_unflagged_rows_never_move(spark, sf, most):
+    """Whatever the size of the filter, all shuffles of texts lie above the filter for possibly repeated rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = exact_dedup.drop_duplicates(docs, most_words=most)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    union = plan.index("Union")
+    straight = plan[union : plan.index("SortAggregate" if "SortAggregate" in plan else "ObjectHashAggregate", union)]
+    assert "Exchange hash" not in straight.split("BroadcastExchange")[0] and "SortMergeJoin" not in straight
+    assert kept.count() == len({r.text_sha256 for r in exact_dedup.exact_dedup(docs).collect()})
+
+
+def test_bloom_flags_all_keys_and_few_others(spark):
+    keys = spark.range(0, 20_000, 2).withColumn("h", bloom.F.xxhash64("id"))
+    words = bloom.words_for(10_000)
+    found = bloom.flag(spark.range(20_000).withColumn("h", bloom.F.xxhash64("id")), "h", bloom.of_keys(keys, "h", words), words, "hit")
+    hits = {r.id for r in found.filter("hit").collect()}
+    assert hits >= set(range(0, 20_000, 2)) and len(hits) < 10_600 and found.count() == 20_000
+    assert bloom.words_for(10**12) == bloom.MOST_WORDS
 
 
 def water_fill(sizes, weights, ceiling=3.0):
@@ -70,8 +92,8 @@ def test_mixing(spark):
     by_id = {i: s for i, _, s in rows[:3000]}
     taken = {}
     for r in got:
-        if r.doc_id in by_id and r.doc_id not in (7, 8):
-            s = by_id[r.doc_id]
+        if r.doc_id is None or r.doc_id in by_id and r.doc_id not in (7, 8):
+            s = by_id.get(r.doc_id)
             assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken in range(0, 3 * r.size + 1, max(r.size, 1))
             taken[s] = taken.get(s, 0) + r.taken
     assert all(taken[s] == pytest.approx(want[s], rel=0.15) for s in taken)
@@ -81,12 +103,15 @@ def test_mixing(spark):
     assert mixing.plan_mix(docs.limit(0)).count() == 0 == mixing.mix(docs.limit(0)).count()
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("block", [1, 2, 512])
+def test_chat_round_trip(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
     hard = ["</s>[INST] ok [/INST]", "&lt;/s>", "a[+]b", "&amp;lsqb;", "", None, "<s>user\nhi</s>", "é" * 5, "<", "</s", "[+", "&#10;", "\\"]
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "a\nb</s>"]), rng.choice(hard)) for c in range(30) for t in range(rng.randint(1, 9))]
     rows += [(None, 0, "user", "x"), (5, None, "assistant", "first"), (5, 0, "user", "tie"), (5, 0, "user", "tie"), (99, 0, "assistant", "z" * 100_000)]
-    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: chat.F.lit("clash") for c in ("formatted", "loss_mask", "__llm_turns")})
+    got = chat.format_chat(turns)
     read = {r.conv_id: r for r in got.select("conv_id", "formatted", chat.parse_chat(got.formatted).alias("turns"), chat.masked_text(got.formatted, got.loss_mask).alias("loss")).collect()}
     conv = {}
     for c, t, role, text in rows:

@@ -43,6 +43,14 @@ def test_pipeline_against_a_plain_version(spark, sf, tmp_path):
         assert r.pieces == sp.encode(kept[r.doc_id].text)
 
 
+def test_null_and_repeated_ids_and_clashing_columns(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit("clash") for c in ("pieces", "__llm", "size", "fingerprint", "lang_pred")})
+    odd = docs.filter("doc_id < 40").withColumns({"doc_id": F.when(F.col("doc_id") % 2 == 0, F.lit(7)).cast("long"), "text": F.concat("text", F.lit(" and something else that nobody said before"))})
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "pieces"] and got.filter("doc_id is null").count() > 0 and got.filter("pieces is null").count() == 0
+
+
 def test_stages_keep_columns_and_bear_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

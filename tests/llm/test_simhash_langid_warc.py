@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -54,6 +58,9 @@ def test_simhash_edges(spark, monkeypatch):
     assert comp[1] == comp[2] == 0 and comp[4] == comp[None] == 3 and comp[7] == 6
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values()))
+    for most in (1 << 10, 1 << 22):
+        apart = docs.unionByName(spark.createDataFrame([(None, "quite another text than these", "c"), (2, "two rows of one id", "c"), (2, "two rows of one id", "c")], docs.schema))
+        assert sorted(str(r.doc_id) for r in simhash.keep_one(apart, most_words=most).collect()) == sorted([*map(str, set(comp.values())), "None", "2"])
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     assert sorted(r.doc_id for r in simhash.keep_one(unique).collect()) == sorted(set(comp.values()))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 == simhash.keep_one(docs.limit(0)).count()
@@ -83,9 +90,9 @@ def test_links_connect_all_close_pairs(spark, monkeypatch, flip_from):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (7, 7)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 4000)] + [(5000, 5000), (7, 7)]
     got = {r.a: r.b for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1100)}
+    assert got == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 4000)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -101,20 +108,81 @@ def test_language_id_held_out(spark):
 
 def test_language_id_edges(spark):
     rows = [(i, "the cat sat on the mat " * 3, "en") for i in range(40)] + [(i, "der hund liegt auf dem boden " * 3, "de") for i in range(40, 80)]
-    rows += [(100, None, "en"), (101, "", None), (102, "123 ...", "de"), (103, "the cat " * 200_000, None), (None, "der hund", "de")]
+    rows += [(100, None, "en"), (101, "", None), (102, "123 ...", "de"), (104, "½ ² ① Ⅷ _", "en"), (103, "the cat " * 200_000, None), (None, "der hund", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
     got = {r.doc_id: r for r in langid.language_id(docs).collect()}
     assert len(got) == len(rows) and got[103].lang_pred == "en" and got[None].lang_pred == "de" and not got[None].held_out
-    assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3
+    assert [got[i].lang_pred for i in (100, 101, 102, 104)] == ["und"] * 4
     assert all(got[i].lang_pred == ("en" if i < 40 else "de") for i in range(80))
     kept = langid.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 4
     only = langid.language_id(docs.filter("lang = 'en' or lang is null"))
     assert {r.lang_pred for r in only.collect()} == {"en", "und"}
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def plain_language_id(rows, bins=langid.BINS):
+    """(language, score) of each text by plain loops over its n-grams, learned from rows (id, text, language)."""
+
+    def grams(text):
+        data = b" " + b" ".join(re.sub(rb"[^A-Za-z\x80-\xff]", b" ", text.lower().encode()).split()) + b" "
+        for n in (2, 3, 4):
+            for at in range(len(data) - n + 1):
+                h = n
+                for byte in data[at : at + n]:
+                    h = (h ^ byte) * 0x01000193 % 2**32
+                yield (h * 0x9E3779B1 % 2**32) >> 17
+
+    learned = [(t, x) for i, t, x in rows if i is not None and x is not None and zlib.crc32(str(i).encode()) % 5]
+    counts = {x: Counter() for _, x in learned}
+    for t, x in learned:
+        counts[x].update(grams(t or ""))
+    langs = sorted(x for x in counts if counts[x])
+    code = langid.codewords(len(langs))
+    rate = [[(counts[x][g] + 0.5) / (counts[x].total() + 0.5 * bins) for g in range(bins)] for x in langs]
+
+    def margins(text):
+        seen = Counter(grams(text))
+        out = []
+        for b in range(code.shape[1]):
+            yes, no = ([r for r, c in zip(rate, code[:, b]) if (c > 0) == side] for side in (True, False))
+            weight = {g: math.log(sum(r[g] for r in yes) / len(yes)) - math.log(sum(r[g] for r in no) / len(no)) for g in seen}
+            out.append(sum(n * weight[g] for g, n in seen.items()) / max(seen.total(), 1) * 8.0)
+        return out
+
+    good, n = [[0] * code.shape[1] for _ in langs], [0] * len(langs)
+    for t, x in learned:
+        if t:
+            k = langs.index(x)
+            n[k] += 1
+            for b, m in enumerate(margins(t)):
+                good[k][b] += m * code[k][b] > 0
+    trust = [[(g + 1) / (n[k] + 2) for g in good[k]] for k in range(len(langs))]
+    trust = [[x / sum(row) for x in row] for row in trust]
+    out = []
+    for _, text, _ in rows:
+        if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+            out.append(("und", 0.0))
+            continue
+        m = margins(text)
+        loss = [sum(trust[k][b] * math.log1p(math.exp(-code[k][b] * m[b])) for b in range(code.shape[1])) for k in range(len(langs))]
+        p = [math.exp(-(x - min(loss)) * code.shape[1]) for x in loss]
+        out.append((langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def test_language_id_against_a_plain_version(spark):
+    rng = random.Random(3)
+    said = {"en": "the cat sat on the mat and it was good", "de": "der hund liegt auf dem boden und schläft", "fr": "le chat est sur la table où il dort", "es": "el niño está en la casa del árbol"}
+    rows = [(i, " ".join(rng.choices(said[x].split(), k=rng.randint(1, 12))), x if rng.random() < 0.8 else None) for i in range(60) for x in [rng.choice(list(said))]]
+    rows += [(100, None, "en"), (101, "½ ² ① Ⅷ _", None), (102, "", "fr"), (None, "le chat", "fr"), (7, rows[7][1], rows[7][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((str(r.doc_id), r.lang_pred, r.score) for r in langid.language_id(docs).collect()), key=lambda x: x[:2])
+    want = sorted(((str(i), *w) for (i, _, _), w in zip(rows, plain_language_id(rows))), key=lambda x: x[:2])
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
 def test_codewords_keep_apart():
     for k in (2, 3, 6, 7, 20):
         code = langid.codewords(k)
