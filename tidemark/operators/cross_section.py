@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, running_before, with_rank
+
 
 def average_rank(x: str, cohort: Sequence[str]) -> Column:
     """1-based rank with ties sharing their mean, over rows where x is not null."""
@@ -37,8 +40,7 @@ def zscore(df: DataFrame, cohort: Sequence[str], x: str) -> DataFrame:
 
 def winsorize(df: DataFrame, cohort: Sequence[str], x: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """<x>_w: x clipped to the cohort's quantiles (linear between values)."""
-    cut = df.groupBy(*cohort).agg(F.percentile(x, lower).alias("__lo"), F.percentile(x, upper).alias("__hi"))
-    joined = df.join(cut, list(cohort), "left")
+    joined = df.join(quantiles(df, cohort, x, {"__lo": lower, "__hi": upper}), list(cohort), "left")
     return joined.withColumn(f"{x}_w", F.when(F.col(x).isNotNull(), F.least(F.greatest(x, "__lo"), "__hi"))).drop("__lo", "__hi")
 
 
@@ -50,35 +52,80 @@ def deciles(df: DataFrame, cohort: Sequence[str], score: str, result: str, bins:
     return ranked.filter(F.col("__n") >= bins).groupBy(*cohort, "decile").agg(F.count("*").alias("n"), F.avg(result).alias("mean_result"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson's correlation where both are known; NULL, and no error, where one does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def rank_correlation(df: DataFrame, cohort: Sequence[str], a: str, b: str, least: int = 3) -> DataFrame:
     """(cohort, n, ic): Spearman's correlation; NULL for small or constant cohorts."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.withColumns({"__a": average_rank(a, cohort), "__b": average_rank(b, cohort)})
     moved = (F.count_distinct(a) > 1) & (F.count_distinct(b) > 1) & (F.count("*") >= least)
-    return ranked.groupBy(*cohort).agg(F.count("*").alias("n"), F.when(moved, F.corr("__a", "__b")).alias("ic"))
+    return ranked.groupBy(*cohort).agg(F.count("*").alias("n"), F.when(moved, correlation(F.col("__a"), F.col("__b"))).alias("ic"))
 
 
-def offset_summary(ic: DataFrame, month: str, horizon: int, least_months: int = 24, least_each: int = 6) -> DataFrame:
-    """Statistics of a monthly series in ``horizon`` classes that do not overlap: (classes, mean_ic, mean_t, positive_share).
+def offset_summary(ic: DataFrame, month: str, horizon: int, least_months: int = 24, least_each: int = 6, keys: Sequence[str] = ()) -> DataFrame:
+    """Statistics of monthly series in ``horizon`` classes that do not overlap: (keys, classes, months, mean_ic, mean_t, positive_share).
 
-    A series of months is some hundred rows, whatever the panel.
+    Classes of few months or without deviation count for neither mean; months and the positive share are
+    those of the whole series, where an ic within 1e-12 of zero is not positive. Too short series give no
+    row. A series of months is some hundred rows, whatever the panel.
     """
-    numbered = ic.filter("ic is not null").withColumn("__i", F.row_number().over(Window.orderBy(month)) - 1)
-    per = numbered.groupBy(F.pmod("__i", F.lit(horizon)).alias("__k")).agg(
-        F.count("*").alias("n"), F.avg("ic").alias("m"), F.try_divide(F.avg("ic"), F.stddev_samp("ic") / F.sqrt(F.count("*"))).alias("t"), F.avg((F.col("ic") > 0).cast("double")).alias("p")
+    numbered = ic.filter("ic is not null").withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(month)) - 1)
+    per = numbered.groupBy(*keys, F.pmod("__i", F.lit(horizon)).alias("__k")).agg(F.count("*").alias("n"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.count_if(F.col("ic") > 1e-12).alias("p"))
+    kept = (F.col("n") >= least_each) & (F.col("s") > 0)
+    out = per.groupBy(*keys).agg(
+        F.count_if(kept).alias("classes"), F.sum("n").alias("months"), F.avg(F.when(kept, F.col("m"))).alias("mean_ic"),
+        F.avg(F.when(kept, F.col("m") / (F.col("s") / F.sqrt("n")))).alias("mean_t"), (F.sum("p") / F.sum("n")).alias("positive_share"),
     )
-    kept = per.filter(F.col("n") >= least_each)
-    return kept.agg(F.count("*").alias("classes"), F.sum("n").alias("months"), F.avg("m").alias("mean_ic"), F.avg("t").alias("mean_t"), F.avg("p").alias("positive_share")).filter(F.col("months") >= least_months)
+    return out.filter((F.col("months") >= least_months) & (F.col("classes") > 0))
+
+
+def feature_report(df: DataFrame, features: Sequence[str], month: str, target: str, stratum: str, horizon: int, half_at: str, least_names: int = 8, least_months: int = 24, least_stratum: int = 12, least_average: float = 15) -> DataFrame:
+    """A row a feature: its monthly rank correlation with the target over classes of months, its stability and a label.
+
+    (feature, months, mean_ic, mean_t, positive_share, missing_pct, names, first_half, second_half, strata, label).
+    DATA_QUALITY_LIMITED: over half is missing, too few months or too few names a month. UNSTABLE: the sign
+    differs between halves or strata. PROMISING: |ic| >= 0.03 with |t| >= 2 and at most 30 % missing. Else WEAK.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("__x")) for f in features]))
+    long = df.select(F.col(month).alias("__m"), F.col(target).alias("__y"), F.col(stratum).alias("__s"), each.alias("f")).select("__m", "__y", "__s", "f.*")
+    ic = rank_correlation(long, ["feature", "__m"], "__x", "__y", least_names).filter("ic is not null")
+    first = F.col("__m") < F.lit(half_at).cast(df.schema[month].dataType)
+    halves = ic.groupBy("feature").agg(*[F.when(F.count(F.when(c, 1)) >= least_stratum, F.avg(F.when(c, F.col("ic")))).alias(n) for c, n in ((first, "first_half"), (~first, "second_half"))])
+    strata = rank_correlation(long.filter(F.col("__s").isNotNull()), ["feature", "__s", "__m"], "__x", "__y", least_names).filter("ic is not null")
+    strata = strata.groupBy("feature", "__s").agg(F.count("*").alias("n"), F.avg("ic").alias("ic")).filter(F.col("n") >= least_stratum)
+    sign = lambda c: F.when(F.abs(c) >= 1e-12, F.signum(c))
+    strata = strata.groupBy("feature").agg(F.count("*").alias("strata"), F.min(sign(F.col("ic"))).alias("__lo"), F.max(sign(F.col("ic"))).alias("__hi"))
+    missing = long.groupBy("feature").agg((F.avg(F.col("__x").isNull().cast("double")) * 100).alias("missing_pct"))
+    pairs = long.filter(F.col("__x").isNotNull() & F.col("__y").isNotNull()).groupBy("feature", "__m").agg(F.count("*").alias("n")).groupBy("feature").agg(F.avg("n").alias("names"))
+    out = missing
+    for t in (pairs, offset_summary(ic, "__m", horizon, least_months, keys=["feature"]), halves, strata):
+        out = out.join(t, "feature", "left")
+    signs = [F.col("__lo"), F.col("__hi"), sign(F.col("first_half")), sign(F.col("second_half"))]
+    i, t = F.col("mean_ic"), F.col("mean_t")
+    poor = (F.col("missing_pct") > 50) | i.isNull() | (F.coalesce("names", F.lit(0.0)) < least_average)
+    agrees = F.coalesce(sign(i) == F.coalesce(*signs), F.lit(True))
+    promising = (F.abs(i) >= 0.03) & (F.abs(t) >= 2) & (F.col("missing_pct") <= 30) & agrees
+    label = F.when(poor, "DATA_QUALITY_LIMITED").when(F.greatest(*signs) != F.least(*signs), "UNSTABLE").when(F.abs(i) < 0.02, "WEAK").when(promising, "PROMISING").otherwise("WEAK")
+    return out.select("feature", "months", "mean_ic", "mean_t", "positive_share", "missing_pct", "names", "first_half", "second_half", F.coalesce("strata", F.lit(0)).cast("long").alias("strata"), label.alias("label"))
 
 
 def auc(df: DataFrame, groups: Sequence[str], score: str, outcome: str, least: int = 1) -> DataFrame:
-    """(groups, n_pos, n_neg, auc) by rank sums; NULL with fewer than ``least`` rows of a class."""
+    """(groups, n_pos, n_neg, auc): the share of pairs of a hit and a miss that the score puts right, ties by half.
+
+    NULL with fewer than ``least`` rows of a class. Counts by score are added up over ranges of scores.
+    """
     both = df.filter(F.col(score).isNotNull() & F.col(outcome).isNotNull())
-    ranked = both.withColumn("__r", average_rank(score, groups))
-    pos, neg = F.count_if(F.col(outcome) == 1), F.count_if(F.col(outcome) == 0)
-    total = F.sum(F.when(F.col(outcome) == 1, F.col("__r")))
-    value = F.try_divide(total - pos * (pos + 1) / 2, pos * neg)
-    return ranked.groupBy(*groups).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos >= least) & (neg >= least), value).alias("auc"))
+    counts = both.groupBy(*groups, score).agg(F.count_if(F.col(outcome) == 1).alias("pos"), F.count_if(F.col(outcome) == 0).alias("neg"))
+    placed = running_before(counts, groups, score, ["neg"])
+    pos, neg = F.sum("pos"), F.sum("neg")
+    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    value = F.when((pos >= least) & (neg >= least), F.try_divide(won, pos * neg))
+    return placed.groupBy(*groups).agg(pos.alias("n_pos"), neg.alias("n_neg"), value.alias("auc"))
 
 
 def odds_ratio(df: DataFrame, groups: Sequence[str], flag: str, outcome: str, least: int = 50) -> DataFrame:
@@ -93,19 +140,19 @@ def odds_ratio(df: DataFrame, groups: Sequence[str], flag: str, outcome: str, le
 
 
 def redundancy(df: DataFrame, columns: Sequence[str], threshold: float = 0.85, least: int = 200) -> DataFrame:
-    """(a, b, n, rho): pairs of columns whose rank correlation reaches the threshold. One pass ranks all columns."""
-    from itertools import combinations
-
-    pairs = list(combinations(columns, 2))
-    parts = []
-    for a, b in pairs:
-        both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        parts.append(both)
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    found = rank_correlation(long, ["a", "b"], "x", "y", least)
-    return found.filter(F.abs("ic") >= threshold).select("a", "b", "n", F.col("ic").alias("rho"))
+    """(a, b, n, rho): pairs of columns whose rank correlation reaches the threshold.
+
+    Each column is ranked once, over its own values; a pair is correlated where both are there.
+    """
+    ranked, total = df.select(*[F.col(c).cast("double").alias(c) for c in columns]), df.count()
+    for c in columns:
+        ranked = with_rank(ranked, c, f"__{c}", total)
+    pairs = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.col(f"__{a}") + F.col(f"__{b}")).alias("n"), correlation(F.col(f"__{a}"), F.col(f"__{b}")).alias("rho"))
+        for a, b in combinations(columns, 2)
+    ]
+    found = ranked.agg(*[p.alias(f"p{i}") for i, p in enumerate(pairs)]).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p"))
+    return found.select("p.*").filter((F.col("n") >= least) & (F.abs("rho") >= threshold))
 
 
 def top_bottom(df: DataFrame, cohort: Sequence[str], score: str, result: str, tie: str, share: float = 0.2) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cross_section import average_rank
+from .cross_section import average_rank, correlation
+from .ranks import quantiles
 
 
 def regression_metrics(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
@@ -18,7 +19,7 @@ def regression_metrics(df: DataFrame, groups: Sequence[str], y: str, p: str) ->
     e = F.col(y) - F.col(p)
     moved = (F.count("*") >= 3) & (F.count_distinct(y) > 1) & (F.count_distinct(p) > 1)
     return ranked.groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(moved, F.corr(y, p)).alias("pearson"), F.when(moved, F.corr("__a", "__b")).alias("spearman")
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(moved, correlation(F.col(y), F.col(p))).alias("pearson"), F.when(moved, correlation(F.col("__a"), F.col("__b"))).alias("spearman")
     )
 
 
@@ -48,13 +49,11 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, n, missing, mean, std, p10, p50, p90) per column, in one pass over the table."""
+    """(name, n, missing, mean, std, p10, p50, p90) per column."""
     cols = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.explode(cols).alias("c")).select("c.*")
-    return long.groupBy("name").agg(
-        F.count("x").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        *[F.percentile("x", q / 100).alias(f"p{q}") for q in (10, 50, 90)],
-    )
+    plain = long.groupBy("name").agg(F.count("x").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    return plain.join(quantiles(long, ["name"], "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "name", "left")
 
 
 def trade_stats(trades: DataFrame, groups: Sequence[str], r: str, least: int = 10) -> DataFrame:
