@@ -148,28 +148,6 @@ def test_collapse_sources_against_a_loop(spark, sf):
     assert got == want
 
 
-PLAN = {"entry": 10.0, "stop": 9.0, "target_1": 12.0, "target_2": 14.0, "invalidation": 8.0, "expires": day(9)}
-
-
-@pytest.mark.parametrize("path, want", [
-    ([(11, 11.5, 10.5, 11)], []),
-    ([(11, 11, 9.5, 10), (10, 12.5, 9.5, 12)], ["ENTRY", "TARGET_1"]),
-    ([(11, 11, 9.5, 10), (10, 15, 9.5, 12)], ["ENTRY", "TARGET_1", "TARGET_2"]),
-    ([(11, 11, 8.5, 10)], ["ENTRY", "STOP"]),
-    ([(11, 11, 9.5, 10), (8.5, 9, 8, 9)], ["ENTRY", "STOP_GAP"]),
-    ([(11, 11, 9.5, 10), (10, 12.5, 8.5, 12)], ["ENTRY", "AMBIGUOUS"]),
-    ([(11, 12, 10.5, 11)] * 9 + [(9.5, 9.9, 9.1, 9.5)], ["EXPIRED"]),
-])
-def test_plan_events(spark, path, want):
-    bars_ = [(day(i + 1), *map(float, p)) for i, p in enumerate(path)]
-    assert [e[2] for e in simulate.run_plan(PLAN, bars_)] == want
-    frame = spark.createDataFrame([("t", *b, *PLAN.values()) for b in bars_], "t string, session_date date, open double, high double, low double, close double, entry double, stop double, target_1 double, target_2 double, invalidation double, expires date")
-    log = simulate.simulate(frame, "t")
-    assert [r.event for r in log.orderBy("sequence_number").collect()] == want
-    again = simulate.append_suffix(log.limit(1), log, "t")
-    assert again.count() == max(0, len(want) - 1)
-
-
 def test_replay_weighs_exits_by_their_fractions(spark):
     log = spark.createDataFrame([("t", 1, "ENTRY", 10.0, 0.0, "ENTERED"), ("t", 2, "TARGET_1", 12.0, 0.5, "PARTIAL"), ("t", 3, "STOP", 9.0, 0.5, "STOPPED")], "t string, sequence_number int, event string, price double, fraction double, state string")
     r = simulate.replay(log, "t").first()
@@ -188,7 +166,7 @@ def test_undo_and_replay_meet(spark):
 
 def test_succession_leaves_cycles_out(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 7)], "o int, n int")
-    assert rows(universe.succession_closure(e, "o", "n", rounds=6)) == [(1, 4, 3), (2, 4, 2), (3, 4, 1)]
+    assert rows(universe.succession_closure(e, "o", "n")) == [(1, 4, 3), (2, 4, 2), (3, 4, 1)]
 
 
 def test_ttm_reasons(spark):
@@ -254,3 +232,117 @@ def test_class_sets_need_a_pool_of_their_size(spark):
 
     legs = spark.createDataFrame([("c", 1, ["B", "A"]), ("c", 2, ["A", "B"]), ("d", 1, ["A", "B"]), ("e", 1, ["A", "B"]), ("e", 2, ["A", "C"])], "clause string, place int, pool array<string>")
     assert rows(review.class_sets(legs, "clause", "pool")) == [("c", 1, "A"), ("c", 2, "B")]
+
+
+def test_matching_in_rounds_against_a_loop(spark):
+    """Chains in which each pair taken frees or blocks the next, across bands of days, and a large group."""
+    from tidemark.operators import review
+
+    rng = __import__("random").Random(5)
+    l = [(g, g * 10_000 + i, D(2020, 1, 1) + dt.timedelta(rng.randint(0, 300))) for g in range(3) for i in range(60)]
+    r = [(g, g * 10_000 + 5_000 + i, D(2020, 1, 1) + dt.timedelta(rng.randint(0, 300))) for g in range(3) for i in range(50)]
+    used, want = set(), set()
+    for gap, x, y in sorted((abs((d - e).days), x, y) for g, x, d in l for h, y, e in r if g == h and abs((d - e).days) <= 7):
+        if x not in used and y not in used:
+            used |= {x, y}
+            want.add((x, y, gap))
+    got = review.match_one_to_one(spark.createDataFrame(l, "g int, x long, d date"), spark.createDataFrame(r, "g int, y long, e date"), "g", "x", "y", "d", "e", 7)
+    assert {(m.x, m.y, m.days_apart) for m in got.collect()} == want
+
+
+def test_match_discovery_against_a_loop(spark, sf):
+    from tidemark import plans
+
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"), "o_orderstatus").collect()
+    by = {}
+    for x in o:
+        by.setdefault(x.o_custkey, {"F": [], "O": [], "P": []})[x.o_orderstatus].append((x.o_orderkey, x.d))
+    want = set()
+    for c, k in by.items():
+        used = set()
+        for gap, f, q in sorted((abs((d - e).days), f, q) for f, d in k["F"] for q, e in k["O"] if abs((d - e).days) <= 120):
+            if f not in used and q not in used:
+                used |= {f, q}
+                want.add((c, f, q, gap))
+    assert {tuple(r) for r in plans.QUERIES["match_discovery"](spark, sf).select("o_custkey", "f", "o", "days_apart").collect()} == want
+
+
+def test_succession_with_cycles_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("w", "x")], "o string, n string")
+    assert rows(universe.succession_closure(edges, "o", "n")) == [("a", "c", 2), ("b", "c", 1)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "o int, n int")
+    assert rows(universe.succession_closure(chain, "o", "n").filter("o = 0")) == [(0, 70, 70)]
+
+
+def test_ranks_and_quantiles_of_whole_columns(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import ranks
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 4000), "x": np.where(rng.random(4000) < 0.4, 7.0, np.round(rng.normal(size=4000), 2)), "y": rng.normal(size=4000)})
+    pdf.loc[rng.random(4000) < 0.1, "x"] = None
+    pdf["z"] = pdf["x"] * 2 + rng.normal(size=4000) * 0.01
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "g long, x double, y double, z double")
+    want = pdf.dropna(subset="x").drop_duplicates("x").set_index("x").index
+    expected = dict(zip(pdf["x"].dropna(), pdf["x"].dropna().rank()))
+    assert {r.x: r["rank"] for r in ranks.value_ranks(df, [], "x").collect()} == expected and len(want) == len(expected)
+    q = {r.g: (r.a, r.b) for r in ranks.quantiles(df, ["g"], "x", {"a": 0.25, "b": 0.9}).collect()}
+    for g, part in pdf.groupby("g"):
+        assert q[g] == (pytest.approx(part["x"].quantile(0.25)), pytest.approx(part["x"].quantile(0.9)))
+    got = {(r.a, r.b): r.rho for r in cross_section.redundancy(df, ["x", "y", "z"], threshold=0.0, least=1).collect()}
+    corr = pdf[["x", "y", "z"]].rank().corr()
+    assert got == {(a, b): pytest.approx(corr.loc[a, b]) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))}
+    few = spark.createDataFrame([(1.0, 5.0, 4.0), (2.0, None, 1.0), (3.0, 1.0, None), (4.0, 2.0, 3.0), (5.0, 4.0, 2.0), (None, 3.0, 5.0)], "a double, b double, c double")
+    fewp = pd.DataFrame([(1.0, 5.0, 4.0), (2.0, None, 1.0), (3.0, 1.0, None), (4.0, 2.0, 3.0), (5.0, 4.0, 2.0), (None, 3.0, 5.0)], columns=list("abc")).rank().corr()
+    assert {(r.a, r.b): r.rho for r in cross_section.redundancy(few, ["a", "b", "c"], 0.0, 1).collect()} == {(a, b): pytest.approx(fewp.loc[a, b]) for a, b in (("a", "b"), ("a", "c"), ("b", "c"))}
+
+
+def test_offset_summary_leaves_out_classes_without_deviation(spark):
+    ic = spark.createDataFrame([(i, 0.1 if i % 3 == 0 else 0.01 * (i % 7) - 0.02) for i in range(30)], "m int, ic double")
+    r = cross_section.offset_summary(ic, "m", 3).first()
+    import pandas as pd
+
+    s = pd.Series([0.1 if i % 3 == 0 else 0.01 * (i % 7) - 0.02 for i in range(30)])
+    classes = [s[k::3] for k in (1, 2)]
+    assert (r.classes, r.months) == (2, 30) and r.mean_ic == pytest.approx(sum(c.mean() for c in classes) / 2)
+    assert r.positive_share == pytest.approx((s > 1e-12).mean()) and r.mean_t == pytest.approx(sum(c.mean() / (c.std() / len(c) ** 0.5) for c in classes) / 2)
+
+
+def test_technical_panel_against_pandas(spark):
+    """The folded features and the rest of one series with a hole, against rolling pandas."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import features
+
+    rng = np.random.default_rng(11)
+    n, spans = 60, features.Spans(month=2, quarter=5, half=7, year=9, short=3, middle=5, long=8, slope=2, wilder=4)
+    close = 50 * np.exp(np.cumsum(rng.normal(size=n) * 0.03))
+    pdf = pd.DataFrame({"o": [i + (i >= 40) for i in range(n)], "high": close * 1.02, "low": close * 0.97, "close": close, "volume": rng.integers(1, 99, n).astype(float)})
+    df = spark.createDataFrame([("k", D(2024, 1, 1) + dt.timedelta(int(r.o)), int(r.o), r.high, r.low, r.close, r.volume) for r in pdf.itertuples()], "k string, d date, ordinal int, high double, low double, close double, volume double")
+    got = features.technical_panel(df, "k", "d", spans).toPandas().sort_values("d").reset_index(drop=True)
+    c, v, r = pdf["close"], pdf["volume"], np.log(pdf["close"] / pdf["close"].shift())
+    tr = pd.concat([pdf["high"] - pdf["low"], (pdf["high"] - c.shift()).abs(), (pdf["low"] - c.shift()).abs()], axis=1).max(axis=1)[1:]
+
+    def wilder(x, k):
+        out, state = [None] * (k - 1), x[:k].mean()
+        out.append(state)
+        for value in x[k:]:
+            state = (state * (k - 1) + value) / k
+            out.append(state)
+        return [None, *out]
+
+    atr = pd.Series(wilder(tr, 4), dtype=float)
+    up, dn = (pd.Series(wilder((s * c.diff()[1:]).clip(lower=0), 4), dtype=float) for s in (1, -1))
+    clean = lambda w: pdf["o"] - pdf["o"].shift(w) == w
+    want = {
+        "ema_distance_short": c / c.ewm(span=3, adjust=False, min_periods=3).mean() - 1, "atr_pct": atr / c, "atr_normalized": atr / atr.rolling(9).mean(), "rsi": 100 - 100 / (1 + up / dn),
+        "ret_quarter": (c / c.shift(5) - 1).where(clean(5)), "skew": r.rolling(5).skew().where(clean(5)), "kurtosis": r.rolling(5).kurt().where(clean(5)), "slope_long": c.rolling(8).mean().pct_change(2),
+        "volume_z_quarter": (v - v.rolling(5).mean()) / v.rolling(5).std(), "drawdown_year": (c / c.rolling(9).max() - 1).where(clean(9)), "vol_half": (r.rolling(7).std() * 252**0.5).where(clean(7)),
+    }
+    for k, x in want.items():
+        assert np.allclose(got[k].astype(float), x.astype(float), equal_nan=True), k
+    why = {(x.d, x.feature): x.reason for x in features.with_reasons(features.technical_panel(df, "k", "d", spans), "k", "d", spans).collect()}
+    assert why[D(2024, 1, 1), "rsi"] == "NOT_ENOUGH_HISTORY" and why[D(2024, 1, 1) + dt.timedelta(41), "ret_quarter"] == "PROVIDER_GAP" and why[D(2024, 1, 1) + dt.timedelta(60), "rsi"] is None

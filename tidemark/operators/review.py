@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .machine import OPEN
+
 
 def trade_levels(price: Column, atr: Column, profile: dict[str, float]) -> list[Column]:
     """entry, stop and targets at 1.5, 2 and 3 times the risk; NULL without a positive range."""
@@ -31,7 +34,7 @@ def observations(path: DataFrame, trade: str, day: str, offsets: Sequence[int])
 def milestones(log: DataFrame, trade: str) -> DataFrame:
     """(trade, entered, first_target, ended, days_held) from an event log."""
     at = lambda test: F.min(F.when(test, F.col("session_date")))
-    ended = at(F.col("state").isin("STOPPED", "CLOSED", "AMBIGUOUS", "INVALIDATED", "EXPIRED"))
+    ended = at(~F.col("state").isin(*OPEN))
     agg = log.groupBy(trade).agg(at(F.col("event") == "ENTRY").alias("entered"), at(F.col("event") == "TARGET_1").alias("first_target"), ended.alias("ended"))
     return agg.withColumn("days_held", F.datediff("ended", "entered"))
 
@@ -80,15 +83,22 @@ def certain_members(anchor: DataFrame, legs: DataFrame, key: str, at: Column) ->
 def match_one_to_one(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, left_day: str, right_day: str, days: int) -> DataFrame:
     """(group, left_id, right_id, days_apart): pairs within ``days``, nearest first, each row used once.
 
-    A group's candidate pairs are folded in order; a group is one security's announcements, some dozen rows.
+    Pairs meet in bands of days, never all of a group. Of the pairs left, those that are the nearest of
+    both their rows are taken at once, and the pairs of their rows go; rounds are cut until none is left.
     """
-    l = left.select(group, F.col(left_id).cast("long").alias("__l"), F.col(left_day).alias("__ld"))
-    r = right.select(group, F.col(right_id).cast("long").alias("__r"), F.col(right_day).alias("__rd"))
-    gap = F.abs(F.datediff("__ld", "__rd"))
-    pairs = l.join(r, group).withColumn("__gap", gap).filter(F.col("__gap") <= days)
-    lists = pairs.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("__gap").alias("g"), F.col("__l").alias("l"), F.col("__r").alias("r")))).alias("__p"))
-    fold = F.expr("aggregate(__p, slice(__p, 1, 0), (acc, x) -> if(exists(acc, a -> a.l = x.l or a.r = x.r), acc, concat(acc, array(x))))")
-    return lists.select(group, F.explode(fold).alias("m")).select(group, F.col("m.l").alias(left_id), F.col("m.r").alias(right_id), F.col("m.g").alias("days_apart"))
+    band = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / (days + 1))
+    l = left.select(group, F.col(left_id).cast("long").alias("__l"), F.col(left_day).alias("__ld"), F.explode(F.array(*[band(F.col(left_day)) + k for k in (-1, 0, 1)])).alias("__b"))
+    r = right.select(group, F.col(right_id).cast("long").alias("__r"), F.col(right_day).alias("__rd"), band(F.col(right_day)).alias("__b"))
+    open_ = cut(l.join(r, [group, "__b"]).select(group, F.abs(F.datediff("__ld", "__rd")).alias("__g"), "__l", "__r").filter(F.col("__g") <= days).distinct())
+    taken = None
+    while not open_.isEmpty():
+        nearest = {f"__of{side}": F.min(F.struct("__g", "__l", "__r")).over(Window.partitionBy(group, side)) for side in ("__l", "__r")}
+        mutual = open_.withColumns(nearest).filter("__of__l = __of__r and __of__l.__l = __l and __of__l.__r = __r")
+        now = cut(mutual.select(group, "__g", "__l", "__r"))
+        taken = now if taken is None else taken.unionByName(now)
+        open_ = cut(open_.join(now.select(group, "__l"), [group, "__l"], "left_anti").join(now.select(group, "__r"), [group, "__r"], "left_anti"))
+    found = open_ if taken is None else taken
+    return found.select(group, F.col("__l").alias(left_id), F.col("__r").alias(right_id), F.col("__g").alias("days_apart"))
 
 
 def class_sets(legs: DataFrame, clause: str, pool: str) -> DataFrame:

@@ -1,11 +1,7 @@
-"""Path-dependent trades: first touch by windows, a state machine of limit plans by a fold, and replay from the event log."""
+"""Path-dependent trades: first touch by windows, positions by a fold, and replay from the event log (the state machine itself is in ``machine``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,76 +51,6 @@ def position_size(capital: Column, risk_share: Column, entry: Column, stop: Colu
     return F.greatest(F.lit(0), F.least(F.floor(F.try_divide(capital * risk_share, risk)), F.floor(F.try_divide(capital, entry))))
 
 
-EVENTS = "sequence_number int, session_date date, event string, price double, fraction double, state string"
-OPEN_STATES = ("PENDING", "ENTERED", "PARTIAL")
-
-
-def run_plan(plan: dict[str, Any], bars: list[tuple]) -> Iterator[tuple]:
-    """Events of one long plan over its bars (date, open, high, low, close) in order.
-
-    Entry is a limit: filled at the open if that is no higher, else at the limit when touched. On the
-    entry bar a stop is honoured and a target is not known to come after the fill. A stop comes before
-    targets; when both lie inside one bar the trade ends AMBIGUOUS. Each target sells its fraction. A
-    close beneath the invalidation ends the trade at that close; a plan not filled by its last day expires.
-    """
-    n, state, left, level = 0, "PENDING", 1.0, 0
-    targets = [t for t in (plan["target_1"], plan["target_2"]) if t is not None]
-
-    def event(day, name, price, fraction, new):
-        nonlocal n, state, left
-        n, state, left = n + 1, new, left - fraction
-        return n, day, name, price, fraction, new
-
-    for day, o, h, lo, c in bars:
-        filled = False
-        if state == "PENDING":
-            if day > plan["expires"]:
-                yield event(day, "EXPIRED", None, 0.0, "EXPIRED")
-                return
-            if lo > plan["entry"]:
-                continue
-            yield event(day, "ENTRY", min(o, plan["entry"]), 0.0, "ENTERED")
-            filled = True
-        stop = plan["stop"]
-        if o <= stop and not filled:
-            yield event(day, "STOP_GAP", o, left, "STOPPED")
-            return
-        hit_target = level < len(targets) and h >= targets[level]
-        if lo <= stop:
-            if hit_target and o < targets[level]:
-                yield event(day, "AMBIGUOUS", stop, left, "AMBIGUOUS")
-            else:
-                yield event(day, "STOP", stop, left, "STOPPED")
-            return
-        while not filled and level < len(targets) and h >= targets[level]:
-            part = left if level == len(targets) - 1 else 0.5
-            yield event(day, f"TARGET_{level + 1}", max(o, targets[level]), part, "CLOSED" if part == left else "PARTIAL")
-            level += 1
-        if state == "CLOSED":
-            return
-        if plan["invalidation"] is not None and c < plan["invalidation"]:
-            yield event(day, "INVALIDATED", c, left, "INVALIDATED")
-            return
-
-
-def simulate(path: DataFrame, trade: str) -> DataFrame:
-    """The event log of each trade. path: trade, plan columns, session_date, open, high, low, close.
-
-    The state of a trade lives in its own bars, some hundred rows; the function holds one trade.
-    """
-    key_type = dict(path.dtypes)[trade]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session_date")
-        plan = {k: None if pd.isna(v := pdf[k].iloc[0]) else v for k in ("entry", "stop", "target_1", "target_2", "invalidation", "expires")}
-        rows = list(run_plan(plan, list(pdf[["session_date", "open", "high", "low", "close"]].itertuples(index=False, name=None))))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
-        out.insert(0, trade, pdf[trade].iloc[0])
-        return out
-
-    return path.groupBy(trade).applyInPandas(one, f"{trade} {key_type}, {EVENTS}")
-
-
 def replay(log: DataFrame, trade: str) -> DataFrame:
     """(trade, state, entry, exit, ret, n_events) from the log alone: exits weighted by their fractions."""
     entry = F.max(F.when(F.col("event") == "ENTRY", F.col("price")))

@@ -70,13 +70,14 @@ def set_difference(a: DataFrame, b: DataFrame, group: Sequence[str], member: str
     return both.select(*group, member, F.when(F.col("__b").isNull(), "ONLY_A").otherwise("ONLY_B").alias("side"))
 
 
-def succession_closure(edges: DataFrame, old: str, new: str, rounds: int = 32) -> DataFrame:
+def succession_closure(edges: DataFrame, old: str, new: str) -> DataFrame:
     """(old, final, steps): each predecessor with its last successor. Chains double in length each round.
 
-    Edges have one successor per predecessor. Those on a cycle have no final successor and are left out.
+    Edges have one successor per predecessor. A chain ends within as many rounds as the logarithm of the
+    edges; what moves longer is on a cycle or leads to one, has no final successor and is left out.
     """
-    now = cut(edges.select(F.col(old).alias("o"), F.col(new).alias("n"), F.lit(1).alias("s")).filter("o <> n"))
-    for _ in range(rounds):
+    now = cut(edges.select(F.col(old).alias("o"), F.col(new).alias("n"), F.lit(1).cast("long").alias("s")).filter("o <> n"))
+    for _ in range(max(now.count(), 1).bit_length() + 1):
         ahead = now.select(F.col("o").alias("n"), F.col("n").alias("n2"), F.col("s").alias("s2"))
         step = now.join(ahead, "n", "left").select("o", F.coalesce("n2", "n").alias("n"), (F.col("s") + F.coalesce("s2", F.lit(0))).alias("s"), F.col("n2").isNotNull().alias("moved"))
         step = cut(step)

@@ -35,20 +35,10 @@ def forecast_reveal(spark, sf):
     return known.reveal(f, bars(spark, sf), ["user_id"], "target", "session_date", "close", F.lit("2024-01-28").cast("date"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)")
-def append_missing_rows(spark, sf):
-    return _missing_rows(spark, sf, table(spark, sf, "orders").filter("o_orderkey % 4 = 0"))
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)")
-def append_missing_rows_all(spark, sf):
-    """Of every order; append_missing_rows keeps the fourth that its SQL has."""
-    return _missing_rows(spark, sf, table(spark, sf, "orders"))
-
-
-def _missing_rows(spark, sf, orders):
+def append_missing_rows(spark, sf):
     stored = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
-    return append.missing(orders.select("o_orderkey", "o_custkey"), stored, ["o_orderkey"])
+    return append.missing(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), stored, ["o_orderkey"])
 
 
 @query("SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages")

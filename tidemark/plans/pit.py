@@ -163,29 +163,19 @@ EDGES = "e AS (SELECT s_suppkey AS old, s_suppkey + 1 + s_nationkey % 3 AS new F
 
 
 @query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT old, new, 1 AS steps FROM e UNION ALL SELECT c.old, e.new, c.steps + 1 FROM c JOIN e ON c.new = e.old)
-    SELECT old, arg_max(new, steps) AS final, max(steps) AS steps FROM c GROUP BY old""")
+    SELECT old, arg_max(new, steps) AS final, CAST(max(steps) AS BIGINT) AS steps FROM c GROUP BY old""")
 def succession_closure(spark, sf):
     e = table(spark, sf, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("old"), (F.col("s_suppkey") + 1 + F.col("s_nationkey") % 3).alias("new"))
     return universe.succession_closure(e, "old", "new")
 
 
-def _composition_difference(lines):
-    a, b = (lines.filter(f"l_linenumber % {k} = 0").select("l_orderkey", "l_partkey").distinct() for k in (2, 3))
-    return universe.set_difference(a, b, ["l_orderkey"], "l_partkey")
-
-
-@query("""WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey < 3000), b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber % 3 = 0 AND l_orderkey < 3000)
-    SELECT l_orderkey, l_partkey, 'ONLY_A' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT l_orderkey, l_partkey, 'ONLY_B' FROM (FROM b EXCEPT FROM a)""")
-def composition_difference(spark, sf):
-    lines = table(spark, sf, "lineitem").filter("l_orderkey < 3000")
-    return _composition_difference(lines)
-
-
 @query("""WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber % 3 = 0)
     SELECT l_orderkey, l_partkey, 'ONLY_A' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT l_orderkey, l_partkey, 'ONLY_B' FROM (FROM b EXCEPT FROM a)""")
-def composition_difference_all(spark, sf):
-    """The compositions of every order; composition_difference keeps the range of its SQL."""
-    return _composition_difference(table(spark, sf, "lineitem"))
+def composition_difference(spark, sf):
+    """Two compositions of every order: its lines of even numbers, and those of numbers divisible by three."""
+    lines = table(spark, sf, "lineitem")
+    a, b = (lines.filter(f"l_linenumber % {k} = 0").select("l_orderkey", "l_partkey").distinct() for k in (2, 3))
+    return universe.set_difference(a, b, ["l_orderkey"], "l_partkey")
 
 
 @query("""WITH p AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
@@ -195,21 +185,10 @@ def one_candidate_join(spark, sf):
     return universe.one_candidate(c, table(spark, sf, "orders").filter("o_orderstatus = 'P'"), ["o_custkey"], "o_orderpriority")
 
 
-@query(f"""WITH {BARS}, q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 50 = 0), s AS (SELECT DISTINCT session_date + ((session_date - DATE '2024-01-01') * 80) :: INT - 10500 AS session_date FROM bars)
-    SELECT d, (SELECT min(session_date) FROM s WHERE session_date >= d) AS next_session, (SELECT max(session_date) FROM s WHERE session_date < d) AS last_before FROM q""")
-def session_shifts(spark, sf):
-    return _session_shifts(spark, sf, table(spark, sf, "orders").filter("o_orderkey % 50 = 0"))
-
-
 @query(f"""WITH {BARS}, q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT DISTINCT session_date + ((session_date - DATE '2024-01-01') * 80) :: INT - 10500 AS session_date FROM bars)
     SELECT d, (SELECT min(session_date) FROM s WHERE session_date >= d) AS next_session, (SELECT max(session_date) FROM s WHERE session_date < d) AS last_before FROM q""")
-def session_shifts_all(spark, sf):
-    """The days of every order; session_shifts keeps the fiftieth of the orders that its SQL has."""
-    return _session_shifts(spark, sf, table(spark, sf, "orders"))
-
-
-def _session_shifts(spark, sf, orders):
-    d = orders.select(F.to_date("o_orderdate").alias("d")).distinct()
+def session_shifts(spark, sf):
+    d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
     day = F.col("session_date")
     spread = F.date_add(day, F.datediff(day, F.lit("2024-01-01")) * 80 - 10500)
     s = B.calendar(bars(spark, sf).select(spread.alias("session_date")), "session_date")

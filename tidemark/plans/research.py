@@ -93,47 +93,22 @@ def complete_years(spark, sf):
 NAMES = "nm AS (SELECT s_nationkey AS ticker, DATE '1995-01-01' + CAST(s_suppkey % 2000 AS INT) AS s, DATE '1995-01-01' + CAST(s_suppkey % 2000 AS INT) + 200 AS e, s_suppkey AS target FROM supplier)"
 
 
-@query(f"""WITH {NAMES}, p AS (SELECT o_orderkey, (o_custkey % 25)::INT AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 5 = 0),
-    j AS (SELECT o_orderkey, count(DISTINCT target) FILTER (s <= d AND d < e) AS n, max(target) FILTER (s <= d AND d < e) AS t, arg_max(target, row(e, target)) FILTER (e <= d AND d - e <= 100) AS late FROM p LEFT JOIN nm USING (ticker) GROUP BY 1)
-    SELECT o_orderkey, CASE WHEN n = 1 THEN t WHEN n = 0 THEN late END AS target, CASE WHEN n = 1 THEN 'EXACT' WHEN n > 1 THEN 'AMBIGUOUS' WHEN late IS NOT NULL THEN 'RECENT' ELSE 'UNKNOWN' END AS status FROM j""")
-def resolve_names(spark, sf):
-    return _resolve_names(spark, sf, table(spark, sf, "orders").filter("o_orderkey % 5 = 0"))
-
-
 @query(f"""WITH {NAMES}, p AS (SELECT o_orderkey, (o_custkey % 25)::INT AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders),
     j AS (SELECT o_orderkey, count(DISTINCT target) FILTER (s <= d AND d < e) AS n, max(target) FILTER (s <= d AND d < e) AS t, arg_max(target, row(e, target)) FILTER (e <= d AND d - e <= 100) AS late FROM p LEFT JOIN nm USING (ticker) GROUP BY 1)
     SELECT o_orderkey, CASE WHEN n = 1 THEN t WHEN n = 0 THEN late END AS target, CASE WHEN n = 1 THEN 'EXACT' WHEN n > 1 THEN 'AMBIGUOUS' WHEN late IS NOT NULL THEN 'RECENT' ELSE 'UNKNOWN' END AS status FROM j""")
-def resolve_names_all(spark, sf):
-    """Of every order; resolve_names keeps the fifth that its SQL has."""
-    return _resolve_names(spark, sf, table(spark, sf, "orders"))
-
-
-def _resolve_names(spark, sf, orders):
+def resolve_names(spark, sf):
     start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("s_suppkey") % 2000).cast("int"))
     names = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("ticker"), start.alias("s"), F.date_add(start, 200).alias("e"), F.col("s_suppkey").alias("target"))
-    p = orders.select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("ticker"), F.to_date("o_orderdate").alias("d"))
+    p = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("ticker"), F.to_date("o_orderdate").alias("d"))
     return G.resolve_at(p, names, "ticker", "d", "s", "e", "target", 100).select("o_orderkey", "target", "status")
 
 
-@query("""WITH l AS (SELECT c_custkey, substr(c_name, 1, 14) AS name FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT c_custkey AS k, c_name AS n FROM customer),
-    j AS (SELECT l.c_custkey, name, min(k) FILTER (n = name) AS e, count(DISTINCT k) FILTER (starts_with(n, name)) AS c, min(k) FILTER (starts_with(n, name)) AS b FROM l LEFT JOIN r ON starts_with(n, name) GROUP BY 1, 2)
-    SELECT c_custkey, coalesce(e, CASE WHEN c = 1 THEN b END) AS k, CASE WHEN e IS NOT NULL THEN 'EXACT' WHEN c = 1 THEN 'PREFIX' WHEN c > 1 THEN 'AMBIGUOUS' ELSE 'NONE' END AS match FROM j""")
-def prefix_names(spark, sf):
-    c = table(spark, sf, "customer")
-    return _prefix_names(c.filter("c_custkey % 3 = 0"), c)
-
-
 @query("""WITH l AS (SELECT c_custkey, substr(c_name, 1, 14) AS name FROM customer), r AS (SELECT c_custkey AS k, c_name AS n FROM customer),
     j AS (SELECT l.c_custkey, name, min(k) FILTER (n = name) AS e, count(DISTINCT k) FILTER (starts_with(n, name)) AS c, min(k) FILTER (starts_with(n, name)) AS b FROM l LEFT JOIN r ON starts_with(n, name) GROUP BY 1, 2)
     SELECT c_custkey, coalesce(e, CASE WHEN c = 1 THEN b END) AS k, CASE WHEN e IS NOT NULL THEN 'EXACT' WHEN c = 1 THEN 'PREFIX' WHEN c > 1 THEN 'AMBIGUOUS' ELSE 'NONE' END AS match FROM j""")
-def prefix_names_all(spark, sf):
-    """Of every customer; prefix_names keeps the third that its SQL has."""
+def prefix_names(spark, sf):
     c = table(spark, sf, "customer")
-    return _prefix_names(c, c)
-
-
-def _prefix_names(asked, c):
-    left = asked.select("c_custkey", F.substring("c_name", 1, 14).alias("name"))
+    left = c.select("c_custkey", F.substring("c_name", 1, 14).alias("name"))
     return G.prefix_join(left, c.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k")), "name", "k", 8).select("c_custkey", "k", "match")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import machine as M
 from ..operators import review as V
 from ..operators import simulate as T
 from ..sources.tables import table
@@ -51,11 +52,11 @@ def collapse_duplicates(spark, sf):
     return V.collapse_duplicates(_legs(spark, sf), "user_id")
 
 
-@query(f"""WITH {COLLAPSED}, a AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0), d AS (SELECT user_id, max(row(hi, lo, kind))[3] AS last FROM col WHERE hi <= DATE '2024-01-15' GROUP BY 1),
+@query(f"""WITH {COLLAPSED}, a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-05'), d AS (SELECT user_id, max(row(hi, lo, kind))[3] AS last FROM col WHERE hi <= DATE '2024-01-15' GROUP BY 1),
     o AS (SELECT DISTINCT user_id FROM col WHERE lo <= DATE '2024-01-15' AND hi > DATE '2024-01-15'), u AS (SELECT user_id FROM a UNION SELECT user_id FROM d UNION SELECT user_id FROM o)
     SELECT user_id, CASE WHEN user_id IN (FROM o) THEN 'UNCERTAIN' WHEN coalesce(last = 'ADD', user_id IN (FROM a)) THEN 'IN' ELSE 'OUT' END AS state FROM u LEFT JOIN d USING (user_id)""")
 def certain_members(spark, sf):
-    anchor = table(spark, sf, "events").filter("user_id % 2 = 0").select("user_id").distinct()
+    anchor = table(spark, sf, "events").filter("event_type = 'signup' and ts < '2024-01-05'").select("user_id").distinct()
     return V.certain_members(anchor, V.collapse_duplicates(_legs(spark, sf), "user_id"), "user_id", F.lit("2024-01-15").cast("date"))
 
 
@@ -67,14 +68,14 @@ def match_discovery(spark, sf):
 
 
 def trade_milestones(spark, sf):
-    return V.milestones(T.simulate(simulated(spark, sf), "user_id"), "user_id")
+    return V.milestones(M.simulate(simulated(spark, sf), "user_id"), "user_id")
 
 
 def plan_counterfactual(spark, sf):
     """Each trade under its plan and under one with a nearer stop."""
     p = simulated(spark, sf)
     mine = p.withColumn("stop", F.col("entry") * 0.85)
-    return V.compare_plans(T.replay(T.simulate(p, "user_id"), "user_id"), T.replay(T.simulate(mine, "user_id"), "user_id"), "user_id")
+    return V.compare_plans(T.replay(M.simulate(p, "user_id"), "user_id"), T.replay(M.simulate(mine, "user_id"), "user_id"), "user_id")
 
 
 for _f in (match_discovery, trade_milestones, plan_counterfactual):

@@ -6,20 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import actions as A
+from ..operators import machine as M
 from ..operators import simulate as T
 from ..sources.tables import table
 from .registry import query
 from .series import BARS, bars
 
-#: Actions made of events: some sign-ups are splits, some errors dividends, some clicks of late days end a series.
+#: Actions made of events: sign-ups are splits, errors dividends; clicks of late days end a series.
 ACTIONS = """act AS (SELECT user_id, event_id AS action_id, CASE WHEN event_type = 'signup' THEN 'SPLIT' ELSE 'DIVIDEND' END AS kind, CAST(ts AS DATE) AS ex_date, ts AS announced_at,
         CASE WHEN event_type = 'signup' THEN 2.0 :: DOUBLE END AS ratio, CASE WHEN event_type = 'error' THEN value / 100 END AS cash_amount, event_id % 3 AS tier
-    FROM events WHERE (event_type = 'signup' AND event_id % 7 = 0) OR (event_type = 'error' AND event_id % 5 = 0)),
+    FROM events WHERE event_type IN ('signup', 'error')),
     day AS (SELECT user_id, ex_date AS session_date, coalesce(product(ratio) FILTER (kind = 'SPLIT'), 1) AS s, coalesce(sum(cash_amount) FILTER (kind = 'DIVIDEND'), 0) AS d FROM act GROUP BY 1, 2)"""
 
 
 def actions(spark, sf):
-    e = table(spark, sf, "events").filter("(event_type = 'signup' and event_id % 7 = 0) or (event_type = 'error' and event_id % 5 = 0)")
+    e = table(spark, sf, "events").filter("event_type in ('signup', 'error')")
     split = F.col("event_type") == "signup"
     return e.select(
         "user_id", F.col("event_id").alias("action_id"), F.when(split, "SPLIT").otherwise("DIVIDEND").alias("kind"), F.to_date("ts").alias("ex_date"), F.col("ts").alias("announced_at"),
@@ -33,10 +34,10 @@ def _r(df, *names, digits=4):
 
 @query(f"""WITH {BARS}, {ACTIONS}, g AS (SELECT b.user_id, b.session_date, coalesce(s, 1) * (close + coalesce(d, 0)) / nullif(lag(close) OVER w, 0) AS gross
         FROM bars b LEFT JOIN day USING (user_id, session_date) WINDOW w AS (PARTITION BY b.user_id ORDER BY b.session_date))
-    SELECT user_id, session_date, round(gross, 4) AS gross, round(ln(product(coalesce(gross, 1)) OVER (PARTITION BY user_id ORDER BY session_date)), 4) AS log_level FROM g""")
+    SELECT user_id, session_date, round(gross, 7) AS gross, round(ln(product(coalesce(gross, 1)) OVER (PARTITION BY user_id ORDER BY session_date)), 4) AS log_level FROM g""")
 def total_return(spark, sf):
     df = A.total_return(bars(spark, sf), actions(spark, sf), "user_id")
-    return _r(df.select("user_id", "session_date", "gross", F.ln("tr_level").alias("log_level")), "gross", "log_level")
+    return _r(_r(df.select("user_id", "session_date", "gross", F.ln("tr_level").alias("log_level")), "log_level"), "gross", digits=7)
 
 
 @query(f"""WITH {BARS}, {ACTIONS}, g AS (SELECT b.user_id, b.session_date, close, coalesce(1 / s, 1) * coalesce(1 - d * s / nullif(lag(close) OVER w, 0), 1) AS f
@@ -55,14 +56,14 @@ def split_between(spark, sf):
     return A.split_between(actions(spark, sf), spans, "user_id", "start", "stop")
 
 
-TERMINAL = "t AS (SELECT user_id, min(CAST(ts AS DATE)) AS ex, arg_min(CASE WHEN event_id % 2 = 0 THEN value END, row(CAST(ts AS DATE), event_id)) AS _ FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-20' AND event_id % 4 = 0 GROUP BY 1)"
+TERMINAL = "t AS (SELECT user_id, min(CAST(ts AS DATE)) AS ex, arg_min(CASE WHEN event_id % 2 = 0 THEN value END, row(CAST(ts AS DATE), event_id)) AS _ FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"
 
 
-@query(f"""WITH {BARS}, {TERMINAL}, c AS (SELECT user_id, CAST(ts AS DATE) AS ex, min(value) AS cash FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-20' AND event_id % 4 = 0 GROUP BY 1, 2)
+@query(f"""WITH {BARS}, {TERMINAL}, c AS (SELECT user_id, CAST(ts AS DATE) AS ex, min(value) AS cash FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2)
     SELECT b.user_id, b.session_date, CASE WHEN b.session_date = t.ex THEN cash ELSE close END AS close, coalesce(b.session_date = t.ex, FALSE) AS terminal
     FROM bars b LEFT JOIN t USING (user_id) LEFT JOIN c ON c.user_id = b.user_id AND c.ex = t.ex WHERE t.ex IS NULL OR b.session_date <= t.ex""")
 def terminal_event(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'click' and ts >= '2024-01-20' and event_id % 4 = 0")
+    e = table(spark, sf, "events").filter("event_type = 'click' and ts >= '2024-01-20'")
     ends = e.groupBy("user_id", F.to_date("ts").alias("ex_date")).agg(F.min("value").alias("cash_amount")).withColumn("kind", F.lit("CASH_MERGER"))
     return A.until_terminal(bars(spark, sf), ends, "user_id").select("user_id", "session_date", "close", "terminal")
 
@@ -137,19 +138,48 @@ def position_size(spark, sf):
 
 
 def simulated(spark, sf):
-    p = _path(spark, sf)
-    return p.select("user_id", "session_date", "open", "high", "low", "close", F.col("entry"), (F.col("entry") * 0.7).alias("stop"), (F.col("entry") * 1.2).alias("target_1"), (F.col("entry") * 1.5).alias("target_2"), (F.col("entry") * 0.75).alias("invalidation"), F.lit("2024-01-25").cast("date").alias("expires"))
+    """Plans of every entry type and exit policy over the users' paths; some are cancelled, some closed by hand."""
+    p, u = _path(spark, sf), F.col("user_id")
+    e = F.col("entry")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (u % n + 1).cast("int"))
+    zone = F.when(u % 5 == 1, e * 0.95).otherwise(e)
+    parts = [F.when(u % 3 == 1, F.lit(x)).alias(f"fraction_{n}") for n, x in ((1, 0.4), (2, 0.3), (3, 0.2))]
+    return p.select(
+        "user_id", "session_date", "open", "high", "low", "close", "entry", pick(5, "LIMIT", "ENTRY_ZONE", "STOP_BUY", "MARKET", "MARKET_REFERENCE").alias("entry_type"), zone.alias("entry_low"), e.alias("entry_high"),
+        (e * 0.7).alias("stop"), (e * 1.2).alias("target_1"), (e * 1.5).alias("target_2"), (e * 1.9).alias("target_3"), pick(3, "LEGACY_HALF_AT_TP1", "PARTIAL_FRACTIONS", "TRACK_TARGETS_ONLY").alias("exit_policy"), *parts,
+        (e * 0.75).alias("invalidation"), F.lit("2024-01-25").cast("date").alias("expiration"), F.lit("2024-01-01").cast("date").alias("decided"),
+        F.when(u % 7 == 0, F.lit("2024-01-10").cast("date")).alias("cancel_on"), F.when(u % 4 == 0, F.lit("2024-01-18").cast("date")).alias("manual_on"), F.when(u % 4 == 0, e * 1.05).alias("manual_price"),
+    )
 
 
 def state_machine_log(spark, sf):
-    """The events of each simulated trade. No SQL twin: eight states walk bar by bar; tests hold it against stated cases."""
-    return T.simulate(simulated(spark, sf), "user_id")
+    """The events of each simulated trade. No SQL twin: thirteen states walk bar by bar; test_machine holds random plans against a plain loop."""
+    return M.simulate(simulated(spark, sf), "user_id")
 
 
 def state_machine_replay(spark, sf):
     """Each trade's outcome folded from its log alone."""
-    return T.replay(T.simulate(simulated(spark, sf), "user_id"), "user_id")
+    return T.replay(M.simulate(simulated(spark, sf), "user_id"), "user_id")
+
+
+def trade_metrics(spark, sf):
+    """Entry, exit, realised multiples of risk and excursions of each entered trade."""
+    p = simulated(spark, sf)
+    return M.metrics(M.simulate(p, "user_id"), p, "user_id")
 
 
-query()(state_machine_log)
-query()(state_machine_replay)
+for _f in (state_machine_log, state_machine_replay, trade_metrics):
+    query()(_f)
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN 'OTHER' ELSE 'LIMIT' END AS entry_type, l_quantity AS stop, 20.0 AS entry_low, 20.0 + l_linenumber % 3 AS entry_high, 21.0 + l_linenumber % 4 AS target_1, CASE WHEN l_linenumber % 2 = 0 THEN 23.0 END AS target_2, CASE WHEN l_linenumber % 3 = 0 THEN 24.0 END AS target_3 FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN entry_type <> 'LIMIT' THEN 'ENTRY_TYPE' WHEN NOT (stop > 0 AND stop < entry_low AND entry_low <= entry_high AND entry_high < target_1) THEN 'LEVEL_ORDER' WHEN target_2 <= target_1 THEN 'TARGET_2' WHEN target_3 IS NOT NULL AND (target_2 IS NULL OR target_3 <= target_2) THEN 'TARGET_3' END AS problem FROM p""")
+def plan_problems(spark, sf):
+    """The first rule that a plan's levels break."""
+    n = F.col("l_linenumber")
+    none = lambda kind: F.lit(None).cast(kind)
+    p = table(spark, sf, "lineitem").select(
+        "l_orderkey", n, F.when(n % 5 == 0, "OTHER").otherwise("LIMIT").alias("entry_type"), F.col("l_quantity").alias("stop"), F.lit(20.0).alias("entry_low"), (20.0 + n % 3).alias("entry_high"), (21.0 + n % 4).alias("target_1"),
+        F.when(n % 2 == 0, 23.0).alias("target_2"), F.when(n % 3 == 0, 24.0).alias("target_3"), none("double").alias("invalidation"), F.lit("TRACK_TARGETS_ONLY").alias("exit_policy"), *[none("double").alias(f"fraction_{k}") for k in (1, 2, 3)],
+    )
+    return M.validated(p).select("l_orderkey", "l_linenumber", "problem")
