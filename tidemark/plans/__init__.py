@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables."""
 
-from . import features, flow, panel, pit, research, reviews, series, trades
+from . import analysis, features, flow, panel, pit, research, reviews, series, trades
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "features", "flow", "panel", "pit", "research", "reviews", "series", "trades"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "features", "flow", "panel", "pit", "research", "reviews", "series", "trades"]
