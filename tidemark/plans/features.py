@@ -208,3 +208,61 @@ def feature_report(spark, sf):
     SELECT id, month, round((a + coalesce(1 - b, 0)) / (1 + (b IS NOT NULL)::INT), 6) AS comp_activity FROM r""")
 def component_composites(spark, sf):
     return K.composites(panel(spark, sf), ["month"], {"activity": {"n_orders": 1, "before": -1}}).select("id", "month", F.round("comp_activity", 6).alias("comp_activity"))
+
+
+TRACES = """t AS (SELECT o_custkey AS k, o_orderpriority <> '1-URGENT' AS accepted, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS status, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 150 + CAST(o_orderkey % 400 AS INT) AS b FROM orders),
+    s AS (SELECT c_custkey AS k, DATE '1993-01-01' + CAST(c_custkey % 900 AS INT) AS st, DATE '1994-06-01' + CAST(c_custkey % 900 AS INT) AS en FROM customer)"""
+
+
+@query(f"""WITH {TRACES}, j AS (SELECT s.*, a, b, max(b) OVER (PARTITION BY s.k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s JOIN t ON s.k = t.k WHERE accepted AND status = 'COMPLETED'),
+    g AS (SELECT *, sum(CASE WHEN a > greatest(coalesce(p, st - 1), st - 1) + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS broken FROM j), f AS (SELECT k, max(b) AS far FROM g WHERE broken = 0 GROUP BY 1),
+    n AS (SELECT k, count(*) AS tried, count(*) FILTER (status = 'COMPLETED') AS done FROM t WHERE accepted GROUP BY 1)
+    SELECT s.k, CASE WHEN tried IS NULL THEN 'NOT_ATTEMPTED' WHEN done = 0 THEN 'ATTEMPTED_FAILED' WHEN far >= en THEN 'VERIFIED_COVERAGE' ELSE 'PARTIAL_PERIOD' END AS state, CASE WHEN far >= st THEN least(far, en) END AS covered_to
+    FROM s LEFT JOIN n ON n.k = s.k LEFT JOIN f ON f.k = s.k""")
+def ingestion_states(spark, sf):
+    from ..operators import cohorts
+
+    d = F.to_date("o_orderdate")
+    traces = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("k"), (F.col("o_orderpriority") != "1-URGENT").alias("accepted"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"), d.alias("period_start"), F.date_add(d, 150 + (F.col("o_orderkey") % 400).cast("int")).alias("period_end")
+    )
+    shift = (F.col("c_custkey") % 900).cast("int")
+    spans = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.date_add(F.lit("1993-01-01").cast("date"), shift).alias("start"), F.date_add(F.lit("1994-06-01").cast("date"), shift).alias("end"))
+    return cohorts.ingestion_state(spans, traces, "k").select("k", "state", "covered_to")
+
+
+_COHORT = f"""{PANEL}, c AS (SELECT id, month, before IS NOT NULL AS history, n_orders > 0 AS price, CASE WHEN id % 7 <> 0 THEN spend > 50000 END AS facts FROM panel)"""
+_LAYERS = {"history": 0.8, "price": 0.98, "facts": 0.6}
+
+
+def _cohort(spark, sf):
+    return panel(spark, sf).select("id", "month", F.col("before").isNotNull().alias("history"), (F.col("n_orders") > 0).alias("price"), F.when(F.col("id") % 7 != 0, F.col("spend") > 50000).alias("facts"))
+
+
+_SHARES = ", ".join(f"avg(coalesce({k}, FALSE)::INT) AS {k}_share" for k in _LAYERS)
+_READY = ", ".join(f"{k}_share >= {t} AS {k}_ready" for k, t in _LAYERS.items())
+_ALL = " AND ".join(f"{k}_share >= {t}" for k, t in _LAYERS.items())
+
+
+@query(f"WITH {_COHORT}, a AS (SELECT month, count(*) AS members, {_SHARES} FROM c GROUP BY 1) SELECT month, members, {', '.join(f'round({k}_share, 6) AS {k}_share' for k in _LAYERS)}, {_READY}, {_ALL} AS eligible FROM a")
+def cohort_layers(spark, sf):
+    from ..operators import cohorts
+
+    df = cohorts.layers(_cohort(spark, sf), "month", _LAYERS)
+    return df.withColumns({f"{k}_share": F.round(f"{k}_share", 6) for k in _LAYERS})
+
+
+@query(f"""WITH {_COHORT}, l AS (SELECT id, unnest([{', '.join(f"CASE WHEN NOT coalesce({k}, FALSE) THEN '{k}' END" for k in _LAYERS)}]) AS layer FROM c) SELECT id, layer, count(*) AS dates FROM l WHERE layer IS NOT NULL GROUP BY 1, 2""")
+def cohort_blockers(spark, sf):
+    from ..operators import cohorts
+
+    return cohorts.blockers(_cohort(spark, sf), "id", list(_LAYERS))
+
+
+@query(f"""WITH {_COHORT}, a AS (SELECT month, {_SHARES} FROM c GROUP BY 1), e AS (SELECT month, {_ALL} AS eligible FROM a), g AS (SELECT month, year(month) * 12 + month(month) AS o FROM e WHERE eligible),
+    r AS (SELECT month, o - row_number() OVER (ORDER BY o) AS g FROM g), i AS (SELECT min(month) AS d, count(*) AS n FROM r GROUP BY g), y AS (SELECT year(month) AS y, count(*) AS n FROM g GROUP BY 1)
+    SELECT count(*) AS total_dates, count(*) FILTER (eligible) AS eligible_dates, min(month) FILTER (eligible) AS first_eligible, (SELECT min(d) FROM i WHERE n >= 3) AS first_run, (SELECT CAST(min(y) AS INT) FROM y WHERE n = 12) AS first_complete_year FROM e""")
+def cohort_summary(spark, sf):
+    from ..operators import cohorts
+
+    return cohorts.summary(cohorts.layers(_cohort(spark, sf), "month", _LAYERS), "month", 3)
