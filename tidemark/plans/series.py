@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators import continuous as C
 from ..operators import cross_section as X
 from ..operators import recursive as R
 from ..operators import windows as V
@@ -241,3 +242,34 @@ def flagship_panel(spark, sf):
     w, c = by_user(), F.col("close")
     panel = bars(spark, sf).select("user_id", "session_date", V.distance(c, V.sma(c, w, 5)).alias("x")).filter("x is not null")
     return X.cohort_rank(panel, ["session_date"], "x").select("user_id", "session_date", _r("x", "sma_distance"), _r("x_rank", "xs_rank"))
+
+
+DAYS = C.Days(returns=(1, 3, 7), means=(3, 5, 8), highs=(5, 7, 9), vols=(4, 7), ranges=4, shape=6, volumes=(1, 3))
+
+
+def _whole(n: int) -> str:
+    return "TRUE" if n == 1 else f"coalesce(date_diff('day', lag(session_date, {n - 1}) OVER w, session_date) = {n - 1}, FALSE)"
+
+
+def _over(n: int) -> str:
+    return f"OVER (PARTITION BY user_id ORDER BY session_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+_DAILY = {f"log_return_{n}": f"CASE WHEN {_whole(n + 1)} THEN ln(close / nullif(lag(close, {n}) OVER w, 0)) END" for n in DAYS.returns}
+_DAILY |= {f"distance_sma_{n}": f"close / nullif(sma_{n}, 0) - 1" for n in DAYS.means} | {f"sma_{a}_vs_{b}": f"sma_{a} / nullif(sma_{b}, 0) - 1" for a, b in zip(DAYS.means, DAYS.means[1:])}
+_DAILY |= {f"distance_high_{n}": f"CASE WHEN {_whole(n)} THEN close / nullif(max(high) {_over(n)}, 0) - 1 END" for n in DAYS.highs}
+_DAILY |= {f"drawdown_{n}": f"CASE WHEN {_whole(n)} THEN list_min([{', '.join(f'lag(close, {i}) OVER w / greatest({", ".join(f"lag(close, {j}) OVER w" for j in range(i, n))}) - 1' for i in range(n))}]) END" for n in DAYS.highs[:-1]}
+_DAILY["drawdown_from_observed_high"] = "close / nullif(max(high) OVER (PARTITION BY user_id ORDER BY session_date), 0) - 1"
+_DAILY |= {f"realized_vol_{n}": f"CASE WHEN {_whole(n + 1)} THEN stddev_samp(r) {_over(n)} * sqrt(365) END" for n in DAYS.vols}
+_DAILY |= {"atr": f"CASE WHEN {_whole(DAYS.ranges + 1)} THEN avg(tr) {_over(DAYS.ranges)} END", "skew": f"CASE WHEN {_whole(DAYS.shape + 1)} THEN skewness(r) {_over(DAYS.shape)} END", "kurtosis": f"CASE WHEN {_whole(DAYS.shape + 1)} THEN kurtosis(r) {_over(DAYS.shape)} END"}
+_DAILY |= {f"volume_change_{k}": f"CASE WHEN {_whole(k + 1)} THEN volume / nullif(lag(volume, {k}) OVER w, 0) - 1 END" for k in DAYS.volumes}
+_DAILY["volume_z"] = f"CASE WHEN {_whole(DAYS.shape)} THEN (volume - avg(volume) {_over(DAYS.shape)}) / nullif(stddev_samp(volume) {_over(DAYS.shape)}, 0) END"
+
+
+@query(f"""WITH {BARS}, b AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS r, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}),
+    s AS (SELECT *, {', '.join(f'CASE WHEN {_whole(n)} THEN avg(close) {_over(n)} END AS sma_{n}' for n in DAYS.means)} FROM b {W})
+    SELECT user_id, session_date, {', '.join(f'round({x}, 6) + 0.0 AS {k}' for k, x in _DAILY.items())} FROM s {W}""")
+def daily_features(spark, sf):
+    """The families of a market without closing hours, over whole windows of days only."""
+    f = C.daily_features(bars(spark, sf), "user_id", "session_date", DAYS)
+    return f.select("user_id", "session_date", *[(F.round(k, 6) + 0.0).alias(k) for k in _DAILY])
