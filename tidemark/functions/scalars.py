@@ -33,6 +33,17 @@ def normal_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, f"( ({'|'.join(LEGAL_FORMS)}))+$", ""))
 
 
+#: The words that a holdings list may add to a company's name or leave out.
+LISTED_WORDS = "inc|incorporated|corp|corporation|co|company|plc|ltd|limited|llc|lp|nv|sa|ag|se|holdings?|group|the|de|ordinary|shares?|common|stock"
+
+
+def holding_key(text: Column) -> Column:
+    """The key by which holdings lists name a company: lower case, ``&`` as a word, those of LISTED_WORDS off anywhere, the class letter kept."""
+    t = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), r"\bcl(?:ass)?\.?\s+([a-z])\b", "class $1")
+    t = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 ]+", " "), r"\bcos\b", "companies")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, rf"\b({LISTED_WORDS})\b", " "), r"\s+", " "))
+
+
 def names_compatible(a: Column, b: Column) -> Column:
     """True if one name's words are all among the other's."""
     x, y = F.split(normal_name(a), " "), F.split(normal_name(b), " ")

@@ -49,3 +49,11 @@ def page_titles(spark, sf):
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def content_addressed(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("SELECT sha256(html) AS sha256, min(url) AS path, any_value(octet_length(encode(html))) AS bytes FROM pages WHERE html IS NOT NULL GROUP BY 1")
+def archived_pages(spark, sf):
+    """Pages as archived files: one for each content, under its digest."""
+    content = F.col("html").cast("binary")
+    files = table(spark, sf, "pages").filter("html is not null").select(F.col("url").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return append.archive(files).select("sha256", "path", "bytes")

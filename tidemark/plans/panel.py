@@ -405,3 +405,12 @@ def period_keys(spark, sf):
 @query("SELECT c_custkey, trim(regexp_replace(upper(c_name), '[^A-Z0-9]+', ' ', 'g')) AS name FROM customer")
 def normal_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.normal_name(F.col("c_name")).alias("name"))
+
+
+@query(r"""WITH n AS (SELECT c_custkey, c_name || CASE c_custkey % 5 WHEN 0 THEN ' & Cos., Inc. Cl A' WHEN 1 THEN ' Holdings PLC' WHEN 2 THEN ' The Group (Class B)' WHEN 3 THEN ' Ordinary Shares' ELSE '' END AS name FROM customer)
+    SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '\bcl(?:ass)?\.?\s+([a-z])\b', 'class \1', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\bcos\b', 'companies', 'g'),
+        '\b(inc|incorporated|corp|corporation|co|company|plc|ltd|limited|llc|lp|nv|sa|ag|se|holdings?|group|the|de|ordinary|shares?|common|stock)\b', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM n""")
+def holding_keys(spark, sf):
+    k = F.col("c_custkey") % 5
+    added = F.when(k == 0, " & Cos., Inc. Cl A").when(k == 1, " Holdings PLC").when(k == 2, " The Group (Class B)").when(k == 3, " Ordinary Shares").otherwise("")
+    return table(spark, sf, "customer").select("c_custkey", S.holding_key(F.concat("c_name", added)).alias("key"))
