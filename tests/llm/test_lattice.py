@@ -20,7 +20,9 @@ def test_table_and_hard_texts_equal_the_library(spark, sf):
     texts = {}
     for r in docs.collect():
         texts.setdefault(r.doc_id, []).append(r.text)
-    got = lattice.decode(lattice.encode(docs, PATH, chunk_bytes=100_000), PATH).collect()
+    encoded = lattice.encode(docs, PATH, chunk_bytes=100_000, decoded=True)
+    assert lattice.decode(encoded.select("doc_id", "pieces"), PATH).exceptAll(encoded).count() == 0 and encoded.columns == ["doc_id", "pieces", "decoded"]
+    got = encoded.collect()
     assert len(got) == docs.count()
     for r in got:
         assert r.pieces == model.encode(texts[r.doc_id][0] or ""), texts[r.doc_id][0]

@@ -18,8 +18,8 @@ boundary, each with the rank at which it is made and at which it is merged away;
 disagree if some piece across the boundary joins two such halves while both are there.
 
 The ids go back to the chunks by bucket, and each chunk is put together from its own units only. So
-what moves is the numbered text once and the different units of each chunk, and no task holds more
-than a chunk of documents or the units of a bucket.
+what moves are the different units of each chunk, the numbered texts are written and read once, and no
+task holds more than a chunk of documents or the units of a bucket.
 
 Characters without a piece become byte pieces. Units of over ``LONGEST`` characters, for which the
 fold's cost grows with the square, are encoded by the sentencepiece library in the task.
@@ -42,6 +42,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ UNIT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|\p{{Nd}}|[^\p{{L}}\p{{M}}\p
 _SPACED = re.compile(" *[^ ]+| +$").findall
 #: A unit's places are held in ten bits.
 LONGEST = 1000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 _CLASS = regex.compile(r"([\p{L}\p{M}])|(\p{Nd})")
 #: Later than any merge.
 _NEVER = 1 << 30
@@ -110,7 +111,8 @@ class Pieces:
             for a, b in zip(p, p[1:]):
                 if (_class(a) != _class(b) or _class(b) == "digit") and a != SPACE:
                     raise ValueError(f"the piece {p!r} crosses units")
-        self.bytes = [bytes([i - self.first_byte]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        table = [bytes([i - self.first_byte]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.joined = pa.array(table, pa.large_binary())
 
     def long_unit(self, unit: str) -> list[int]:
         """By the library. A line feed ends the prefix that the library adds, and is cut off with it."""
@@ -202,7 +204,7 @@ def lattice(units_: DataFrame, table: DataFrame, longest: int, partitions: int =
     """(id, bucket, unit, edges): for each row of (id, bucket, unit), the pieces of two and more characters within it.
 
     An edge is one long: ten bits each of end and start, twenty each of the piece's rank and number; so
-    that edges are grouped and sorted as numbers, by their ends. ``table`` has piece, no and rank, and the
+    that edges are grouped as numbers, and sorted as such are in order of their ends. ``table`` has piece, no and rank, and the
     empty piece, which keeps units that have no other. Ids are unique.
     """
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 2, F.lit(0))))
@@ -211,8 +213,11 @@ def lattice(units_: DataFrame, table: DataFrame, longest: int, partitions: int =
     parts = units_.repartition(partitions, "id").withColumn("start", starts).withColumn("end", ends)
     parts = parts.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     edge = F.expr("shiftleft(cast(end as bigint), 50) | shiftleft(cast(start as bigint), 40) | shiftleft(cast(rank as bigint), 20) | no")
-    found = parts.join(F.broadcast(table), "piece").groupBy("id").agg(F.first("bucket").alias("bucket"), F.first("unit").alias("unit"), F.collect_list(F.when(F.col("no") >= 0, edge)).alias("edges"))
-    return found.select("id", "bucket", "unit", F.sort_array("edges").alias("edges"))
+    # The equi-join is on a hash, as one number; the pieces themselves are compared where it meets.
+    hashed = table.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("own"), "no", "rank")
+    met = parts.withColumn("key", F.xxhash64("piece")).join(F.broadcast(hashed), "key").filter(F.contains("own", F.col("piece")) & (F.length("own") == F.length("piece")))
+    found = met.groupBy("id").agg(F.first("bucket").alias("bucket"), F.first("unit").alias("unit"), F.collect_list(F.when(F.col("no") >= 0, edge)).alias("edges"))
+    return found
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -227,6 +232,10 @@ def _char_ids(first_byte: int) -> str:
     return _let("i", f"get(known.char_ids, ascii({char}))", f"if(i is null, {raw}, array(i))")
 
 
+#: Where an edge has its start.
+_STARTS = 1023 << 40
+
+
 def _start(edge: str) -> str:
     return f"cast(shiftright({edge}, 40) & 1023 as int)"
 
@@ -252,9 +261,11 @@ _STEP = f"cast(shiftleft((e & 1048575) + 1, 10) as int) | {_start('e')}"
 
 def _bpe_steps() -> str:
     """SQL of the last pieces by place. Of the edges into a place one, or the character, agrees with the path into its start."""
-    seen = f"struct({_start('e')} as s, coalesce(get(best, {_start('e')}), 0) as before, shiftleft((shiftright(e, 40) & 1023) + 1, 50) as low, shiftleft(shiftright(e, 50) + 1, 50) as high)"
-    across = f"c >= t.low and c < t.high and {_start('c')} < t.s and {_start('c')} >= if(t.before = 0, t.s - 1, t.before & 1023)"
-    clash = _let("t", seen, f"t.s > 0 and exists(edges, c -> {across} and {_disagree()})")
+    s = _start("e")
+    seen = f"struct({s} as s, coalesce(get(best, {s}), 0) as before, e & {_STARTS} as at, shiftleft((shiftright(e, 40) & 1023) + 1, 50) as low, shiftleft(shiftright(e, 50) + 1, 50) as high)"
+    begin = "shiftleft(cast(if(t.before = 0, t.s - 1, t.before & 1023) as bigint), 40)"
+    across = f"c >= t.low and c < t.high and (c & {_STARTS}) < t.at and (c & {_STARTS}) >= begin"
+    clash = _let("t", seen, f"t.s > 0 and {_let('begin', begin, f'exists(edges, c -> {across} and {_disagree()})')}")
     return f"""aggregate(edges, array(0), (best, e) -> if(shiftright(e, 50) < size(best) or {clash}, best,
         concat(best, array_repeat(0, cast(shiftright(e, 50) as int) - size(best)), array({_STEP}))))"""
 
@@ -275,7 +286,7 @@ def viterbi_fold(first_byte: int, kind: str = "bpe", unknown: float = -100.0) ->
     ids = f"""aggregate(sequence(length(unit), 1, -1), struct(length(unit) as left, cast(array() as array<int>) as ids), (path, at) -> if(at > path.left, path,
         if(coalesce(get(steps, at), 0) = 0, struct(at - 1 as left, concat({_char_ids(first_byte)}, path.ids) as ids),
             struct(get(steps, at) & 1023 as left, concat(array(get(known.piece_ids, shiftright(get(steps, at), 10) - 1)), path.ids) as ids)))).ids"""
-    path = _let("steps", _bpe_steps() if kind == "bpe" else _unigram_steps(unknown), ids)
+    path = _let("edges", "sort_array(edges)", _let("steps", _bpe_steps() if kind == "bpe" else _unigram_steps(unknown), ids))
     if kind == "bpe":
         path = _let("rights", "known.rights", _let("lefts", "known.lefts", path))
     return F.expr(_let("known", "known", path))  # named once, so that its large arrays are not copied into each row
@@ -284,10 +295,21 @@ def viterbi_fold(first_byte: int, kind: str = "bpe", unknown: float = -100.0) ->
 def encode_units(units_: DataFrame, model: Pieces, kind: str = "bpe", partitions: int = 8) -> DataFrame:
     """(bucket, unit, ids) for a table (id, bucket, unit) of different units that are not empty."""
     spark = units_.sparkSession
-    edges = lattice(units_, model.table(spark), model.longest, partitions).withColumn("known", model.known(spark, kind))
+    edges = lattice(units_, model.table(spark), model.longest, partitions)
+    # The filter, which all rows pass, parts the grouping from the projection that reads the constants: merged with the grouping, it would copy them into each row.
+    edges = edges.filter(F.col("unit").isNotNull()).withColumn("known", model.known(spark, kind))
     return edges.select("bucket", "unit", viterbi_fold(model.first_byte, kind).alias("ids"))
 
 
+def _open(address: str, write: bool = False) -> pa.NativeFile:
+    """A file of the shared folder."""
+    store, path = fs.FileSystem.from_uri(address) if "://" in address or address.startswith("file:") else (fs.LocalFileSystem(), address)
+    if not write:
+        return store.open_input_file(path)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(path, compression=None)
+
+
 def _pack(data: bytes, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
@@ -325,23 +347,30 @@ def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list
         yield ids, texts
 
 
-def _ints(values: Iterable[int], kind: str = "<i4") -> pa.Array:
-    return pa.array([np.asarray(values, kind).tobytes()], pa.binary())
+def _ints(values: Iterable[int]) -> pa.Array:
+    """Numbers as their first bytes, then their second ones and so on, which packs better."""
+    return pa.array([np.asarray(values, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
+
 
+def _ints_of(data: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
-DEALT = "chunk string, bucket int, units binary, docs binary"
 
+DEALT = "chunk string, bucket int, units binary"
 
-def _deal(id_type: pa.DataType, buckets: int, size: int) -> Callable:
-    """For each chunk, as bucket -1 its documents as numbers, and for each bucket its different units.
 
-    Units are numbered by bucket and, within it, in order, those for the library last; words list the
+def _deal(id_type: pa.DataType, buckets: int, size: int, folder: str) -> Callable:
+    """For each chunk its different units by bucket, after a row of bucket -1.
+
+    Its documents, as numbers, go to a file of the task, under a name of its own; a chunk's name is its
+    place there, so that only files of successful tasks are ever read. Units are numbered by bucket and, within it, in order, those for the library last; words list the
     numbers of their units, documents those of their words.
     """
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, file, at = None, uuid.uuid4().hex, 0
         for ids, texts in _chunks(batches, size):
-            lists, name = _words(texts), uuid.uuid4().hex
+            lists = _words(texts)
             coded = lists.flatten().dictionary_encode()
             cut, n_units, unit = _cut(coded.dictionary)
             bucket = np.fromiter(map(zlib.crc32, unit.cast(pa.binary()).to_pylist()), np.uint32, len(unit)) % np.uint32(buckets)
@@ -359,14 +388,19 @@ def _deal(id_type: pa.DataType, buckets: int, size: int) -> Callable:
                 "n_units": _ints(n_units), "buckets": _ints(list(by)), "sizes": _ints(list(map(len, by.values()))), "long": pa.array([long], pa.list_(pa.string())),
             }
             table = pa.table(docs)
-            with (sink := pa.BufferOutputStream()), pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
+            with (sink := pa.BufferOutputStream()), pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            packed = _pack(sink.getvalue().to_pybytes())
+            out = out or _open(f"{folder}/{file}", True)
+            out.write(packed)
             k = len(by)
-            columns = [[name] * (k + 1), [-1, *by], [None, *map(_pack_units, by.values())], [_pack(sink.getvalue().to_pybytes()), *[None] * k]]
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+            columns = [[f"{file}:{at}:{len(packed)}"] * (k + 1), [-1, *by], [None, *map(_pack_units, by.values())]]
+            kinds, at = (pa.string(), pa.int32(), pa.binary()), at + len(packed)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in DEALT.split(", ")])
             del lists, coded, unit, some, by, docs, table, columns
             pa.default_memory_pool().release_unused()
+        if out:
+            out.close()
 
     return deal
 
@@ -430,7 +464,7 @@ class _Chunk:
     def __init__(self, packed: bytes, model: Pieces):
         table = pa.ipc.open_stream(_unpack(packed)).read_all().combine_chunks()
         self.model, self.ids = model, table.column("ids").combine_chunks().flatten()
-        self.ends, self.words, self.cut, self.n_units, buckets, sizes = (np.frombuffer(table.column(c)[0].as_buffer(), "<i4") for c in ("ends", "words", "cut", "n_units", "buckets", "sizes"))
+        self.ends, self.words, self.cut, self.n_units, buckets, sizes = (_ints_of(table.column(c)[0].as_buffer()) for c in ("ends", "words", "cut", "n_units", "buckets", "sizes"))
         self.left = list(zip(buckets.tolist(), sizes.tolist()))[::-1]
         self.long = table.column("long")[0].as_py()
         self.sizes: list[np.ndarray] = []
@@ -443,7 +477,7 @@ class _Chunk:
         self.sizes.append(np.frombuffer(answer, "<u2", n).astype(np.int64))
         self.flat.append(np.frombuffer(answer[2 * n :], self.model.kept))
 
-    def finish(self) -> Iterator[pa.RecordBatch]:
+    def finish(self, decoded: bool) -> Iterator[pa.RecordBatch]:
         if self.left:
             raise ValueError(f"an answer is missing: bucket {self.left[-1][0]} of a chunk")
         for ids in map(self.model.long_unit, self.long):
@@ -458,11 +492,26 @@ class _Chunk:
             some = starts[at : at + 65]
             take, ends = _spread(first, by_word, self.words[some[0] : some[-1]])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends][some - some[0]], pa.int32()), pa.array(flat[take]))
-            yield pa.RecordBatch.from_arrays([self.ids.slice(at, len(some) - 1), lists], names=["__llm_id", "pieces"])
+            columns = [self.ids.slice(at, len(some) - 1), lists, *([pa.array(_texts(lists, self.model), pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["__llm_id", "pieces", "decoded"][: len(columns)])
+
 
+def _texts(lists: pa.Array, model: Pieces) -> list[str | None]:
+    """The texts that lists of ids decode to."""
+    table, texts = model.joined, []
+    for at in range(0, len(lists), 256):
+        some = lists.slice(at, 256)
+        found = table.take(some.flatten())
+        data, ends = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+        bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())]
+        for a, b, valid in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), some.is_valid().to_pylist()):
+            raw = data[a:b].to_pybytes() if b > a else b""
+            texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace") if valid else None)
+    return texts
 
-def _assemble(path: str) -> Callable:
-    """Rows sorted by chunk, first its documents, then the ids of its units by bucket: the ids of the texts."""
+
+def _assemble(path: str, folder: str, decoded: bool) -> Callable:
+    """Rows sorted by chunk, first that of bucket -1, then the ids of its units by bucket: the ids of its texts."""
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
@@ -470,57 +519,51 @@ def _assemble(path: str) -> Callable:
             for chunk, bucket, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
                     if held:
-                        yield from held.finish()
+                        yield from held.finish(decoded)
                     now, held = chunk, None
                     pa.default_memory_pool().release_unused()
                 if bucket < 0:
-                    held = _Chunk(packed, pieces(path))
+                    file, at, size = chunk.split(":")
+                    with _open(f"{folder}/{file}") as docs:
+                        docs.seek(int(at))
+                        held = _Chunk(docs.read(int(size)), pieces(path))
                 else:
                     held.learn(bucket, _unpack(packed))
         if held:
-            yield from held.finish()
+            yield from held.finish(decoded)
 
     return put
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe", buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, pieces array<int>) for each row of docs."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe", buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES, decoded: bool = False) -> DataFrame:
+    """(id, pieces array<int>) for each row of docs; with decoded also what the ids decode to, by the task that put them together."""
     spark, model = docs.sparkSession, pieces(path)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__llm_id"), F.col(text_col).cast("binary").alias("__llm_text"))
     folder = new_folder(spark, "lattice")
-    rows.mapInArrow(_deal(to_arrow_type(spark_type), buckets, chunk_bytes), DEALT).write.option("compression", "uncompressed").parquet(f"{folder}/dealt")  # packed already
-    # A session of its own: its shuffles go once the answers are written.
+    rows.mapInArrow(_deal(to_arrow_type(spark_type), buckets, chunk_bytes, f"{folder}/docs"), DEALT).write.option("compression", "uncompressed").parquet(f"{folder}/dealt")  # packed already
+    # A session of its own: its shuffles go once what they serve is written.
     own = spark.newSession()
     own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     own.conf.set("spark.sql.shuffle.partitions", str(buckets))
     asked = own.read.schema(DEALT).parquet(f"{folder}/dealt").filter("bucket >= 0").select("chunk", "bucket", "units")
     different = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_different, "id long, bucket int, unit string")
-    told = encode_units(different, model, kind, buckets).select("bucket", F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "unit", "ids")
+    encode_units(different, model, kind, buckets).write.option("compression", "zstd").parquet(f"{folder}/told")
+    told = own.read.schema("bucket int, unit string, ids array<int>").parquet(f"{folder}/told").select("bucket", F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("units"), "unit", "ids")
     both = told.unionByName(asked, allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
     both.mapInArrow(_answer(model.kept), "chunk string, bucket int, packed binary").write.option("compression", "uncompressed").parquet(f"{folder}/answers")
-    texts = spark.read.schema(DEALT).parquet(f"{folder}/dealt").filter("bucket < 0").select("chunk", "bucket", F.col("docs").alias("packed"))
+    texts = spark.read.schema(DEALT).parquet(f"{folder}/dealt").filter("bucket < 0").select("chunk", "bucket", F.col("units").alias("packed"))
     known = spark.read.schema("chunk string, bucket int, packed binary").parquet(f"{folder}/answers")
     by_chunk = texts.unionByName(known).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    schema = T.StructType([T.StructField("__llm_id", spark_type), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return by_chunk.mapInArrow(_assemble(path), schema).withColumnRenamed("__llm_id", id_col)
+    schema = T.StructType([T.StructField("__llm_id", spark_type), T.StructField("pieces", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
+    return by_chunk.mapInArrow(_assemble(path, f"{folder}/docs", decoded), schema).withColumnRenamed("__llm_id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "pieces", name: str = "decoded") -> DataFrame:
     """(id, pieces, text of the pieces)."""
 
-    def decoded(lists: pa.Array) -> pa.Array:
-        table, texts = pa.array(pieces(path).bytes, pa.large_binary()), []
-        for at in range(0, len(lists), 256):
-            some = lists.slice(at, 256)
-            found = table.take(some.flatten())
-            data, ends = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
-            bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())]
-            for a, b, valid in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), some.is_valid().to_pylist()):
-                raw = data[a:b].to_pybytes() if b > a else b""
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace") if valid else None)
-        pa.default_memory_pool().release_unused()
-        return pa.array(texts, pa.string())
-
-    return encoded.select(id_col, ids_col, F.arrow_udf(decoded, T.StringType())(F.col(ids_col)).alias(name))
+    def texts(lists: pa.Array) -> pa.Array:
+        return pa.array(_texts(lists, pieces(path)), pa.string())
+
+    return encoded.select(id_col, ids_col, F.arrow_udf(texts, T.StringType())(F.col(ids_col)).alias(name))

@@ -13,7 +13,7 @@ from .chat import CONTROL, chat_digests, format_chat, marked_conversation
 from .common import UPPER, table
 from .exact_dedup import exact_dedup
 from .langid import language_id
-from .lattice import decode, encode
+from .lattice import encode
 from .mixing import plan_mix
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -49,8 +49,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Per document: the number of its pieces, the CRC-32 of their ids in decimal and joined by commas, and the digest of the text they decode to."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
-    read = decode(encode(table(spark, sf_dir, "documents"), model), model)
-    listed = F.array_join("pieces", ",")
+    read = encode(table(spark, sf_dir, "documents"), model, decoded=True)
+    listed = F.btrim(F.to_json("pieces"), F.lit("[]"))  # ids in decimal, joined by commas
     return read.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.crc32(listed.cast("binary")).alias("pieces_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
