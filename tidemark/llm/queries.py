@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .chat import CONTROL, chat_digests, format_chat, marked_conversation
+from .clusters import K, ROUNDS, centroid_clusters
 from .common import UPPER, table
+from .embed_dedup import COSINE, near_duplicate_vectors
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .lattice import encode
 from .mixing import plan_mix
+from .negatives import hard_negatives
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_files import read_tokens, write_tokens
@@ -68,6 +71,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), "id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -79,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -89,6 +108,34 @@ def _sql_escape(x: str) -> str:
     return x
 
 
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _lloyd_sql() -> str:
+    """Rounds written out: a<t> assigns with the centroids c<t>; a distance and a number in one integer take the nearest and the smaller number."""
+    parts = [
+        f"""WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS i, vec_id, {_WHOLE} AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT {K})"""
+    ]
+    for t in range(ROUNDS + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+            SELECT v.i, min(CAST(list_sum(list_transform(list_zip(v.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) * 64 + m.c) AS key FROM v, c{t} m GROUP BY v.i)""")
+        if t < ROUNDS:
+            parts.append(f"""s{t} AS (
+            SELECT a.key % 64 AS c, p.k, sum(v.x[p.k]) AS total, count(*) AS n FROM a{t} a JOIN v USING (i), range(1, 65) p(k) GROUP BY ALL),
+        c{t + 1} AS MATERIALIZED (
+            SELECT m.c, coalesce(n.x, m.x) AS x FROM c{t} m LEFT JOIN (
+                SELECT c, list(CAST((total - (total % n + n) % n) // n AS BIGINT) ORDER BY k) AS x FROM s{t} GROUP BY c) n ON n.c = m.c)""")
+    return ",\n        ".join(parts) + f"""
+        SELECT v.vec_id, CAST(a.key % 64 AS INT) AS cluster, CAST(a.key // 64 AS BIGINT) AS distance,
+            CAST(sum(a.key // 64) OVER (PARTITION BY a.key % 64) AS BIGINT) AS cluster_inertia, CAST(sum(a.key // 64) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(m.x, ',')) AS centroid_sha256
+        FROM a{ROUNDS} a JOIN v USING (i) JOIN c{ROUNDS} m ON m.c = a.key % 64"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS text_sha256 FROM documents)
@@ -116,4 +163,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM g""",
+    "op11_centroid_clusters": _lloyd_sql(),
+    "op12_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
+        reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+        SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept
+        FROM reached r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = r.a GROUP BY r.a""",
+    "op13_hard_negatives": f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS x FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS MATERIALIZED (
+            SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        WINDOW w AS (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 10""",
 }
