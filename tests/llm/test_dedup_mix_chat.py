@@ -103,6 +103,20 @@ def test_mixing(spark):
     assert mixing.plan_mix(docs.limit(0)).count() == 0 == mixing.mix(docs.limit(0)).count()
 
 
+def test_repeated_rows_toss_their_own_coins(spark):
+    """1,000 equal rows beside as many others, a third source, and few copies: all sources come near their targets."""
+    rows = [(1, "a b c d", "one")] * 1000 + [(10 + i, "a b c d", "two") for i in range(1000)] + [(5000 + i % 400, "a b", "three") for i in range(2000)] + [(None, None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size").repartition(3)
+    got = mixing.plan_mix(docs).groupBy("source_size", "target").agg({"taken": "sum", "size": "count"}).collect()
+    assert sum(r["count(size)"] for r in got) == len(rows)
+    for r in got:
+        assert abs(r["sum(taken)"] - r["target"]) <= 0.05 * r["target"]
+    again = [sorted(map(str, mixing.plan_mix(d).collect())) for d in (docs, docs.repartition(7))]
+    assert again[0] == again[1]
+    mixed = mixing.mix(docs).groupBy("source").count().collect()
+    assert sum(r["count"] * {"one": 4, "two": 4, "three": 2, None: 0}[r["source"]] for r in mixed) == sum(r["sum(taken)"] for r in got)
+
+
 @pytest.mark.parametrize("block", [1, 2, 512])
 def test_chat_round_trip(spark, monkeypatch, block):
     monkeypatch.setattr(chat, "BLOCK", block)
