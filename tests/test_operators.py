@@ -231,7 +231,7 @@ def test_class_sets_need_a_pool_of_their_size(spark):
     from tidemark.operators import review
 
     legs = spark.createDataFrame([("c", 1, ["B", "A"]), ("c", 2, ["A", "B"]), ("d", 1, ["A", "B"]), ("e", 1, ["A", "B"]), ("e", 2, ["A", "C"])], "clause string, place int, pool array<string>")
-    assert rows(review.class_sets(legs, "clause", "pool")) == [("c", 1, "A"), ("c", 2, "B")]
+    assert rows(review.class_sets(legs, ["clause"], "place", "pool")) == [("c", 1, "A"), ("c", 2, "B")]
 
 
 def test_matching_in_rounds_against_a_loop(spark):

@@ -10,41 +10,67 @@ from pyspark.sql import functions as F
 
 
 def split_between(actions: DataFrame, spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """spans with the product of the split ratios in (start, end]."""
+    """spans with the product of the split ratios in (start, end]. Spans may be repeated, and may hold nulls (factor 1)."""
     s = actions.filter("kind = 'SPLIT'").select(F.col(key).alias("__k"), F.col("ex_date").alias("__ex"), F.col("ratio").alias("__ratio"))
     hit = (F.col(key) == F.col("__k")) & (F.col("__ex") > F.col(start)) & (F.col("__ex") <= F.col(end))
-    row = F.struct(*[F.col(f"`{c}`") for c in spans.columns])
-    return spans.withColumn("__row", row).join(s, hit, "left").groupBy("__row").agg(F.coalesce(F.product("__ratio"), F.lit(1.0)).alias("split_factor")).select("__row.*", "split_factor")
+    factors = spans.select(key, start, end).distinct().join(s, hit).groupBy(key, start, end).agg(F.product("__ratio").alias("split_factor"))
+    return spans.join(factors, [key, start, end], "left").withColumn("split_factor", F.coalesce("split_factor", F.lit(1.0)))
 
 
-def daily_actions(actions: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
-    """(key, session_date, split, cash): what is known by as_of, one row a day."""
-    seen = actions if as_of is None else actions.filter(F.col("announced_at") <= as_of)
+def on_sessions(bars: DataFrame, actions: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
+    """(key, session_date, split, cash): what is known by as_of, on the first bar with a close on or after each ex-date.
+
+    Several ex-dates may come to one bar: cash is then put in shares after the last of their splits.
+    Actions after the last bar have a NULL session_date, and only those whose day has come by as_of.
+    """
+    seen = actions if as_of is None else actions.filter((F.col("announced_at") <= as_of) & (F.col("ex_date") <= F.to_date(as_of)))
     split, cash = F.product(F.when(F.col("kind") == "SPLIT", F.col("ratio"))), F.sum(F.when(F.col("kind") == "DIVIDEND", F.col("cash_amount")))
-    return seen.groupBy(key, F.col("ex_date").alias("session_date")).agg(F.coalesce(split, F.lit(1.0)).alias("split"), F.coalesce(cash, F.lit(0.0)).alias("cash"))
+    daily = seen.groupBy(key, F.col("ex_date").alias("__d")).agg(F.coalesce(split, F.lit(1.0)).alias("__split"), F.coalesce(cash, F.lit(0.0)).alias("__cash"))
+    days = bars.filter(F.col("close").isNotNull()).select(key, F.col("session_date").alias("__d"), F.lit(None).cast("double").alias("__split"), F.lit(None).cast("double").alias("__cash"), F.col("session_date").alias("__bar"))
+    both = daily.withColumn("__bar", F.lit(None).cast(bars.schema["session_date"].dataType)).unionByName(days)
+    ahead = Window.partitionBy(key).orderBy("__d", F.col("__bar").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    moved = both.withColumn("session_date", F.first("__bar", ignorenulls=True).over(ahead)).filter("__split is not null")
+    if as_of is None:
+        moved = moved.filter(F.col("session_date").isNotNull())
+    so_far = Window.partitionBy(key, "session_date").orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = moved.withColumn("__old", F.col("__cash") * F.product("__split").over(so_far))
+    return whole.groupBy(key, "session_date").agg(F.product("__split").alias("split"), (F.sum("__old") / F.product("__split")).alias("cash"))
 
 
 def total_return(bars: DataFrame, actions: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
     """bars with gross (s * (close + cash) / close before; NULL on the first bar) and tr_level.
 
-    Cash is per share after the split of the same day.
+    Cash is per share after the split of the same day. Bars without a close are stepped over: they have
+    no gross, the level before, and what happens on them counts on the next bar, as do actions on days
+    without a bar.
     """
-    joined = bars.join(daily_actions(actions, key, as_of), [key, "session_date"], "left")
+    joined = bars.join(on_sessions(bars, actions, key, as_of), [key, "session_date"], "left")
     w = Window.partitionBy(key).orderBy("session_date")
     s, d = F.coalesce("split", F.lit(1.0)), F.coalesce("cash", F.lit(0.0))
-    gross = F.try_divide(s * (F.col("close") + d), F.lag("close").over(w))
-    joined = joined.withColumn("gross", gross)
+    before = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    joined = joined.withColumn("gross", F.try_divide(s * (F.col("close") + d), before))
     level = F.product(F.coalesce("gross", F.lit(1.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn("tr_level", level).drop("split", "cash")
 
 
 def adjusted_closes(bars: DataFrame, actions: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
-    """bars with adj_close: later splits divide, later dividends take off their share of the close before."""
-    joined = bars.join(daily_actions(actions, key, as_of), [key, "session_date"], "left")
+    """bars with adj_close: later splits divide, later dividends take off their share of the close before.
+
+    All closes before an ex-date are adjusted, whether that day has a bar or not; splits after the last
+    bar adjust every close once their day has come by as_of, and dividends there take off the last close.
+    """
+    placed = on_sessions(bars, actions, key, as_of)
+    joined = bars.join(placed, [key, "session_date"], "left")
     w = Window.partitionBy(key).orderBy("session_date")
-    factor = F.coalesce(1 / F.col("split"), F.lit(1.0)) * F.coalesce(1 - F.try_divide(F.col("cash") * F.coalesce("split", F.lit(1.0)), F.lag("close").over(w)), F.lit(1.0))
+    before = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    factor = F.coalesce(1 / F.col("split"), F.lit(1.0)) * F.coalesce(1 - F.try_divide(F.col("cash") * F.coalesce("split", F.lit(1.0)), before), F.lit(1.0))
     later = Window.partitionBy(key).orderBy(F.col("session_date").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("__f", factor).withColumn("adj_close", F.col("close") * F.coalesce(F.product("__f").over(later), F.lit(1.0))).drop("split", "cash", "__f")
+    out = joined.withColumn("__f", factor).withColumn("adj_close", F.col("close") * F.coalesce(F.product("__f").over(later), F.lit(1.0)))
+    if as_of is not None:
+        tail = placed.filter(F.col("session_date").isNull()).select(key, F.col("split").alias("__ts"), F.col("cash").alias("__tc"))
+        out = out.withColumn("__last", F.max_by(F.when(F.col("close").isNotNull(), F.col("close")), F.when(F.col("close").isNotNull(), F.col("session_date"))).over(Window.partitionBy(key))).join(tail, key, "left")
+        out = out.withColumn("adj_close", F.col("adj_close") * F.coalesce(1 / F.col("__ts") * F.coalesce(1 - F.try_divide(F.col("__tc") * F.col("__ts"), F.col("__last")), F.lit(1.0)), F.lit(1.0))).drop("__ts", "__tc", "__last")
+    return out.drop("split", "cash", "__f")
 
 
 def until_terminal(path: DataFrame, actions: DataFrame, key: str) -> DataFrame:

@@ -129,14 +129,18 @@ def auc(df: DataFrame, groups: Sequence[str], score: str, outcome: str, least: i
 
 
 def odds_ratio(df: DataFrame, groups: Sequence[str], flag: str, outcome: str, least: int = 50) -> DataFrame:
-    """(groups, n, odds_ratio, low, high): half a case is added to each cell; 95 % interval of the logarithm."""
+    """(groups, n, odds_ratio, low, high, rate_flag, rate_no_flag): half a case is added to each cell; 95 % interval of the logarithm.
+
+    All but n are NULL under ``least`` rows and where the flag never varies. Rates are the outcome's, with and without the flag.
+    """
     rows = df.filter(F.col(flag).isNotNull() & F.col(outcome).isNotNull())
     f, o = F.col(flag).cast("boolean"), F.col(outcome).cast("boolean")
-    cells = rows.groupBy(*groups).agg(*[(F.count_if(c) + 0.5).alias(n) for n, c in (("__a", f & o), ("__b", f & ~o), ("__c", ~f & o), ("__d", ~f & ~o))], F.count("*").alias("n"))
+    cells = rows.groupBy(*groups).agg(*[(F.count_if(c) + 0.5).alias(n) for n, c in (("__a", f & o), ("__b", f & ~o), ("__c", ~f & o), ("__d", ~f & ~o))], F.count("*").alias("n"), F.count_if(f).alias("__f"), F.avg(F.when(f, o.cast("double"))).alias("__rf"), F.avg(F.when(~f, o.cast("double"))).alias("__rn"))
     ratio = F.col("__a") * F.col("__d") / (F.col("__b") * F.col("__c"))
-    half = 1.959963984540054 * F.sqrt(1 / F.col("__a") + 1 / F.col("__b") + 1 / F.col("__c") + 1 / F.col("__d"))
-    out = {"odds_ratio": ratio, "low": F.exp(F.ln(ratio) - half), "high": F.exp(F.ln(ratio) + half)}
-    return cells.select(*groups, "n", *[F.when(F.col("n") >= least, c).alias(k) for k, c in out.items()])
+    half = 1.96 * F.sqrt(1 / F.col("__a") + 1 / F.col("__b") + 1 / F.col("__c") + 1 / F.col("__d"))
+    out = {"odds_ratio": ratio, "low": F.exp(F.ln(ratio) - half), "high": F.exp(F.ln(ratio) + half), "rate_flag": F.col("__rf"), "rate_no_flag": F.col("__rn")}
+    told = (F.col("n") >= least) & F.col("__f").between(1, F.col("n") - 1)
+    return cells.select(*groups, "n", *[F.when(told, c).alias(k) for k, c in out.items()])
 
 
 def redundancy(df: DataFrame, columns: Sequence[str], threshold: float = 0.85, least: int = 200) -> DataFrame:

@@ -50,12 +50,17 @@ class Spans:
 
 
 def folded(bars: DataFrame, key: str, order: str, spans: Spans) -> DataFrame:
-    """bars (key, order, ordinal, high, low, close, volume, level) with ema_short, ema_middle, atr and rsi, folded in one pass over a key's bars."""
+    """bars (key, order, ordinal, high, low, close, volume, level) with ema_short, ema_middle, atr and rsi, folded in one pass over a key's bars.
+
+    Bars without high, low or close have none of these, and the others' are those of the series without them.
+    """
     fields = ["ordinal", "high", "low", "close", "volume", "level"]
     s = R._series(bars, key, order, [F.col(c).cast("double").alias(c) for c in fields])
     tail, n = "slice(__s, 2, greatest(size(__s) - 1, 0))", spans.wilder
     masked = "transform({0}, (x, i) -> if(i >= {1}, x, null))"
+    whole = "s.high is not null and s.low is not null and s.close is not null"
     s = R._arrays(s, {
+        "__void": f"filter(__s, s -> not ({whole}))", "__s": f"filter(__s, s -> {whole})",
         "__c": "transform(__s, s -> s.close)", "__es": R.ema_of("__c", spans.short), "__em": R.ema_of("__c", spans.middle),
         "ema_short": masked.format("__es", spans.short - 1), "ema_middle": masked.format("__em", spans.middle - 1),
         "__tr": f"transform({tail}, (s, i) -> greatest(s.high - s.low, abs(s.high - __s[i].close), abs(s.low - __s[i].close)))",
@@ -64,7 +69,10 @@ def folded(bars: DataFrame, key: str, order: str, spans: Spans) -> DataFrame:
         "__au": R.wilder_of("__up", n), "__ad": R.wilder_of("__dn", n),
         "rsi": "concat(array(cast(null as double)), zip_with(__au, __ad, (u, d) -> if(d = 0, 100D, 100 - 100 / (1 + u / d))))",
     })
-    rows = s.select(key, F.explode(F.arrays_zip("__s", "ema_short", "ema_middle", "atr", "rsi")).alias("z"))
+    made = ("ema_short", "ema_middle", "atr", "rsi")
+    none = F.transform("__void", lambda v: F.struct(v.alias("__s"), *[F.lit(None).cast("double").alias(c) for c in made]))
+    told = F.when(F.size("__s") > 0, F.concat(F.arrays_zip("__s", *made), none)).otherwise(none)
+    rows = s.select(key, F.explode(told).alias("z"))
     return rows.select(key, F.col("z.__s.t").alias(order), *[F.col(f"z.__s.{c}").alias(c) for c in fields], *[F.col(f"z.{c}").alias(c) for c in ("ema_short", "ema_middle", "atr", "rsi")])
 
 

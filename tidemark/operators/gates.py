@@ -48,7 +48,10 @@ def support_decision(dimensions: DataFrame, key: str, required: Sequence[str], c
     """(key, status, reasons) from rows of key, dimension and status.
 
     Supported: every required dimension is at least PARTIAL, identity is COMPLETE, and one of the context dimensions is.
+    Of several rows of a dimension the worst counts: COMPLETE before PARTIAL before any other.
     """
+    worse = F.when(F.col("status") == "COMPLETE", 0).when(F.col("status") == "PARTIAL", 1).otherwise(2)
+    dimensions = dimensions.groupBy(key, "dimension").agg(F.max(F.struct(worse.alias("r"), "status"))["status"].alias("status"))
     agg = dimensions.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("dimension", "status"))).alias("__m"))
     status = lambda d: F.coalesce(F.try_element_at("__m", F.lit(d)), F.lit("missing"))
     lacking = [F.when(~status(d).isin("COMPLETE", "PARTIAL"), F.concat(F.lit(f"{d}: "), status(d))) for d in required]

@@ -87,8 +87,8 @@ def match_one_to_one(left: DataFrame, right: DataFrame, group: str, left_id: str
     both their rows are taken at once, and the pairs of their rows go; rounds are cut until none is left.
     """
     band = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / (days + 1))
-    l = left.select(group, F.col(left_id).cast("long").alias("__l"), F.col(left_day).alias("__ld"), F.explode(F.array(*[band(F.col(left_day)) + k for k in (-1, 0, 1)])).alias("__b"))
-    r = right.select(group, F.col(right_id).cast("long").alias("__r"), F.col(right_day).alias("__rd"), band(F.col(right_day)).alias("__b"))
+    l = left.select(group, F.col(left_id).alias("__l"), F.col(left_day).alias("__ld"), F.explode(F.array(*[band(F.col(left_day)) + k for k in (-1, 0, 1)])).alias("__b"))
+    r = right.select(group, F.col(right_id).alias("__r"), F.col(right_day).alias("__rd"), band(F.col(right_day)).alias("__b"))
     open_ = cut(l.join(r, [group, "__b"]).select(group, F.abs(F.datediff("__ld", "__rd")).alias("__g"), "__l", "__r").filter(F.col("__g") <= days).distinct())
     taken = None
     while not open_.isEmpty():
@@ -101,11 +101,14 @@ def match_one_to_one(left: DataFrame, right: DataFrame, group: str, left_id: str
     return found.select(group, F.col("__l").alias(left_id), F.col("__r").alias(right_id), F.col("__g").alias("days_apart"))
 
 
-def class_sets(legs: DataFrame, clause: str, pool: str) -> DataFrame:
-    """(clause, place, security): clauses whose legs share one pool of exactly as many securities are assigned in order.
+def class_sets(legs: DataFrame, keys: Sequence[str], place: str, pool: str) -> DataFrame:
+    """(keys, place, security): legs that are one statement (equal keys: clause, kind, dates, exactness, status, name) and share
+    one pool of exactly as many securities are assigned in order of place.
 
-    legs: clause, place (1-based) and pool, an array of candidate securities.
+    pool is an array of candidate securities. Which place is which security is not known and does not matter: all have the same
+    dates. Legs of one clause with other pools, dates or names are other statements. Nulls among keys are equal.
     """
-    agg = legs.groupBy(clause).agg(F.count("*").alias("k"), F.count_distinct(F.array_join(F.array_sort(pool), ",")).alias("pools"), F.first(F.array_sort(pool)).alias("__pool"), F.sort_array(F.collect_list("place")).alias("__places"))
-    joint = agg.filter((F.col("pools") == 1) & (F.size("__pool") == F.col("k")))
-    return joint.select(clause, F.explode(F.arrays_zip(F.col("__places").alias("place"), F.col("__pool").alias("security"))).alias("z")).select(clause, "z.place", "z.security")
+    one = [F.col(k) for k in keys]
+    agg = legs.filter(F.size(pool) > 0).groupBy(*one, F.array_sort(F.array_distinct(pool)).alias("__pool")).agg(F.sort_array(F.collect_list(place)).alias("__places"))
+    joint = agg.filter(F.size("__pool") == F.size("__places"))
+    return joint.select(*one, F.explode(F.arrays_zip(F.col("__places").alias("place"), F.col("__pool").alias("security"))).alias("z")).select(*one, F.col("z.place").alias(place), "z.security")

@@ -60,10 +60,10 @@ def regime(index: DataFrame, day: str, close: str, n: int) -> DataFrame:
 
 
 def freeze(features: DataFrame, keys: Sequence[str], name: str, value: str, available: str) -> DataFrame:
-    """(keys, features map, missing, available_at, snapshot_hash) from long features; names are in order, so that equal content has an equal hash."""
+    """(keys, features map, missing, available_at, snapshot_hash) from long features; names are in order, so that equal content has an equal hash, which covers every digit of the values."""
     entry = F.struct(F.col(name).alias("n"), F.when(~F.isnan(value), F.col(value)).alias("v"))
     agg = features.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("__e"), F.max(available).alias("available_at"))
-    text = F.array_join(F.transform("__e", lambda e: F.concat(e["n"], F.lit("="), F.coalesce(F.format_number(e["v"], 6), F.lit("NULL")))), ";")
+    text = F.array_join(F.transform("__e", lambda e: F.concat(e["n"], F.lit("="), F.coalesce(e["v"].cast("string"), F.lit("NULL")))), ";")
     return agg.select(
         *keys, F.map_from_entries("__e").alias("features"), F.transform(F.filter("__e", lambda e: e["v"].isNull()), lambda e: e["n"]).alias("missing"), "available_at", F.sha2(text, 256).alias("snapshot_hash")
     )
@@ -105,14 +105,15 @@ def complete_years(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
 
 
 def resolve_at(points: DataFrame, names: DataFrame, name: str, at: str, start: str, end: str, target: str, max_days: int = 0) -> DataFrame:
-    """points with the target whose validity holds the day, else the one that ended last within ``max_days``; and status."""
+    """points with the target whose validity holds the day, else the one that ended last within ``max_days``; and status. Points may be repeated."""
     iv = names.select(F.col(name), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(target).alias("__t"))
-    both = points.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in points.columns])).join(iv, name, "left")
+    both = points.select(name, at).distinct().join(iv, name)
     inside = (F.col("__s") <= F.col(at)) & (F.col("__e").isNull() | (F.col(at) < F.col("__e")))
     recent = (F.col("__e") <= F.col(at)) & (F.datediff(at, "__e") <= max_days)
-    agg = both.groupBy("__row").agg(F.count_distinct(F.when(inside, F.col("__t"))).alias("__n"), F.max(F.when(inside, F.col("__t"))).alias("__in"), F.max_by(F.when(recent, F.col("__t")), F.when(recent, F.struct("__e", "__t"))).alias("__late"))
+    agg = both.groupBy(name, at).agg(F.count_distinct(F.when(inside, F.col("__t"))).alias("__n"), F.max(F.when(inside, F.col("__t"))).alias("__in"), F.max_by(F.when(recent, F.col("__t")), F.when(recent, F.struct("__e", "__t"))).alias("__late"))
     status = F.when(F.col("__n") == 1, "EXACT").when(F.col("__n") > 1, "AMBIGUOUS").when(F.col("__late").isNotNull(), "RECENT").otherwise("UNKNOWN")
-    return agg.select("__row.*", F.when(F.col("__n") == 1, F.col("__in")).when(F.col("__n") == 0, F.col("__late")).alias(target), status.alias("status"))
+    cols = [F.col(f"`{c}`") for c in points.columns]
+    return points.join(agg, [name, at], "left").select(*cols, F.when(F.col("__n") == 1, F.col("__in")).when(F.col("__n") == 0, F.col("__late")).alias(target), status.alias("status"))
 
 
 def prefix_join(left: DataFrame, right: DataFrame, name: str, key: str, least: int) -> DataFrame:

@@ -83,12 +83,13 @@ def auc(spark, sf):
 
 
 @query(f"""WITH {PANEL}, f AS (SELECT segment, n_orders > 1 AS f, ahead > 0 AS y FROM panel WHERE ahead IS NOT NULL),
-    c AS (SELECT segment, count(*) FILTER (f AND y) + 0.5 AS a, count(*) FILTER (f AND NOT y) + 0.5 AS b, count(*) FILTER (NOT f AND y) + 0.5 AS c, count(*) FILTER (NOT f AND NOT y) + 0.5 AS d, count(*) AS n FROM f GROUP BY 1),
-    o AS (SELECT *, a::DOUBLE * d / (b::DOUBLE * c) AS r, 1.959963984540054 * sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS h FROM c)
-    SELECT segment, n, round(r, 5) AS odds_ratio, round(exp(ln(r) - h), 5) AS low, round(exp(ln(r) + h), 5) AS high FROM o""")
+    c AS (SELECT segment, count(*) FILTER (f AND y) + 0.5 AS a, count(*) FILTER (f AND NOT y) + 0.5 AS b, count(*) FILTER (NOT f AND y) + 0.5 AS c, count(*) FILTER (NOT f AND NOT y) + 0.5 AS d, count(*) AS n, count(*) FILTER (f) AS k, avg(y::INT) FILTER (f) AS rf, avg(y::INT) FILTER (NOT f) AS rn FROM f GROUP BY 1),
+    o AS (SELECT *, a::DOUBLE * d / (b::DOUBLE * c) AS r, 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS h FROM c)
+    SELECT segment, n, CASE WHEN t THEN round(r, 5) END AS odds_ratio, CASE WHEN t THEN round(exp(ln(r) - h), 5) END AS low, CASE WHEN t THEN round(exp(ln(r) + h), 5) END AS high,
+        CASE WHEN t THEN round(rf, 5) END AS rate_flag, CASE WHEN t THEN round(rn, 5) END AS rate_no_flag FROM (SELECT *, n >= 50 AND k BETWEEN 1 AND n - 1 AS t FROM o)""")
 def odds_ratio(spark, sf):
     df = panel(spark, sf).withColumns({"f": F.col("n_orders") > 1, "y": F.col("ahead") > 0})
-    return _round(X.odds_ratio(df, ["segment"], "f", "y"), "odds_ratio", "low", "high", digits=5)
+    return _round(X.odds_ratio(df, ["segment"], "f", "y"), "odds_ratio", "low", "high", "rate_flag", "rate_no_flag", digits=5)
 
 
 _REDUNDANT = ["quantity", "price", "net", "tax"]

@@ -49,6 +49,36 @@ def split_adjust(spark, sf):
     return df.select("user_id", "session_date", F.when(F.col("adj_close") > 0, F.round(F.ln("adj_close"), 6)).alias("log_adj_close"))
 
 
+#: Bars of views only, without a close on some days, so that most actions fall on days that have none.
+GAPS = """gap AS (SELECT user_id, CAST(ts AS DATE) AS session_date, CASE WHEN arg_max(event_id, ts) % 7 <> 0 THEN arg_max(abs(value) + 1, ts) END AS close FROM events WHERE event_type = 'view' GROUP BY 1, 2)"""
+#: Actions on the next bar with a close; cash before a later split of that bar is put into its shares.
+PLACED = """seen AS (SELECT d.*, (SELECT min(b.session_date) FROM gap b WHERE b.user_id = d.user_id AND b.close IS NOT NULL AND b.session_date >= d.session_date) AS bar FROM day d),
+    cum AS (SELECT *, d * product(s) OVER (PARTITION BY user_id, bar ORDER BY session_date) AS old FROM seen WHERE bar IS NOT NULL),
+    on_bar AS (SELECT user_id, bar AS session_date, product(s) AS s, sum(old) / product(s) AS d FROM cum GROUP BY 1, 2),
+    b AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gap)"""
+
+
+def _gap_bars(spark, sf):
+    e = table(spark, sf, "events").filter("event_type = 'view'")
+    per = e.groupBy("user_id", F.to_date("ts").alias("session_date")).agg(F.max_by(F.struct("event_id", "value"), "ts").alias("l"))
+    return per.select("user_id", "session_date", F.when(F.col("l.event_id") % 7 != 0, F.abs("l.value") + 1).alias("close"))
+
+
+@query(f"""WITH {GAPS}, {ACTIONS}, {PLACED}, g AS (SELECT b.user_id, b.session_date, coalesce(s, 1) * (close + coalesce(d, 0)) / before AS gross FROM b LEFT JOIN on_bar USING (user_id, session_date))
+    SELECT user_id, session_date, round(gross, 7) AS gross, round(ln(product(coalesce(gross, 1)) OVER (PARTITION BY user_id ORDER BY session_date)), 4) AS log_level FROM g""")
+def total_return_off_calendar(spark, sf):
+    df = A.total_return(_gap_bars(spark, sf), actions(spark, sf), "user_id")
+    return _r(_r(df.select("user_id", "session_date", "gross", F.ln("tr_level").alias("log_level")), "log_level"), "gross", digits=7)
+
+
+@query(f"""WITH {GAPS}, {ACTIONS}, {PLACED}, g AS (SELECT b.user_id, b.session_date, close, coalesce(1 / s, 1) * coalesce(1 - d * s / before, 1) AS f FROM b LEFT JOIN on_bar USING (user_id, session_date)),
+    a AS (SELECT user_id, session_date, close * coalesce(product(f) OVER (PARTITION BY user_id ORDER BY session_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS a FROM g)
+    SELECT user_id, session_date, CASE WHEN a > 0 THEN round(ln(a), 5) END AS log_adj_close FROM a""")
+def split_adjust_off_calendar(spark, sf):
+    df = A.adjusted_closes(_gap_bars(spark, sf), actions(spark, sf), "user_id")
+    return df.select("user_id", "session_date", F.when(F.col("adj_close") > 0, F.round(F.ln("adj_close"), 5)).alias("log_adj_close"))
+
+
 @query(f"""WITH {BARS}, {ACTIONS}, s AS (SELECT user_id, min(session_date) AS start, max(session_date) - 5 AS stop FROM bars GROUP BY 1)
     SELECT s.user_id, start, stop, coalesce(product(ratio), 1) AS split_factor FROM s LEFT JOIN act a ON a.user_id = s.user_id AND kind = 'SPLIT' AND ex_date > start AND ex_date <= stop GROUP BY ALL""")
 def split_between(spark, sf):
@@ -131,10 +161,11 @@ def position_fold(spark, sf):
     return _r(_r(df, "quantity", "avg_cost"), "realised", digits=3)
 
 
-@query("SELECT c_custkey, greatest(0, least(floor(50000 * 0.01 / nullif(abs(c_acctbal - 900), 0)), floor(50000 / nullif(c_acctbal, 0)))) :: BIGINT AS units FROM customer WHERE c_acctbal > 1")
+@query("SELECT c_custkey, greatest(0, least(floor(50000 * 0.01 / nullif(abs(c_acctbal - 900), 0)), floor(50000 / nullif(c_acctbal, 0)))) :: BIGINT AS units FROM customer WHERE c_acctbal > 1 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_acctbal <= 1 OR c_acctbal IS NULL")
 def position_size(spark, sf):
-    c = table(spark, sf, "customer").filter("c_acctbal > 1")
-    return c.select("c_custkey", T.position_size(F.lit(50000.0), F.lit(0.01), F.col("c_acctbal"), F.lit(900.0)).cast("long").alias("units"))
+    """A price of one or less (a balance here) has no size: NULL units."""
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", F.when(F.col("c_acctbal") > 1, T.position_size(F.lit(50000.0), F.lit(0.01), F.col("c_acctbal"), F.lit(900.0))).cast("long").alias("units"))
 
 
 def simulated(spark, sf):
