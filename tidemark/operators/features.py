@@ -129,16 +129,35 @@ def trend(panel: DataFrame) -> Column:
     return F.when(known >= 4, state)
 
 
+#: Horizons in months of the alerts.
+ALERT_HORIZONS = (1, 3, 6, 12, 24)
+
+
 def risk_features(panel: DataFrame, support: Column | None = None) -> DataFrame:
-    """panel with trend_state and the components of a risk alert: 1, 0, or NULL where an input is missing.
+    """panel with trend_state, the components of a risk alert and the alert for each horizon: 1, 0, or NULL where an input is missing.
 
-    support: the lower edge of the nearest support zone, as frozen the bar before.
+    support: the lower edge of the nearest support zone, as frozen the bar before (``zones.frozen_support``).
+    The alert of a horizon is the sell call of the review rules for a position opened at this close.
     """
+    from .rulebook import RULES, SELL_AT, horizon_bucket, raw_scores, weighted
+
     def flag(cond: Column) -> Column:
         return cond.cast("double")
 
-    broken = F.lit(None).cast("double") if support is None else flag(F.col("close") < support)
-    return panel.withColumns({
-        "trend_state": trend(panel), "rc_below_long": flag(F.col("distance_long") < 0), "rc_momentum_negative": flag(F.col("ret_half") < 0), "rc_support_broken": broken,
-        "rc_elevated_volatility": flag(F.col("vol_quarter") > 1.25 * F.col("vol_year")), "rc_drawdown_state": flag(F.col("drawdown_year") <= -0.15),
-    })
+    none = F.lit(None)
+    support = none.cast("double") if support is None else support
+    facts = {
+        "trend_state": trend(panel), "close_vs_long": F.col("distance_long"), "price": F.col("close"), "support_lower": support,
+        "valuation_label": none.cast("string"), "fundamentals_label": none.cast("string"),
+    }
+    made = panel.withColumns(facts)
+    raws = {k: raw_scores()[k] for k in RULES}
+    made = made.withColumns({f"__raw_{k}": c for k, c in raws.items()})
+    alerts = {}
+    for h in ALERT_HORIZONS:
+        sell = weighted({k: F.col(f"__raw_{k}") for k in RULES}, horizon_bucket(F.lit(h))) <= SELL_AT
+        alerts[f"risk_alert_h{h}"] = F.when(sell & F.col("trend_state").isNotNull(), 1.0).when(F.col("trend_state").isNotNull() | F.col("distance_long").isNotNull(), 0.0)
+    return made.withColumns({
+        "rc_below_long": flag(F.col("distance_long") < 0), "rc_momentum_negative": flag(F.col("ret_half") < 0), "rc_support_broken": flag(F.col("close") < F.col("support_lower")),
+        "rc_elevated_volatility": flag(F.col("vol_quarter") > 1.25 * F.col("vol_year")), "rc_drawdown_state": flag(F.col("drawdown_year") <= -0.15), **alerts,
+    }).drop("close_vs_long", "price", "support_lower", "valuation_label", "fundamentals_label", *[f"__raw_{k}" for k in RULES])
