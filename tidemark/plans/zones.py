@@ -56,7 +56,7 @@ def _r(df, digits, *names):
 
 @query(f"""WITH RECURSIVE {ZONES_SQL} SELECT user_id, b.session_date, kind, place, round(lower, 5) AS lower, round(upper, 5) AS upper, round(midpoint, 5) AS midpoint, touches, first_touch, last_touch, age,
         round(100 * (0.4 * least(touches, 5) / 5 + 0.3 * recency + 0.3 * least(rejection / 3, 1)), 1) AS strength, round(rejection, 5) AS rejection, round(recency, 5) AS recency, round(volume_confirmation, 9) AS volume_confirmation,
-        round(midpoint / near.close - 1, 5) AS distance, round(distance_atr, 5) AS distance_atr FROM near JOIN b USING (user_id) WHERE b.pos = t""")
+        round(midpoint / nullif(near.close, 0) - 1, 5) AS distance, round(distance_atr, 5) AS distance_atr FROM near JOIN b USING (user_id) WHERE b.pos = t""")
 def zones_as_of(spark, sf):
     """Every bar's nearest zones on either side, from what was confirmed by its close."""
     df = Z.zones_as_of(with_atr(spark, sf), "user_id", "session_date", RULES_HERE)
