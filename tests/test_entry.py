@@ -18,6 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 PLAIN = {
     "ca_collapse": "def test_ca_collapse", "match_discovery": "def test_match_discovery_against_a_loop",
     **dict.fromkeys(("state_machine_log", "state_machine_replay", "trade_milestones", "plan_counterfactual", "trade_metrics"), "def test_state_machine_queries_against_the_loop"),
+    **dict.fromkeys(("segment_status", "anchor_members"), "def test_segment_queries_against_the_loop"),
 }
 
 

@@ -28,8 +28,9 @@ def on_sessions(bars: DataFrame, actions: DataFrame, key: str, as_of: Column | N
     daily = seen.groupBy(key, F.col("ex_date").alias("__d")).agg(F.coalesce(split, F.lit(1.0)).alias("__split"), F.coalesce(cash, F.lit(0.0)).alias("__cash"))
     days = bars.filter(F.col("close").isNotNull()).select(key, F.col("session_date").alias("__d"), F.lit(None).cast("double").alias("__split"), F.lit(None).cast("double").alias("__cash"), F.col("session_date").alias("__bar"))
     both = daily.withColumn("__bar", F.lit(None).cast(bars.schema["session_date"].dataType)).unionByName(days)
-    ahead = Window.partitionBy(key).orderBy("__d", F.col("__bar").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    moved = both.withColumn("session_date", F.first("__bar", ignorenulls=True).over(ahead)).filter("__split is not null")
+    # Going backwards in time, the last bar seen is the first on or after a day.
+    ahead = Window.partitionBy(key).orderBy(F.desc("__d"), F.col("__bar").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = both.withColumn("session_date", F.last("__bar", ignorenulls=True).over(ahead)).filter("__split is not null")
     if as_of is None:
         moved = moved.filter(F.col("session_date").isNotNull())
     so_far = Window.partitionBy(key, "session_date").orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
