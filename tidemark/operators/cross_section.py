@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import quantiles, running_before, with_rank
+from .lineage import cut
+from .ranks import quantiles, running_before, with_group_rank, with_rank
 
 
 def average_rank(x: str, cohort: Sequence[str]) -> Column:
@@ -146,16 +147,18 @@ def odds_ratio(df: DataFrame, groups: Sequence[str], flag: str, outcome: str, le
 def redundancy(df: DataFrame, columns: Sequence[str], threshold: float = 0.85, least: int = 200) -> DataFrame:
     """(a, b, n, rho): pairs of columns whose rank correlation reaches the threshold.
 
-    Each column is ranked once, over its own values; a pair is correlated where both are there.
+    Each column is ranked once, over its own values; a pair is correlated where both are there. The columns are
+    put below each other, ranked together, and set side by side again by row: the plan does not grow with them.
     """
-    ranked, total = df.select(*[F.col(c).cast("double").alias(c) for c in columns]), df.count()
-    for c in columns:
-        ranked = with_rank(ranked, c, f"__{c}", total)
+    wide = cut(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__row", F.monotonically_increasing_id()))
+    long = wide.select("__row", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns])).alias("v")).select("__row", "v.*").filter("x is not null")
+    ranked = with_group_rank(long, ["c"], "x", "__rank", wide.count())
+    back = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("c") == c, F.col("__rank"))).alias(f"__{c}") for c in columns])
     pairs = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.col(f"__{a}") + F.col(f"__{b}")).alias("n"), correlation(F.col(f"__{a}"), F.col(f"__{b}")).alias("rho"))
         for a, b in combinations(columns, 2)
     ]
-    found = ranked.agg(*[p.alias(f"p{i}") for i, p in enumerate(pairs)]).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p"))
+    found = back.agg(*[p.alias(f"p{i}") for i, p in enumerate(pairs)]).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p"))
     return found.select("p.*").filter((F.col("n") >= least) & (F.abs("rho") >= threshold))
 
 

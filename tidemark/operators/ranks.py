@@ -35,22 +35,28 @@ def value_ranks(df: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
     return ranked.select(*groups, x, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def with_rank(df: DataFrame, x: str, name: str, total: int) -> DataFrame:
-    """df with the average rank of x over the whole table; NULL where x is."""
-    ranks = cut(value_ranks(df, [], x)).withColumnRenamed("rank", name)
+def with_group_rank(df: DataFrame, groups: Sequence[str], x: str, name: str, total: int) -> DataFrame:
+    """df with the average rank of x within its group of few and large ones; NULL where x is."""
+    ranks = cut(value_ranks(df, groups, x)).withColumnRenamed("rank", name)
+    on = [*groups, x]
     hot = F.col("n") > F.lit(max(1000, int(total * HOT_SHARE)))
-    near = df.join(F.broadcast(ranks.filter(hot)), x, "left")
+    near = df.join(F.broadcast(ranks.filter(hot)), on, "left")
     known = near.filter(F.col("n").isNotNull())
-    rest = near.filter(F.col("n").isNull()).drop("n", name).join(ranks.filter(~hot), x, "left")
+    rest = near.filter(F.col("n").isNull()).drop("n", name).join(ranks.filter(~hot), on, "left")
     return known.unionByName(rest).drop("n")
 
 
+def with_rank(df: DataFrame, x: str, name: str, total: int) -> DataFrame:
+    """df with the average rank of x over the whole table; NULL where x is."""
+    return with_group_rank(df, [], x, name, total)
+
+
 def quantiles(df: DataFrame, groups: Sequence[str], x: str, shares: dict[str, float]) -> DataFrame:
     """(groups, one column for each of shares): exact quantiles, linear between values."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count("*").alias("n"))
     placed = running_before(counts, groups, x, ["n"])
     total = counts.groupBy(*groups).agg(F.sum("n").alias("__n")) if groups else counts.agg(F.sum("n").alias("__n"))
-    placed = placed.join(F.broadcast(total), list(groups)) if groups else placed.withColumn("__n", total.select("__n").scalar())
+    placed = placed.join(total, list(groups)) if groups else placed.withColumn("__n", total.select("__n").scalar())
     out = []
     for name, q in shares.items():
         at = (F.col("__n") - 1) * q

@@ -61,8 +61,11 @@ def trade_stats(trades: DataFrame, groups: Sequence[str], r: str, least: int = 1
     x = F.col(r)
     won, lost = F.sum(F.when(x > 0, x)), -F.sum(F.when(x < 0, x))
     agg = trades.filter(x.isNotNull()).groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.try_divide(won, lost).alias("profit_factor"), F.avg(x).alias("mean_r"), F.percentile(r, 0.5).alias("median_r")
+        F.count("*").alias("n"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.try_divide(won, lost).alias("profit_factor"), F.avg(x).alias("mean_r")
     )
+    # Groups as one struct, in which nulls are equal.
+    middle = quantiles(trades.withColumn("__g", F.struct(F.lit(0), *groups)), ["__g"], r, {"median_r": 0.5})
+    agg = agg.withColumn("__g", F.struct(F.lit(0), *groups)).join(middle, "__g", "left")
     return agg.select(*groups, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("hit_rate", "profit_factor", "mean_r", "median_r")])
 
 

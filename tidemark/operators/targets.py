@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, running_before
+
 
 def horizon_targets(decisions: DataFrame, path: DataFrame, key: str, at: str, day: str, level: str, horizons: Sequence[int], tolerance: int = 7, thresholds: Sequence[float] = (0.1, 0.15, 0.2)) -> DataFrame:
     """decisions x horizons (days) with ret, mdd, a flag per drawdown threshold, and status.
@@ -75,7 +77,9 @@ def missing_reason(value: Column, bars_so_far: Column, need: Column) -> Column:
 
 def insights(trades: DataFrame, segment: str, ret: str, least: int) -> DataFrame:
     """(segment, n, mean, median, hit_rate): NULL statistics in segments under ``least``."""
-    agg = trades.filter(F.col(ret).isNotNull()).groupBy(segment).agg(F.count("*").alias("n"), F.avg(ret).alias("mean"), F.percentile(ret, 0.5).alias("median"), F.avg((F.col(ret) > 0).cast("double")).alias("hit_rate"))
+    agg = trades.filter(F.col(ret).isNotNull()).groupBy(segment).agg(F.count("*").alias("n"), F.avg(ret).alias("mean"), F.avg((F.col(ret) > 0).cast("double")).alias("hit_rate"))
+    middle = quantiles(trades.withColumn("__g", F.struct(segment)), ["__g"], ret, {"median": 0.5})  # in a struct, null segments are equal
+    agg = agg.withColumn("__g", F.struct(segment)).join(middle, "__g", "left")
     return agg.select(segment, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("mean", "median", "hit_rate")])
 
 
@@ -85,8 +89,9 @@ def terciles(df: DataFrame, x: str) -> DataFrame:
     n = values.count()
     if not n:
         return df.withColumn("tercile", F.lit(None).cast("string"))
-    places = [(k * n // 3 + 0.5) / n for k in (1, 2)]
-    cuts = values.agg(*[F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{x}`)").alias(f"c{k}") for k, p in enumerate(places, 1)]).first()
+    placed = running_before(values.groupBy(x).agg(F.count("*").alias("n")), [], x, ["n"])
+    holds = lambda k: (F.col("n_before") <= k) & (F.lit(k) < F.col("n_before") + F.col("n"))
+    cuts = placed.agg(*[F.max(F.when(holds(k * n // 3), F.col(x))).alias(f"c{k}") for k in (1, 2)]).first()
     return df.withColumn("tercile", F.when(F.col(x) < cuts["c1"], "LOW").when(F.col(x) < cuts["c2"], "MID").when(F.col(x).isNotNull(), "HIGH"))
 
 
