@@ -19,6 +19,7 @@ PLAIN = {
     "ca_collapse": "def test_ca_collapse", "match_discovery": "def test_match_discovery_against_a_loop",
     **dict.fromkeys(("state_machine_log", "state_machine_replay", "trade_milestones", "plan_counterfactual", "trade_metrics"), "def test_state_machine_queries_against_the_loop"),
     **dict.fromkeys(("segment_status", "anchor_members"), "def test_segment_queries_against_the_loop"),
+    "identity_segments": "def test_identity_query_against_the_loop",
 }
 
 

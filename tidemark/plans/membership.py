@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import identity as I
 from ..operators import segments as S
 from ..sources.tables import table
 from .registry import query
@@ -46,3 +47,29 @@ def anchor_members(spark, sf):
     anchors, members, legs = world(spark, sf)
     days = anchors.select("pool", F.make_date(F.year("opens"), F.lit(7), F.lit(1)).alias("day"))
     return S.members_at(S.reconcile(anchors, members, legs), days).select("pool", "day", "security", "forward", "backward", "uncertain")
+
+
+def observations(spark, sf):
+    """Customers' spans of orders with what their orders show: an identifier for each three years, urgent orders are sure of it, pending ones show two candidates or none."""
+    c = F.col("o_custkey")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    era = F.floor((F.year("day") - 1992) / 3)
+    name = lambda e: F.concat(F.lit("I"), c.cast("string"), F.lit("-"), e.cast("string"))
+    spans = o.groupBy("o_custkey").agg(F.date_add(F.min("day"), (F.col("o_custkey") % 4 * 40).cast("int")).alias("start"), F.max("day").alias("last"))
+    spans = spans.select(c.alias("span"), "start", F.when(c % 3 != 0, F.date_sub("last", (c % 5 * 60).cast("int"))).alias("stop")).filter("stop is null or stop > start")
+    open_, sure = F.col("o_orderstatus") == "P", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    points = o.select(
+        c.alias("span"), "day", F.when(~open_, name(era)).alias("isin"), sure.alias("sure"), (sure & (F.col("o_orderkey") % 11 == 0)).alias("exact"),
+        F.when(open_ & (F.col("o_orderkey") % 2 == 0), F.array(name(era), name(era + 1))).otherwise(F.array().cast("array<string>")).alias("candidates"),
+    )
+    eras = o.select("o_custkey").distinct().withColumn("e", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    first = F.make_date(1992 + 3 * F.col("e"), F.lit(1), F.lit(1))
+    transitions = eras.filter((F.col("e") > 0) & (c % 2 == 0)).select(name(F.col("e") - 1).alias("old"), name(F.col("e")).alias("new"), F.date_add(first, 20).alias("day"), F.when(c % 4 == 0, "NEW").otherwise("SAME").alias("continuity"))
+    issues = eras.select(name(F.col("e")).alias("isin"), c.cast("string").alias("issuer"), F.when(c % 5 != 0, F.date_add(first, 10)).alias("issued"))
+    return spans, points, transitions, issues
+
+
+@query()
+def identity_segments(spark, sf):
+    """No SQL twin: whether a day holds hangs on the runs before and after it; a test holds it against plain loops over the whole table."""
+    return I.identity_segments(*observations(spark, sf), F.lit("2001-12-31").cast("date"))
