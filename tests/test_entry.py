@@ -20,6 +20,7 @@ PLAIN = {
     **dict.fromkeys(("state_machine_log", "state_machine_replay", "trade_milestones", "plan_counterfactual", "trade_metrics"), "def test_state_machine_queries_against_the_loop"),
     **dict.fromkeys(("segment_status", "anchor_members"), "def test_segment_queries_against_the_loop"),
     "identity_segments": "def test_identity_query_against_the_loop",
+    "fold_predictions": "def test_fold_predictions_against_a_plain_solver",
 }
 
 

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import cross_section as X
 from ..operators import fundamentals as P
 from ..operators import quality as Q
-from ..operators import search, splits, stats
+from ..operators import models, search, splits, stats
 from ..sources.tables import table
 from .registry import query
 
@@ -361,6 +361,28 @@ def train_only_scaling(spark, sf):
     return x.groupBy(F.col("fold").cast("long").alias("fold"), "role").agg(F.count("*").alias("n"), (F.round(F.avg("before_x"), 5) + 0.0).alias("mean_x"), F.count_if("before_imputed").alias("imputed"))
 
 
+_SUMS = {a + b: f"sum((x{a} - m{a}) * ({'y' if b == 'y' else f'x{b}'} - m{b}))" for a, b in ("11", "12", "22", "1y", "2y")}
+
+
+@query(f"""WITH {ASSIGNED}, r AS (SELECT fold, before / 100000 AS x1, n_orders :: DOUBLE AS x2, ahead AS y FROM a WHERE role = 'TRAIN' AND before IS NOT NULL AND ahead IS NOT NULL),
+    mm AS (SELECT fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM r GROUP BY 1),
+    s AS (SELECT fold, n, m1, m2, my, {_SUMS['11']} + 1 AS a, {_SUMS['12']} AS b, {_SUMS['22']} + 1 AS c, {_SUMS['1y']} AS u, {_SUMS['2y']} AS v FROM r JOIN mm USING (fold) GROUP BY ALL),
+    k AS (SELECT *, (c * u - b * v) / (a * c - b * b) AS k1, (a * v - b * u) / (a * c - b * b) AS k2 FROM s)
+    SELECT fold, n, round(k1, 7) AS before_coefficient, round(k2, 7) AS orders_coefficient, round(my - k1 * m1 - k2 * m2, 7) AS intercept FROM k""")
+def fold_models(spark, sf):
+    """A ridge model of each fold's training rows: growth by the month before and the number of orders."""
+    rows = _assigned(spark, sf).filter("role = 'TRAIN'").select(F.col("fold").cast("long").alias("fold"), (F.col("before") / 100000).alias("x1"), F.col("n_orders").alias("x2"), F.col("ahead").alias("y"))
+    m = models.ridge(rows, ["fold"], ["x1", "x2"], "y", 1.0)
+    return m.select("fold", "n", *[F.round(c, 7).alias(n) for c, n in ((F.get("coefficients", F.lit(0)), "before_coefficient"), (F.get("coefficients", F.lit(1)), "orders_coefficient"), (F.col("intercept"), "intercept"))])
+
+
+@query()
+def fold_predictions(spark, sf):
+    """Expected growth and the chance of growth of the rows after each fold's training, by models of the training rows alone. No SQL twin for the rounds of the logistic model; a test fits the same by a plain solver."""
+    rows = _assigned(spark, sf).select(F.col("fold").cast("long").alias("fold"), "id", "month", "role", "before", "n_orders", "ahead", (F.col("ahead") > 0).cast("int").alias("grew"))
+    return models.walk_forward(rows, ["fold"], ["before", "n_orders"], "ahead", "grew").select("fold", "id", "month", "role", "predicted", "p")
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i] :: DOUBLE * i)) + 0.5, 5) AS score FROM embeddings")
 def linear_score(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(splits.linear_score(F.col("embedding"), range(1, 65), 0.5), 5).alias("score"))
