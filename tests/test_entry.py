@@ -21,6 +21,7 @@ PLAIN = {
     **dict.fromkeys(("segment_status", "anchor_members"), "def test_segment_queries_against_the_loop"),
     "identity_segments": "def test_identity_query_against_the_loop",
     "fold_predictions": "def test_fold_predictions_against_a_plain_solver",
+    "series_digest": "def test_series_digest_against_a_loop",
 }
 
 

@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables."""
 
-from . import analysis, decisions, features, flow, membership, mergers, panel, pit, research, reviews, series, trades, zones
+from . import analysis, decisions, digests, features, flow, membership, mergers, panel, pit, research, reviews, series, trades, zones
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "decisions", "features", "flow", "membership", "mergers", "panel", "pit", "research", "reviews", "series", "trades", "zones"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "decisions", "digests", "features", "flow", "membership", "mergers", "panel", "pit", "research", "reviews", "series", "trades", "zones"]
