@@ -10,11 +10,11 @@ from ..operators import rulebook as K
 from ..sources.tables import table
 from .panel import PANEL, RANK, panel
 from .registry import query
-from .series import BARS, bars
+from .series import BARS, NUMBERED, TRUE_RANGE, _ema_sql, _wilder_sql, bars
 
 #: The bars of the table span thirty days, so that the panel's lengths are short.
 SPANS = T.Spans(month=2, quarter=5, half=7, year=9, short=3, middle=5, long=8, slope=2, wilder=3)
-#: Folded features, which tests hold against loops.
+#: Folded features, whose SQL is the closed form of each mean.
 FOLDED = ("ema_distance_short", "ema_distance_middle", "atr_pct", "atr_normalized", "rsi")
 
 
@@ -49,7 +49,13 @@ def _panel_sql() -> str:
 
 
 PANEL_SQL = _panel_sql()
-_PLAIN = [k for k in SPANS.needs() if k not in FOLDED]
+_YEAR = f"OVER (PARTITION BY user_id ORDER BY session_date ROWS BETWEEN {SPANS.year - 1} PRECEDING AND CURRENT ROW)"
+#: fo: the folded features of every bar.
+FOLDED_SQL = f"""es AS (SELECT user_id, session_date, close, CASE WHEN i >= {SPANS.short} THEN {_ema_sql('n', 'close', SPANS.short)} END AS es, CASE WHEN i >= {SPANS.middle} THEN {_ema_sql('n', 'close', SPANS.middle)} END AS em FROM n y),
+    td AS (SELECT user_id, session_date, i - 1 AS i, {TRUE_RANGE} AS tr, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn FROM n WHERE i > 1),
+    wl AS (SELECT user_id, session_date, {', '.join(f"{_wilder_sql('td', c, SPANS.wilder)} AS w_{c}" for c in ('tr', 'up', 'dn'))} FROM td y),
+    fo AS (SELECT user_id, session_date, close / nullif(es, 0) - 1 AS ema_distance_short, close / nullif(em, 0) - 1 AS ema_distance_middle, w_tr / nullif(close, 0) AS atr_pct,
+        CASE WHEN count(w_tr) {_YEAR} = {SPANS.year} THEN w_tr / nullif(avg(w_tr) {_YEAR}, 0) END AS atr_normalized, CASE WHEN w_dn = 0 THEN 100 ELSE 100 - 100 / (1 + w_up / w_dn) END AS rsi FROM es LEFT JOIN wl USING (user_id, session_date))"""
 
 
 def _panel(spark, sf):
@@ -57,12 +63,15 @@ def _panel(spark, sf):
     return T.technical_panel(b, "user_id", "session_date", SPANS)
 
 
-@query(f"""WITH {PANEL_SQL}, l AS ({' UNION ALL '.join(f"SELECT user_id, session_date, '{k}' AS feature, {k} AS value, CASE WHEN {k} IS NOT NULL THEN NULL WHEN pos + 1 < {SPANS.needs()[k]} THEN 'NOT_ENOUGH_HISTORY' ELSE 'PROVIDER_GAP' END AS reason FROM f" for k in _PLAIN)})
+_ROW = "SELECT user_id, session_date, '{k}' AS feature, {k} AS value, CASE WHEN {k} IS NOT NULL THEN NULL WHEN pos + 1 < {n} THEN 'NOT_ENOUGH_HISTORY' ELSE 'PROVIDER_GAP' END AS reason FROM every"
+
+
+@query(f"""WITH {NUMBERED}, {FOLDED_SQL}{PANEL_SQL[len(BARS):]}, every AS (SELECT * FROM f JOIN fo USING (user_id, session_date)), l AS ({' UNION ALL '.join(_ROW.format(k=k, n=n) for k, n in SPANS.needs().items())})
     SELECT user_id, session_date, feature, round(value, 6) + 0.0 AS value, reason FROM l""")
 def technical_panel(spark, sf):
-    """Every feature of every bar, with the reason where there is none; those that are folded are left out here."""
+    """Every feature of every bar, with the reason where there is none."""
     rows = T.with_reasons(_panel(spark, sf), "user_id", "session_date", SPANS)
-    return rows.filter(~F.col("feature").isin(*FOLDED)).withColumn("value", F.round("value", 6) + 0.0)
+    return rows.withColumn("value", F.round("value", 6) + 0.0)
 
 
 _PARTS = ("distance_short", "distance_middle", "distance_long", "middle_vs_long", "slope_long")
