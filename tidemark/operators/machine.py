@@ -22,7 +22,7 @@ Rules of a bar, in their order:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of a plan, beside the trade's bars. Missing ones are NULL.
@@ -94,14 +94,22 @@ def _step() -> str:
     return f"if(s.state in {OPEN}, {live}, s)"
 
 
-def _fold() -> str:
-    none = f"cast(array() as {_LOG})"
-    waiting = _state("'WAITING_ENTRY'", "null", "1", "0", "null", none)
+def _start() -> str:
+    """The state of a trade p before its first bar."""
+    waiting = _state("'WAITING_ENTRY'", "null", "1", "0", "null", f"cast(array() as {_LOG})")
     filled = _state("'ENTERED'", "p.entry_high", "1", "0", "p.entry_high", f"cast(array({_event('p.decided', repr('ENTRY'), 'p.entry_high', '0', repr('ENTERED'))}) as {_LOG})")
-    run = f"aggregate(bars, if(p.entry_type = 'MARKET_REFERENCE', {filled}, {waiting}), (s, b) -> {_step()})"
+    return f"if(p.entry_type = 'MARKET_REFERENCE', {filled}, {waiting})"
+
+
+def _finish(state: str) -> str:
+    """A state after its last bar: a cancelled plan, or one closed by hand, ends."""
     cancelled = _state("'CANCELLED'", log=f"concat(s.log, array({_event('p.cancel_on', repr('CANCELLED'), 'null', '0', repr('CANCELLED'))}))")
     last = f"if(s.state in {OPEN}, if(s.entry is null, if(p.cancel_on is null, s, {cancelled}), if(p.manual_on is null, s, {_end('MANUAL_CLOSE', 'p.manual_price', 'CLOSED_MANUAL', 'p.manual_on')})), s)"
-    return _let("s", run, last)
+    return _let("s", state, last)
+
+
+def _fold() -> str:
+    return _finish(f"aggregate(bars, {_start()}, (s, b) -> {_step()})")
 
 
 def validated(plans: DataFrame) -> DataFrame:
@@ -124,24 +132,62 @@ def validated(plans: DataFrame) -> DataFrame:
     return plans.withColumn("problem", problem)
 
 
-def simulate(path: DataFrame, trade: str) -> DataFrame:
-    """(trade, sequence_number, session_date, event, price, fraction, state): the log of each trade.
+def _bars() -> Column:
+    return F.struct(F.col("session_date").cast("date").alias("d"), *[F.col(c).cast("double").alias(c[0]) for c in ("open", "high", "low", "close")])
 
-    path: trade, columns of PLAN (the same on all rows of a trade), session_date, open, high, low, close. A trade
-    whose plan breaks a rule has no log.
-    """
-    plan = [F.col(c).cast(t).alias(c) if c in path.columns else F.lit(None).cast(t).alias(c) for c, t in PLAN.items()]
-    rows = path.select(trade, *plan, F.struct(F.col("session_date").cast("date").alias("d"), *[F.col(c).cast("double").alias(c[0]) for c in ("open", "high", "low", "close")]).alias("bar"))
-    per = rows.groupBy(trade).agg(*[F.first(c).alias(c) for c in PLAN], F.sort_array(F.collect_list("bar")).alias("bars"))
+
+def _typed(df: DataFrame, trade: str, *more: Column) -> DataFrame:
+    """(trade, columns of PLAN, more); missing columns of a plan are NULL."""
+    return df.select(trade, *[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in PLAN.items()], *more)
+
+
+def _levels(per: DataFrame, trade: str, *more: str) -> DataFrame:
+    """(trade, more, p) of the plans that break no rule."""
     per = per.withColumns({"entry_type": F.coalesce("entry_type", F.lit("LIMIT")), "exit_policy": F.coalesce("exit_policy", F.lit("LEGACY_HALF_AT_TP1"))})
     half = F.when(F.col("target_2").isNull(), F.lit(1.0)).otherwise(0.5)
     legacy = {1: half, 2: F.when(F.col("target_2").isNotNull(), 0.5).otherwise(0.0), 3: F.lit(0.0)}
     shares = [F.when(F.col("exit_policy") == "LEGACY_HALF_AT_TP1", legacy[n]).when(F.col("exit_policy") == "PARTIAL_FRACTIONS", F.coalesce(f"fraction_{n}", F.lit(0.0))).otherwise(0.0).alias(f"f{n}") for n in (1, 2, 3)]
     levels = F.struct("entry_type", "entry_high", "stop", *[F.col(f"target_{n}").alias(f"t{n}") for n in (1, 2, 3)], *shares, "invalidation", "expiration", "decided", "cancel_on", "manual_on", "manual_price")
-    good = validated(per).filter("problem is null").select(trade, "bars", levels.alias("p"))
-    logs = good.select(trade, F.expr(_fold()).alias("s"))
-    return logs.select(trade, F.posexplode("s.log").alias("at", "e")).select(trade, (F.col("at") + 1).alias("sequence_number"), "e.*")
+    return validated(per).filter("problem is null").select(trade, *more, levels.alias("p"))
+
 
+def _log(states: DataFrame, trade: str) -> DataFrame:
+    return states.select(trade, F.posexplode("s.log").alias("at", "e")).select(trade, (F.col("at") + 1).alias("sequence_number"), "e.*")
+
+
+def advance(plans: DataFrame, states: DataFrame | None, bars: DataFrame, trade: str) -> DataFrame:
+    """(trade, s, through): the states of plans (trade and columns of PLAN, a row each) after more bars, from those of an earlier call.
+
+    Bars go on from where the states left off: one on or before a trade's last day cannot be folded any more and is an error.
+    """
+    fresh = bars.select(trade, _bars().alias("bar")).groupBy(trade).agg(F.sort_array(F.collect_list("bar")).alias("bars"))
+    both = _levels(_typed(plans, trade), trade).join(fresh, trade, "left")
+    if states is None:
+        both = both.withColumns({"s0": F.expr(_start()), "through": F.lit(None).cast("date")})
+    else:
+        both = both.join(states.select(trade, F.col("s").alias("s0"), "through"), trade, "left").withColumn("s0", F.coalesce("s0", F.expr(_start())))
+    late = F.get("bars", F.lit(0))["d"] <= F.col("through")
+    refused = F.raise_error(F.concat(F.lit("a bar came after its trade was folded through "), F.col("through").cast("string")))
+    checked = both.withColumn("bars", F.when(F.coalesce(late, F.lit(False)), refused.cast(both.schema["bars"].dataType)).otherwise(F.col("bars")))
+    folded = F.when(F.col("bars").isNull(), F.col("s0")).otherwise(F.expr(f"aggregate(bars, s0, (s, b) -> {_step()})"))
+    return checked.select(trade, folded.alias("s"), F.coalesce(F.element_at("bars", -1)["d"], F.col("through")).alias("through"))
+
+
+def log_of(states: DataFrame, plans: DataFrame, trade: str) -> DataFrame:
+    """The log of every trade from its state, as ``simulate`` gives it of the bars so far."""
+    both = _levels(_typed(plans, trade), trade).join(states, trade)
+    return _log(both.select(trade, F.expr(_finish("s")).alias("s")), trade)
+
+
+def simulate(path: DataFrame, trade: str) -> DataFrame:
+    """(trade, sequence_number, session_date, event, price, fraction, state): the log of each trade.
+
+    path: trade, columns of PLAN (the same on all rows of a trade), session_date, open, high, low, close. A trade
+    whose plan breaks a rule has no log.
+    """
+    rows = _typed(path, trade, _bars().alias("bar"))
+    per = rows.groupBy(trade).agg(*[F.first(c).alias(c) for c in PLAN], F.sort_array(F.collect_list("bar")).alias("bars"))
+    return _log(_levels(per, trade, "bars").select(trade, F.expr(_fold()).alias("s")), trade)
 
 def metrics(log: DataFrame, path: DataFrame, trade: str) -> DataFrame:
     """(trade, state, entry, exit, sold, ret, realised_r, bars_held, mfe, mae) of each entered trade, from its log and the bars that it was held."""
