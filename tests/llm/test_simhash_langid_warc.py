@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -207,3 +208,23 @@ def test_warc_round_trip(spark):
         headers, _ = warc.read_record(r.bundle, r.frame_at, r.frame_bytes, r.offset)
         assert headers["WARC-Record-ID"] == f"<urn:uuid:{r.record_id}>"
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc_one_response_a_payload(spark, monkeypatch, broadcast):
+    """Rows that share id and payload, or the whole row, give one response, by broadcast and beyond it; extra columns are left alone."""
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", broadcast)
+    long = ["x" * 1000, "y" * 1500, "z" * 2000]
+    rows = [(5, f"u{i % 3}", long[0], 1) for i in range(9)] + [(i, "v", long[1], 2) for i in range(2500)] + [(None, None, long[2], 3)] * 4 + [(7, "w", None, 4), (7, "w", "", 5), (8, "w", "k" * 999, 6), (9, "w", "k" * 999, 7), (3, "o", "q" * 1200, 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes long").repartition(7)
+    got = warc.read_bundles(warc.write_bundles(pages)).collect()
+    assert len(got) == len(rows)
+    per = {}
+    for r in got:
+        per.setdefault(r.payload_digest, []).append(r)
+    for text, first in zip(long, (5, 2499, None)):
+        mine = per[hashlib.sha1(text.encode()).hexdigest()]
+        kept = [r for r in mine if r.record_type == "response"]
+        assert len(kept) == 1 and kept[0].page_id == first
+        assert all(r.refers_to == first and r.payload_bytes == len(text) for r in mine if r.record_type == "revisit")
+    assert sum(r.record_type == "response" for r in got) == 3 + 5

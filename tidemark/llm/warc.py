@@ -9,7 +9,7 @@ without payload; their digest and length are kept.
 Bundles are written through the file system of their address, under a name of their own that only
 successful tasks report, so that repeated and lost tasks leave nothing that is read.
 
-Defined cases: null payloads are empty; payloads under ``least`` bytes are all responses; of equal
+Defined cases: ids are integers (others must be numbered first); null payloads are empty; payloads under ``least`` bytes are all responses; of equal
 longer payloads the row with the largest id is the response (null ids are smallest; of equal ids, one)
 and the others revisit it; null URLs have no target header; empty tables write nothing.
 """
@@ -33,6 +33,8 @@ from .common import HOT_SHARE, checkpoint, join_counted, new_folder, written
 
 LEAST = 1000
 FRAME_BYTES = 1 << 20
+#: Up to as many repeated payloads, some 20 MB of digests, rows meet them by broadcast in one reading; the result is the same.
+BROADCAST_PAYLOADS = 100_000
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_at long, frame_bytes int, offset int, length int"
@@ -159,40 +161,52 @@ def _writer(folder: str):
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
-    """(id, url, payload, digest, revisits): what each row's record holds; revisits is null for responses."""
+    """(id, url, payload, digest, revisits): what each row's record holds; revisits is null for responses.
+
+    Pages are read twice: for their digests, from which alone all is decided, and to be written. Where more
+    than BROADCAST_PAYLOADS payloads are repeated, the second reading is one for each way that rows are matched.
+    """
     data = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("__llm_id"), F.col(url_col).alias("__llm_url"), data.alias("__llm_html"), F.sha1(data).alias("__llm_digest"), F.monotonically_increasing_id().alias("__llm_row"))
-    long = rows.filter(F.length("__llm_html") >= least)
-    per_id = long.groupBy("__llm_digest", "__llm_id").agg(F.count("*").alias("__llm_c"))
+    keys = written(pages.select(F.col(id_col).alias("__llm_id"), F.sha1(data).alias("__llm_digest"), (F.length(data) >= least).alias("__llm_long")), "digests")
+    per_id = keys.filter("__llm_long").groupBy("__llm_digest", "__llm_id").agg(F.count("*").alias("__llm_c"))
     per = per_id.groupBy("__llm_digest").agg(
         F.max("__llm_id").alias("__llm_first"),
         F.coalesce(F.max_by("__llm_c", "__llm_id"), F.sum("__llm_c")).alias("__llm_firsts"),
         F.sum("__llm_c").alias("__llm_n"),
     )
     per = written(per.filter("__llm_n > 1"), "payloads")
-    # Only payloads that a filter of the repeated digests points at are matched, those with very many copies by broadcast.
-    words = bloom.words_for(per.count())
-    hashed = per.withColumn("__llm_h", F.xxhash64("__llm_digest"))
-    flagged = bloom.flag(rows.withColumn("__llm_h", F.xxhash64("__llm_digest")), "__llm_h", bloom.of_keys(hashed, "__llm_h", words), words, "__llm_hit").drop("__llm_h")
-    hot = F.col("__llm_n") > F.lit(max(1000, int(pages.count() * HOT_SHARE)))
-    added = ["__llm_first", "__llm_firsts", "__llm_n"]
-    near = flagged.filter("__llm_hit").join(F.broadcast(per.filter(hot)), "__llm_digest", "left")
-    far = near.filter("__llm_n is null").drop(*added).join(per.filter(~hot), "__llm_digest", "left")
-    found = near.filter("__llm_n is not null").unionByName(far)
+    payloads, total = per.count(), keys.count()
+    rows = pages.select(F.col(id_col).alias("__llm_id"), F.col(url_col).alias("__llm_url"), data.alias("__llm_html"), F.sha1(data).alias("__llm_digest"))
+    found = _matched(rows, per, payloads, total)
     is_first = F.col("__llm_id").eqNullSafe(F.col("__llm_first"))
     again = F.col("__llm_n").isNotNull() & is_first & (F.col("__llm_firsts") > 1)
     out = ["__llm_id", "__llm_url", "__llm_html", "__llm_digest"]
     revisit = F.col("__llm_n").isNotNull() & ~is_first
     made = found.filter(~again).select(*out, revisit.alias("__llm_revisit"), F.when(revisit, F.col("__llm_first")).alias("__llm_revisits"))
-    made = made.unionByName(flagged.filter("not __llm_hit").select(*out, F.lit(False).alias("__llm_revisit"), F.lit(None).cast(pages.schema[id_col].dataType).alias("__llm_revisits")))
-    if not per.filter("__llm_firsts > 1").isEmpty():  # rows that share id and payload: one of them is the response
-        rest = found.filter(again)
-        least = rest.groupBy("__llm_digest").agg(F.min("__llm_row").alias("__llm_least"), F.count("*").alias("__llm_c"))
-        rest = join_counted(rest, least, "__llm_digest", "__llm_c", pages.count()).withColumn("__llm_revisit", F.col("__llm_row") != F.col("__llm_least"))
+    if not per.filter("__llm_firsts > 1").isEmpty():  # rows that share id and payload: one of them, of a table written once, is the response
+        rest = written(found.filter(again), "again").withColumn("__llm_row", F.monotonically_increasing_id())
+        least_row = rest.groupBy("__llm_digest").agg(F.min("__llm_row").alias("__llm_least"), F.count("*").alias("__llm_c"))
+        rest = join_counted(rest, least_row, "__llm_digest", "__llm_c", total).withColumn("__llm_revisit", F.col("__llm_row") != F.col("__llm_least"))
         made = made.unionByName(rest.select(*out, "__llm_revisit", F.when(F.col("__llm_revisit"), F.col("__llm_first")).alias("__llm_revisits")))
     return made
 
 
+def _matched(rows: DataFrame, per: DataFrame, payloads: int, total: int) -> DataFrame:
+    """rows with the columns of per, one row a repeated digest; NULL for others."""
+    if payloads <= BROADCAST_PAYLOADS:
+        return rows.join(F.broadcast(per), "__llm_digest", "left")
+    # Only rows that a filter of the repeated digests points at are matched, those with very many copies by broadcast.
+    words = bloom.words_for(payloads)
+    hashed = per.withColumn("__llm_h", F.xxhash64("__llm_digest"))
+    flagged = bloom.flag(rows.withColumn("__llm_h", F.xxhash64("__llm_digest")), "__llm_h", bloom.of_keys(hashed, "__llm_h", words), words, "__llm_hit").drop("__llm_h")
+    hot = F.col("__llm_n") > F.lit(max(1000, int(total * HOT_SHARE)))
+    added = [c for c in per.columns if c != "__llm_digest"]
+    near = flagged.filter("__llm_hit").join(F.broadcast(per.filter(hot)), "__llm_digest", "left")
+    far = near.filter("__llm_n is null").drop(*added).join(per.filter(~hot), "__llm_digest", "left")
+    none = flagged.filter("not __llm_hit").withColumns({c: F.lit(None).cast(per.schema[c].dataType) for c in added})
+    return near.filter("__llm_n is not null").unionByName(far).unionByName(none).drop("__llm_hit")
+
+
 def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
     """Writes a record for each row into folder (default: a new one in the shared folder).
 
