@@ -42,6 +42,15 @@ def test_hot_group_and_overfull_filter(spark):
         assert exact_dedup.drop_duplicates(docs, most_words=most).count() == 26_667
 
 
+def test_slices_flag_few_in_vain(spark):
+    """Rows that would fill ten filters are dealt into ten slices: all repeated ones are flagged and few others."""
+    rows = spark.range(40_000).selectExpr("id", "xxhash64(if(id % 10 = 0, id % 1000, id)) as h")
+    got = exact_dedup._flagged_in_slices(rows, "h", 40_000, 1 << 10)
+    assert got.count() == 40_000 and got.filter("id % 10 = 0 and not __llm_possible").isEmpty()
+    assert got.filter("id % 10 <> 0 and __llm_possible").count() < 36_000 * 0.05
+    assert exact_dedup._flagged(rows, "h", 40_000, 1 << 10).filter("id % 10 <> 0 and __llm_possible").count() > 36_000 * 0.4  # one filter alone
+
+
 @pytest.mark.parametrize("most", [1 << 10, 1 << 22])
 def test_unflagged_rows_never_move(spark, sf, most):
     """Whatever the size of the filter, all shuffles of texts lie above the filter for possibly repeated rows."""

@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_WORDS = 1 << 22
+#: A filter of so many keys a word flags some 1.5 % of other keys in vain.
+KEYS_A_WORD = 4
 _BLOCK_BITS = 10
 
 
 def words_for(keys: int, most: int = MOST_WORDS) -> int:
     """64-bit words of the filter: 16 bits a key, as far as ``most`` goes."""
-    return min(most, 1 << max(_BLOCK_BITS, math.ceil(math.log2(max(keys, 1) / 4))))
+    return min(most, 1 << max(_BLOCK_BITS, math.ceil(math.log2(max(keys, 1) / KEYS_A_WORD))))
 
 
 def _word(h: str, words: int) -> Column:

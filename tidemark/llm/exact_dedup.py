@@ -2,8 +2,10 @@
 
 The first pass sets two bits of a register-blocked Bloom filter for each text's hash and keeps the
 bits that were set at least twice. A row whose bits were all set twice is possibly repeated. In the
-second pass only those rows shuffle, to be grouped by their SHA-256; the rest pass straight through,
-whatever the size of the table: the filter is bounded and always broadcast (see :mod:`.bloom`).
+second pass only those rows shuffle, to be grouped by their SHA-256; the rest pass straight through.
+A filter is bounded (see :mod:`.bloom`) and always broadcast. Where one would be too full, the rows'
+hashes are dealt into slices, as many as the rows ask for, and each slice has its own filter in turn, so
+that the share of rows flagged in vain is the same at any size.
 
 Defined cases: null texts count as empty; texts are equal when identical after lower-casing A-Z; of
 equal texts the row with the largest id stays, null ids being smallest; of rows that also share the
@@ -15,9 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import bloom
-from .common import ascii_lower, checkpoint, join_counted
+from .common import ascii_lower, checkpoint, join_counted, new_folder
 
 
 def _normal(text: str) -> Column:
@@ -30,6 +33,22 @@ def _flagged(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
     return bloom.flag(rows, h, bloom.of_repeated(rows.select(h), h, words), words, "__llm_possible")
 
 
+def _flagged_in_slices(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
+    """rows with the boolean __llm_possible, by one filter for each slice of hashes that fills it; each row is written twice and read three times."""
+    slices = -(-n // (most * bloom.KEYS_A_WORD))
+    if slices <= 1:
+        return _flagged(rows, h, n, most)
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "slices")
+    # Bits that neither the word nor the places within it are read from.
+    which = F.pmod(F.shiftrightunsigned(h, 30).bitwiseAND(F.lit((1 << 22) - 1)), F.lit(slices)).cast("int")
+    rows.withColumn("__llm_slice", which).write.partitionBy("__llm_slice").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(StructType([*rows.schema.fields, StructField("__llm_slice", IntegerType())])).parquet(f"{folder}/dealt")
+    for i in range(slices):
+        part = _flagged(dealt.filter(F.col("__llm_slice") == i).drop("__llm_slice"), h, most * bloom.KEYS_A_WORD, most)
+        part.write.mode("append").parquet(f"{folder}/flagged")
+    return spark.read.schema(part.schema).parquet(f"{folder}/flagged")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = bloom.MOST_WORDS) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row of docs.
 
@@ -44,7 +63,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ).withColumn("__llm_h", F.xxhash64("text_sha256"))
     )
     n = rows.count()
-    flagged = _flagged(rows, "__llm_h", n, most_words)
+    flagged = _flagged_in_slices(rows, "__llm_h", n, most_words)
     possible = flagged.filter("__llm_possible")
     groups = possible.groupBy("text_sha256").agg(
         F.max("__llm_id").alias("keep_id"),
