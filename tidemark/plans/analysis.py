@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
+from ..operators import provenance as P
 from ..operators import valuation as V
+from ..operators.lineage import cut
 from ..sources import vendors
 from ..sources.tables import table
 from .registry import query
@@ -64,18 +66,21 @@ TRAILED = f"""{QUARTERS}, t AS (SELECT *, {_TTM} FROM r WINDOW w AS (PARTITION B
     x AS (SELECT *, CASE WHEN capex_ttm >= 0 THEN cfo_ttm - capex_ttm END AS fcf_ttm, CASE WHEN capex_prior >= 0 THEN cfo_prior - capex_prior END AS fcf_prior FROM u)"""
 
 
-def _trailed(spark, sf):
+def _quarters(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     price, n = F.col("o_totalprice").cast("decimal(18,2)"), F.col("n")
     q = o.groupBy(F.col("c_nationkey").alias("nation"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("period_end")).agg(
         F.sum(price).cast("double").alias("revenue"), F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", price)), F.lit(0)).cast("double").alias("part"), F.count("*").alias("n")
     )
-    r = q.select(
+    return q.select(
         "nation", "period_end", "revenue", (F.col("part") * 0.8).alias("gross_profit"), (F.col("part") * 0.5 - F.col("revenue") * 0.1).alias("operating_income"), (F.col("part") * 0.4 - F.col("revenue") * 0.15).alias("net_income"),
         F.when(n % 17 != 0, F.col("part") * 0.45).alias("cfo"), (F.col("revenue") * 0.07).alias("capex"), F.when(n % 13 != 0, n * 1000.0 + F.col("revenue")).alias("assets"), (n * 400.0 - 2000).alias("equity"), (n * 50.0).alias("cash"),
         F.when(n % 3 != 0, n * 90.0).alias("debt"), F.when(n % 11 != 0, 100.0 + F.col("nation")).alias("shares"),
     )
-    return V.trailing(r, ["nation"], "period_end", instants=("assets", "equity"))
+
+
+def _trailed(spark, sf):
+    return V.trailing(_quarters(spark, sf), ["nation"], "period_end", instants=("assets", "equity"))
 
 
 def _ratio(a: str, b: str, less: str = "") -> tuple[str, str]:
@@ -95,6 +100,28 @@ def fundamental_features(spark, sf):
     return V.fundamental_features(_trailed(spark, sf), ["nation"], "period_end").withColumn("value", F.round("value", 5) + 0.0)
 
 
+#: How many quarters before its own each feature reads.
+ROWS_BACK = {"cash_to_assets": 0, "debt_to_assets": 0} | {f"{k}_ttm": 3 for k in (*V.FLOWS, "fcf")} | {f"{k}_margin": 3 for k in ("gross", "operating", "net", "fcf")} | {"cfo_to_net_income": 3}
+ROWS_BACK |= dict.fromkeys(("roa", "roe", "accruals_to_assets", "shares_growth"), 4) | {f"{k}_growth": 7 for k in ("revenue", "operating_income", "net_income", "fcf")}
+_BACK = "CASE feature " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in ROWS_BACK.items()) + " END"
+
+
+def _features(facts, keys):
+    return V.fundamental_features(V.trailing(facts, keys, "period_end", instants=("assets", "equity")), keys, "period_end")
+
+
+@query(f"""WITH {TRAILED}, l AS ({' UNION ALL '.join(f"SELECT nation, period_end, '{k}' AS feature, {v} AS value, {r} AS reason FROM x" for k, (v, r) in _OUT.items())}),
+    o AS (SELECT nation, period_end, row_number() OVER (PARTITION BY nation ORDER BY period_end) AS i FROM r), b AS (SELECT *, greatest(i - {_BACK}, 1) AS j FROM l JOIN o USING (nation, period_end))
+    SELECT b.nation, b.period_end, feature, round(value, 5) + 0.0 AS value, reason, b.i - b.j + 1 AS n_inputs, o.period_end AS oldest, 'SAME' AS status FROM b JOIN o ON o.nation = b.nation AND o.i = b.j""")
+def explained_features(spark, sf):
+    """Each fundamental feature with how many stored quarters it names, the oldest of them, and whether those alone make it again."""
+    facts = cut(P.named(_quarters(spark, sf)))
+    values = P.explained(facts, ["nation"], "period_end", _features, ROWS_BACK)
+    oldest = facts.select(F.col("source_id").alias("__s"), F.col("period_end").alias("oldest"))
+    again = P.rebuilt(values, facts, ["nation"], "period_end", _features, ROWS_BACK).join(oldest, F.col("inputs")[0] == F.col("__s"))
+    return again.select("nation", "period_end", "feature", (F.round("value", 5) + 0.0).alias("value"), "reason", "n_inputs", "oldest", "status")
+
+
 _OVER = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} END"
 VALUED = f"""{TRAILED}, m AS (SELECT *, CAST(CASE WHEN shares IS NOT NULL THEN (10 + CAST(cash / 50 AS BIGINT) % 7) * shares END AS DOUBLE) AS market_cap FROM x), e AS (SELECT *, market_cap + debt - cash AS ev FROM m),
     v AS (SELECT *, net_income_ttm / nullif(market_cap, 0) AS earnings_yield, {_OVER('market_cap', 'net_income_ttm')} AS pe, {_OVER('market_cap', 'revenue_ttm')} AS price_to_sales, {_OVER('market_cap', 'equity')} AS price_to_book, fcf_ttm / nullif(market_cap, 0) AS fcf_yield, {_OVER('ev', 'revenue_ttm')} AS ev_to_sales FROM e)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cross_section as X
 from ..operators import features as T
 from ..operators import rulebook as K
+from ..operators import variants as R
 from ..sources.tables import table
 from .panel import PANEL, RANK, panel
 from .registry import query
@@ -275,3 +276,46 @@ def cohort_summary(spark, sf):
     from ..operators import cohorts
 
     return cohorts.summary(cohorts.layers(_cohort(spark, sf), "month", _LAYERS), "month", 3)
+
+
+_D_EDGE = "CASE WHEN count(*) FILTER (call = 'UP') >= {least} THEN avg((ret > 0)::INT) FILTER (call = 'UP') - avg((ret > 0)::INT) END"
+_D_RANK = "(rank() OVER (PARTITION BY variant, horizon ORDER BY {0}) + (count(*) OVER (PARTITION BY variant, horizon, {0}) - 1) / 2.0)"
+VARIANTS = {"base": ("call_a", "score_a"), "other": ("call_b", "score_b"), "strict": ("call_c", "score_b")}
+_DIMENSIONS = f"""{CALLS}, d AS (SELECT id, month, segment, ret, horizon + 1 AS horizon, score AS score_a, (score * 3 + id) % 7 AS score_b, call AS call_a, call2 AS call_b, CASE WHEN call = 'UP' AND call2 <> 'DOWN' THEN 'UP' ELSE 'NEUTRAL' END AS call_c,
+        CASE WHEN id % 5 <> 0 THEN ret - 0.01 * (id % 4) END AS reward, CASE WHEN month < DATE '1995-06-01' THEN 'before' WHEN month >= DATE '1996-01-01' THEN 'after' END AS period, year(month) * 12 + month(month) AS m FROM c),
+    v AS ({' UNION ALL '.join(f"SELECT id, m, segment, ret, horizon, reward, period, '{n}' AS variant, {c} AS call, {s} AS score FROM d" for n, (c, s) in VARIANTS.items())}),
+    t AS (SELECT *, greatest(floor(count(*) OVER k / 5), 1) AS k, count(*) OVER k AS n, row_number() OVER (PARTITION BY variant, horizon, m ORDER BY score DESC, id DESC) AS u, row_number() OVER (PARTITION BY variant, horizon, m ORDER BY score, id) AS l FROM v WINDOW k AS (PARTITION BY variant, horizon, m)),
+    p AS (SELECT variant, horizon, m, avg(ret) FILTER (u <= k) - avg(ret) FILTER (l <= k) AS e, avg(score) FILTER (u <= k) > avg(score) FILTER (l <= k) AS ok FROM t WHERE n >= 10 GROUP BY 1, 2, 3),
+    g AS (SELECT variant, horizon, 'edge' AS dimension, {_D_EDGE.format(least=10)} AS value FROM v GROUP BY 1, 2
+        UNION ALL SELECT variant, horizon, 'r', CASE WHEN count(reward) FILTER (call = 'UP') >= 10 THEN avg(reward) FILTER (call = 'UP') END FROM v GROUP BY 1, 2
+        UNION ALL SELECT variant, horizon, 'robust', avg((e > 0)::INT) FROM (SELECT variant, horizon, m % horizon AS o, {_D_EDGE.format(least=10)} AS e FROM v GROUP BY 1, 2, 3) GROUP BY 1, 2
+        UNION ALL SELECT variant, horizon, 'region', avg((e > 0)::INT) FROM (SELECT variant, horizon, segment, {_D_EDGE.format(least=30)} AS e FROM v GROUP BY 1, 2, 3) GROUP BY 1, 2
+        UNION ALL SELECT variant, horizon, 'temporal', CASE WHEN count(e) = 2 THEN min(e) END FROM (SELECT variant, horizon, period, {_D_EDGE.format(least=10)} AS e FROM v WHERE period IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2
+        UNION ALL SELECT variant, horizon, 'ic', CASE WHEN count(*) >= 30 THEN corr(a, b) END FROM (SELECT *, {_D_RANK.format('score')} AS a, {_D_RANK.format('ret')} AS b FROM v) GROUP BY 1, 2
+        UNION ALL SELECT variant, horizon, 'tb', avg(e) FROM p WHERE ok GROUP BY 1, 2)"""
+
+
+def _dimensions(spark, sf):
+    c, i = _calls(spark, sf), F.col("id")
+    d = c.select(
+        "id", "month", "segment", "ret", (F.col("horizon") + 1).alias("horizon"), F.col("score").alias("score_a"), ((F.col("score") * 3 + i) % 7).alias("score_b"), F.col("call").alias("call_a"), F.col("call2").alias("call_b"),
+        F.when((F.col("call") == "UP") & (F.col("call2") != "DOWN"), "UP").otherwise("NEUTRAL").alias("call_c"), F.when(i % 5 != 0, F.col("ret") - 0.01 * (i % 4)).alias("reward"),
+        F.when(F.col("month") < "1995-06-01", "before").when(F.col("month") >= "1996-01-01", "after").alias("period"), (F.year("month") * 12 + F.month("month")).alias("m"),
+    )
+    return R.dimensions(d, VARIANTS, "id", "horizon", "m", "ret", "reward", "segment", "period", "id")
+
+
+@query(f"WITH {_DIMENSIONS} SELECT variant, horizon, dimension, round(value, 5) + 0.0 AS value FROM g")
+def variant_dimensions(spark, sf):
+    return _dimensions(spark, sf).withColumn("value", F.round("value", 5) + 0.0)
+
+
+@query(f"""WITH {_DIMENSIONS}, b AS (SELECT * FROM g WHERE variant = 'base'), o AS (SELECT * FROM g WHERE variant <> 'base'), n AS (SELECT DISTINCT variant FROM o),
+    j AS (SELECT n.variant, k.horizon, k.dimension, b.value AS b, o.value AS v FROM n CROSS JOIN (SELECT DISTINCT horizon, dimension FROM g) k LEFT JOIN b USING (horizon, dimension) LEFT JOIN o ON o.variant = n.variant AND o.horizon = k.horizon AND o.dimension = k.dimension),
+    w AS (SELECT variant, dimension, avg(b) AS base, avg(v) AS value, avg(v) - avg(b) AS d, avg((v > b)::INT) AS u, avg((v < b)::INT) AS l, CASE dimension {' '.join(f"WHEN '{k}' THEN {x}" for k, x in R.TOLERANCES.items())} END AS t FROM j GROUP BY 1, 2),
+    x AS (SELECT *, CASE WHEN d >= t AND u >= 0.6 THEN 'IMPROVES' WHEN -d >= t AND l >= 0.6 THEN 'DEGRADES' ELSE 'INCONCLUSIVE' END AS verdict FROM w),
+    y AS (SELECT variant, count(*) FILTER (verdict = 'IMPROVES') AS improves, count(*) FILTER (verdict = 'DEGRADES') AS degrades FROM x GROUP BY 1)
+    SELECT variant, dimension, round(base, 5) + 0.0 AS base, round(value, 5) + 0.0 AS value, verdict, improves, degrades, CASE WHEN improves >= 3 AND degrades = 0 THEN 'IMPROVES' WHEN degrades >= 2 THEN 'DEGRADES' ELSE 'INCONCLUSIVE' END AS overall FROM x JOIN y USING (variant)""")
+def variant_overall(spark, sf):
+    df = R.compared(_dimensions(spark, sf), "base", ["other", "strict"])
+    return df.withColumns({k: F.round(k, 5) + 0.0 for k in ("base", "value")})
