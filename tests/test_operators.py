@@ -260,7 +260,7 @@ def test_match_discovery_against_a_loop(spark, sf):
     want = set()
     for c, k in by.items():
         used = set()
-        for gap, f, q in sorted((abs((d - e).days), f, q) for f, d in k["F"] for q, e in k["O"] if abs((d - e).days) <= 120):
+        for gap, f, q in sorted((abs((d - e).days), f, q) for f, d in k["F"] for q, e in k["O"] + k["P"] if abs((d - e).days) <= 120):
             if f not in used and q not in used:
                 used |= {f, q}
                 want.add((c, f, q, gap))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import append, parsers
+from ..sources import announcements, append, parsers
 from ..sources.tables import table
 from ..streaming import known
 from .registry import query
@@ -57,3 +57,28 @@ def archived_pages(spark, sf):
     content = F.col("html").cast("binary")
     files = table(spark, sf, "pages").filter("html is not null").select(F.col("url").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
     return append.archive(files).select("sha256", "path", "bytes")
+
+
+@query("""SELECT o_orderkey, 'B' || o_custkey AS added, 'Buyer ' || o_custkey || ' Inc.' AS added_name, CASE WHEN o_orderkey % 7 <> 3 THEN 'S' || o_orderkey END AS removed, 'Seller ' || o_orderkey || CASE WHEN o_orderkey % 7 <> 3 THEN ' Corp.' ELSE '' END AS removed_name,
+        CASE o_orderkey % 5 WHEN 0 THEN 'AFTER_CLOSE' WHEN 1 THEN 'BEFORE_OPEN' WHEN 2 THEN 'TBA' WHEN 3 THEN 'EFFECTIVE_ON_DATE' ELSE 'AFTER_CLOSE' END AS timing, CASE WHEN o_orderkey % 5 <> 2 THEN CAST(o_orderdate AS DATE) + 6 END AS stated_day,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'BANKRUPTCY' WHEN o_orderkey % 3 = 1 THEN 'MERGER_OR_ACQUISITION' ELSE 'UNSPECIFIED' END AS reason, o_orderkey % 11 = 0 AND o_orderkey % 5 <> 2 AS header_differs, CASE WHEN o_orderkey % 7 = 3 THEN 'REMOVED_WITHOUT_SYMBOL' END AS problem FROM orders""")
+def announcement_clauses(spark, sf):
+    """Announcements written out of orders, in five forms, and read again."""
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    day = lambda days, form: F.date_format(F.date_add(d, days), form)
+    buyer = F.concat(F.lit("Buyer "), F.col("o_custkey"), F.lit(" Inc. (NYSE: B"), F.col("o_custkey"), F.lit(")"))
+    seller = F.when(k % 7 == 3, F.concat(F.lit("Seller "), k)).otherwise(F.concat(F.lit("Seller "), k, F.lit(" Corp. (NASD: S"), k, F.lit(" )")))
+    clause = F.concat(buyer, F.lit(" will replace "), seller, F.lit(" in the S&P 500"))
+    form = k % 5
+    body = (
+        F.when(form == 0, F.concat(clause, F.lit(" index after the close of trading on "), day(6, "EEEE, MMMM d, yyyy"), F.lit(". ")))
+        .when(form == 1, F.concat(clause, F.lit(" prior to the open of trading on "), day(6, "EEEE, MMM. d"), F.lit(". ")))
+        .when(form == 2, F.concat(clause, F.lit(" index after the close of trading on a date to be announced. ")))
+        .when(form == 3, F.concat(clause, F.lit(", and Other Co. (NYSE: O) will replace Another (NYSE: P) in the S&P MidCap 400 effective "), day(6, "MMMM d, yyyy"), F.lit(". ")))
+        .otherwise(F.concat(F.lit("The following changes are made after the close of trading on "), day(6, "EEEE, MMMM d, yyyy"), F.lit(" : "), clause, F.lit(" index. ")))
+    )
+    why = F.when(k % 3 == 0, "It filed for Chapter 11 after a failed merger. ").when(k % 3 == 1, "It is being acquired. ").otherwise("")
+    header = F.when(k % 11 == 0, F.concat(F.lit("S&P 500 INDEX - "), day(7, "MMMM d, yyyy"))).otherwise("")
+    texts = table(spark, sf, "orders").select(k, d.alias("announced"), F.concat(F.lit("NEW YORK /Wire/ -- "), body, why, header).alias("body"))
+    found = announcements.changes(texts, ["o_orderkey"], "body", "announced")
+    return found.select(k, "added", "added_name", "removed", "removed_name", "timing", "stated_day", "reason", "header_differs", "problem")

@@ -63,7 +63,7 @@ def certain_members(spark, sf):
 def match_discovery(spark, sf):
     """No SQL twin: which pair takes a row depends on those before it; tests hold it against a plain loop."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"), "o_orderstatus")
-    left, right = o.filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("f"), "d"), o.filter("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("o"), F.col("d").alias("d2"))
+    left, right = o.filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("f"), "d"), o.filter("o_orderstatus <> 'F'").select("o_custkey", F.col("o_orderkey").alias("o"), F.col("d").alias("d2"))
     return V.match_one_to_one(left, right, "o_custkey", "f", "o", "d", "d2", 120)
 
 

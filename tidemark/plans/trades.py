@@ -148,15 +148,15 @@ def first_touch_outcome(spark, sf):
     return _r(T.first_touch(_path(spark, sf), "user_id"), "pessimistic", "optimistic", "mfe", "mae", digits=6)
 
 
-@query("""WITH RECURSIVE ev AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'BUY' ELSE 'SELL' END AS k, (1 + event_id % 4) :: DOUBLE AS q, abs(value) + 1 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('purchase', 'click')),
+@query("""WITH RECURSIVE ev AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup', 'view') THEN 'BUY' ELSE 'SELL' END AS k, (1 + event_id % 4) :: DOUBLE AS q, abs(value) + 1 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f AS (SELECT user_id, i, CASE WHEN k = 'BUY' THEN q ELSE 0 END AS quantity, CASE WHEN k = 'BUY' THEN p ELSE 0 END AS avg_cost, 0 :: DOUBLE AS realised FROM ev WHERE i = 1
         UNION ALL SELECT ev.user_id, ev.i, CASE WHEN k = 'BUY' THEN quantity + q ELSE quantity - least(q, quantity) END,
             CASE WHEN k = 'BUY' THEN (quantity * avg_cost + q * p) / (quantity + q) WHEN quantity <= q THEN 0 ELSE avg_cost END, CASE WHEN k = 'BUY' THEN realised ELSE realised + least(q, quantity) * (p - avg_cost) END
         FROM f JOIN ev ON ev.user_id = f.user_id AND ev.i = f.i + 1)
     SELECT user_id, round(arg_max(quantity, i), 4) AS quantity, round(arg_max(avg_cost, i), 4) AS avg_cost, round(arg_max(realised, i), 3) AS realised, count(*) AS n_events FROM f GROUP BY user_id""")
 def position_fold(spark, sf):
-    e = table(spark, sf, "events").filter("event_type in ('purchase', 'click')")
-    e = e.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", "BUY").otherwise("SELL").alias("side"), (1 + F.col("event_id") % 4).alias("q"), (F.abs("value") + 1).alias("p"))
+    e = table(spark, sf, "events")
+    e = e.select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("purchase", "signup", "view"), "BUY").otherwise("SELL").alias("side"), (1 + F.col("event_id") % 4).alias("q"), (F.abs("value") + 1).alias("p"))
     df = T.position_fold(e, "user_id", ["ts", "event_id"], "side", "q", "p")
     return _r(_r(df, "quantity", "avg_cost"), "realised", digits=3)
 
