@@ -21,8 +21,8 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 REASONS = (("BANKRUPTCY", "bankruptcy|chapter 11"), ("SPINOFF", "spinning off|spin-off|spin off|spun off"), ("MERGER_OR_ACQUISITION", "acquir|merg|buyout|take[- ]private"), ("NO_LONGER_REPRESENTATIVE", "no longer (?:representative|eligible)|ranked near"))
 TIMINGS = ("AFTER_CLOSE", "BEFORE_OPEN", "EFFECTIVE_ON_DATE", "TBA", "UNKNOWN")
 
-_WORD = r"[A-Z0-9][\w&.'’/\-]*"
-NAME = rf"{_WORD}(?:,? (?:{_WORD}|of|and|the|de|plc|&)){{0,9}}"
+_WORD = r"\b[A-Z0-9][\w&.'’/\-]*+"
+NAME = rf"{_WORD}(?:,? (?:{_WORD}|of|and|the|de|plc|&)){{0,9}}+"
 _SYMBOL = r"\([A-Za-z][A-Za-z /]{1,18}: ?[A-Z][A-Z0-9.\-]{0,9}\)"
 _DAY = rf"(?:(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,? )?(?:{'|'.join(MONTHS)})[a-z]*\.? \d{{1,2}}(?: ?, ?\d{{4}}| \d{{4}}\b)?"
 _DATED = {"AFTER_CLOSE": r"after the (?:market )?close of trading(?: on)?", "BEFORE_OPEN": r"(?:prior to|before) the open(?:ing)?(?: of trading)?(?: on)?(?: trading on)?", "EFFECTIVE_ON_DATE": r"effective(?: on)?"}
@@ -53,15 +53,28 @@ def normal(text: Column) -> Column:
     return text
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value made once, however often it is read."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def stated_day(phrase: Column, announced: Column) -> Column:
     """The day that a phrase names: without a year the first from three days before the announcement to two hundred after; NULL if its weekday differs."""
-    month, day, year = (F.regexp_extract(phrase, rf"({'|'.join(MONTHS)})[a-z]*\.? (\d{{1,2}})(?: ?,? ?(\d{{4}}))?", i) for i in (1, 2, 3))
-    weekday = F.regexp_extract(phrase, r"(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*day", 1)
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month)
-    made = lambda y: F.try_to_timestamp(F.concat_ws("-", y.cast("string"), number.cast("string"), day), F.lit("yyyy-M-d")).cast("date")
-    right = lambda d: F.when((weekday == "") | (weekday == F.date_format(d, "EEE")), d)
-    near = lambda d: F.when(d.between(F.date_sub(announced, 3), F.date_add(announced, 200)), right(d))
-    return F.when(month == "", None).when(year != "", right(made(year))).otherwise(F.coalesce(near(made(F.year(announced))), near(made(F.year(announced) + 1))))
+    parts = F.regexp_extract_all(phrase, F.lit(rf"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*day|(?:{'|'.join(MONTHS)})(?=[a-z]*\.? \d)|\d+"), F.lit(0))
+    months = F.array(*[F.lit(m) for m in MONTHS])
+
+    def day(p: Column) -> Column:
+        weekday = F.when(F.get(p, F.lit(0)).endswith("day"), F.substring(F.get(p, F.lit(0)), 1, 3))
+        at = F.when(weekday.isNull(), 0).otherwise(1)
+        number, of_month, year = F.array_position(months, F.get(p, at)), F.get(p, at + 1).cast("int"), F.get(p, at + 2).cast("int")
+        # A day past the end of its month is none.
+        made = lambda y: _let(F.date_add(F.to_date(F.format_string("%04d-%02d-01", y, number)), of_month - 1), lambda d: F.when(F.dayofmonth(d) == of_month, d))
+        right = lambda d: F.when(weekday.isNull() | (weekday == F.date_format(d, "EEE")), d)
+        near = lambda d: F.when(d.between(F.date_sub(announced, 3), F.date_add(announced, 200)), right(d))
+        soon = F.coalesce(_let(made(F.year(announced)), near), _let(made(F.year(announced) + 1), near))
+        return F.when(number > 0, F.when(year.isNotNull(), _let(made(year), right)).otherwise(soon))
+
+    return _let(parts, day)
 
 
 def tokens(text: Column, announced: Column, index: str = "S&P 500") -> Column:
@@ -69,19 +82,29 @@ def tokens(text: Column, announced: Column, index: str = "S&P 500") -> Column:
     kinds = _kinds(index)
     every = F.regexp_extract_all(normal(text), F.lit("(" + "|".join(kinds.values()) + ")"), F.lit(1))
     ranks = {r: i for i, (r, _) in enumerate(REASONS)}
+    # What tells the tokens apart once they are found, cheaper than their patterns.
+    told = {
+        "HEADER": lambda t: t.startswith(f"{index} INDEX"), "COMPANY": lambda t: t.endswith(")"), "RENAMED": lambda t: t.startswith("to be renamed "), "REPLACE": lambda t: t.startswith("will replace"),
+        "ADD": lambda t: t.endswith(" added"), "REMOVE": lambda t: t.endswith(" removed"), "INDEX": lambda t: t.endswith(f" the {index}"), "OTHER": lambda t: t.contains(" the S&P "), "TBA": lambda t: t == "on a date to be announced",
+        **{k: lambda t, v=v: t.rlike(f"^{v} ") for k, v in _DATED.items()}, **{k: lambda t, v=v: t.rlike(f"^(?i:{v})$") for k, v in REASONS},
+    }
+
+    def kind(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, is_it in reversed(told.items()):
+            out = F.when(is_it(t), k).otherwise(out)
+        return F.struct(out.alias("k"), t.alias("t"))
 
-    def token(t: Column) -> Column:
-        kind = F.lit(None).cast("string")
-        for k, pattern in reversed(kinds.items()):
-            whole = {"REPLACE": "will replace(?: .*)?", "INDEX": f"(?:in|to|from) the {index}", "ADD": "(?:will be|was) added", "REMOVE": "(?:will be|was) removed"}.get(k, pattern)
-            kind = F.when(t.rlike(f"^(?:{whole})$"), k).otherwise(kind)
-        name = F.trim(F.regexp_replace(F.regexp_replace(t, rf" ?{_SYMBOL}$", ""), "^(?:to be renamed|will replace) ?", ""))
-        dated = t.rlike(_DAY)
-        rank = F.element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), kind)
-        symbol = F.regexp_extract(t, r": ?([A-Z][A-Z0-9.\-]{0,9})\)$", 1)
-        return F.struct(kind.alias("k"), F.nullif(symbol, F.lit("")).alias("symbol"), F.nullif(name, F.lit("")).alias("name"), F.when(dated, stated_day(t, announced)).alias("day"), rank.alias("rank"))
+    def token(x: Column) -> Column:
+        k, t = x["k"], x["t"]
+        company = k == "COMPANY"
+        name = F.when(company, F.trim(F.regexp_extract(t, r"^(.*?) ?\([^()]*\)$", 1))).when(k == "RENAMED", F.substr(t, F.lit(15))).when(k == "REPLACE", F.nullif(F.substr(t, F.lit(14)), F.lit("")))
+        symbol = F.when(company, F.regexp_extract(t, r": ?([A-Z][A-Z0-9.\-]{0,9})\)$", 1))
+        rank = F.element_at(F.create_map(*[F.lit(y) for p in ranks.items() for y in p]), k)
+        return F.struct(k.alias("k"), symbol.alias("symbol"), name.alias("name"), F.when(k.isin("HEADER", *_DATED), stated_day(F.regexp_replace(t, rf"^{index} INDEX ?[–-] ?", ""), announced)).alias("day"), rank.alias("rank"))
 
-    return F.filter(F.transform(every, token), lambda t: ~t["k"].isin(*_DATED) | t["day"].isNotNull())
+    found = F.transform(F.transform(every, kind), token)
+    return F.filter(found, lambda t: ~t["k"].isin(*_DATED) | t["day"].isNotNull())
 
 
 _PARTY = "struct<symbol string, name string>"
@@ -125,7 +148,7 @@ def changes(releases: DataFrame, keys: list[str], text: str, announced: str, ind
     REMOVED_WITHOUT_SYMBOL.
     """
     start = f"cast(named_struct('who', null, 'verb', null, 'whom', null, 'seen', array(), 'batch', 0, 'dated', false, 'lead', null, 'clauses', array(), 'renamed', null, 'timings', array(), 'reasons', array(), 'headers', array()) as {_STATE})"
-    rows = releases.select(*keys, tokens(F.col(text), F.col(announced), index).alias("__t")).filter("size(__t) > 0")
+    rows = releases.select(*keys, tokens(F.col(text), F.col(announced), index).alias("__t"))
     folded = rows.select(*keys, F.expr(f"aggregate(__t, {start}, (s, t) -> {_step()})").alias("s"))
     each = folded.select(*keys, "s", F.posexplode("s.clauses").alias("place", "c"))
     mine = F.get(F.expr("filter(s.timings, x -> x.batch = c.batch)"), F.lit(0))
