@@ -44,3 +44,11 @@ def both(spark, world, name):
 def test_query_equals_its_sql_with_zeros(spark, world, name):
     got, want = both(spark, world, name)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["state_machine_replay", "plan_counterfactual"])
+def test_a_trade_entered_at_zero_has_no_return(spark, world, name):
+    rows = QUERIES[name](spark, world).collect()
+    entered = [r.user_id for r in QUERIES["state_machine_replay"](spark, world).filter("entry = 0").collect()]
+    assert entered and all(r.ret is None for r in rows if r.user_id in entered)
+    assert any(r.ret is not None for r in rows)

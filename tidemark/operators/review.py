@@ -28,7 +28,7 @@ def horizon_levels(price: Column, annual_vol: Column, months: float) -> tuple[Co
 def observations(path: DataFrame, trade: str, day: str, offsets: Sequence[int]) -> DataFrame:
     """(trade, label, day, close, ret) of the n-th bars after entry, for each offset that a path has reached."""
     n = F.row_number().over(Window.partitionBy(trade).orderBy(day))
-    return path.withColumn("__n", n).filter(F.col("__n").isin(*offsets)).select(trade, F.concat(F.lit("T+"), F.col("__n").cast("string")).alias("label"), F.col(day).alias("day"), "close", (F.col("close") / F.col("entry") - 1).alias("ret"))
+    return path.withColumn("__n", n).filter(F.col("__n").isin(*offsets)).select(trade, F.concat(F.lit("T+"), F.col("__n").cast("string")).alias("label"), F.col(day).alias("day"), "close", (F.try_divide(F.col("close"), F.col("entry")) - 1).alias("ret"))
 
 
 def milestones(log: DataFrame, trade: str) -> DataFrame:

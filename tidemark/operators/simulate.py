@@ -25,10 +25,10 @@ def first_touch(path: DataFrame, trade: str, day: str = "session_date") -> DataF
     return live.groupBy(trade).agg(
         F.coalesce(F.max_by("__kind", last), F.lit("OPEN")).alias("outcome"),
         F.max(day).alias("exit_date"),
-        (F.max_by(F.coalesce(low_fill, F.col("close")) / F.col("entry"), last) - 1).alias("pessimistic"),
-        (F.max_by(F.coalesce(high_fill, F.col("close")) / F.col("entry"), last) - 1).alias("optimistic"),
-        (F.max(F.col("high") / F.col("entry")) - 1).alias("mfe"),
-        (F.min(F.col("low") / F.col("entry")) - 1).alias("mae"),
+        (F.max_by(F.try_divide(F.coalesce(low_fill, F.col("close")), F.col("entry")), last) - 1).alias("pessimistic"),
+        (F.max_by(F.try_divide(F.coalesce(high_fill, F.col("close")), F.col("entry")), last) - 1).alias("optimistic"),
+        (F.max(F.try_divide(F.col("high"), F.col("entry"))) - 1).alias("mfe"),
+        (F.min(F.try_divide(F.col("low"), F.col("entry"))) - 1).alias("mae"),
     )
 
 
@@ -52,12 +52,12 @@ def position_size(capital: Column, risk_share: Column, entry: Column, stop: Colu
 
 
 def replay(log: DataFrame, trade: str) -> DataFrame:
-    """(trade, state, entry, exit, ret, n_events) from the log alone: exits weighted by their fractions."""
+    """(trade, state, entry, exit, ret, n_events) from the log alone: exits weighted by their fractions; an entry at zero has no return."""
     entry = F.max(F.when(F.col("event") == "ENTRY", F.col("price")))
     sold, share = F.sum(F.col("price") * F.col("fraction")), F.sum("fraction")
     agg = log.groupBy(trade).agg(F.max_by("state", "sequence_number").alias("state"), entry.alias("entry"), sold.alias("__sold"), share.alias("__share"), F.count("*").alias("n_events"))
     exit_price = F.when(F.col("__share") > 0, F.col("__sold") / F.col("__share"))
-    return agg.select(trade, "state", "entry", exit_price.alias("exit"), (F.when(F.abs(F.col("__share") - 1) < 1e-9, exit_price / F.col("entry")) - 1).alias("ret"), "n_events")
+    return agg.select(trade, "state", "entry", exit_price.alias("exit"), (F.when(F.abs(F.col("__share") - 1) < 1e-9, F.try_divide(exit_price, F.col("entry"))) - 1).alias("ret"), "n_events")
 
 
 def append_suffix(stored: DataFrame, fresh: DataFrame, trade: str) -> DataFrame:
