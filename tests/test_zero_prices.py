@@ -52,3 +52,9 @@ def test_a_trade_entered_at_zero_has_no_return(spark, world, name):
     entered = [r.user_id for r in QUERIES["state_machine_replay"](spark, world).filter("entry = 0").collect()]
     assert entered and all(r.ret is None for r in rows if r.user_id in entered)
     assert any(r.ret is not None for r in rows)
+
+
+def test_metrics_of_a_trade_entered_at_zero(spark, world):
+    rows = QUERIES["trade_metrics"](spark, world).collect()
+    free = [r for r in rows if r.entry == 0]
+    assert free and all((r.ret, r.mfe, r.mae) == (None, None, None) for r in free) and all(r.mfe is not None for r in rows if r.entry)

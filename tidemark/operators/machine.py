@@ -190,7 +190,7 @@ def simulate(path: DataFrame, trade: str) -> DataFrame:
     return _log(_levels(per, trade, "bars").select(trade, F.expr(_fold()).alias("s")), trade)
 
 def metrics(log: DataFrame, path: DataFrame, trade: str) -> DataFrame:
-    """(trade, state, entry, exit, sold, ret, realised_r, bars_held, mfe, mae) of each entered trade, from its log and the bars that it was held."""
+    """(trade, state, entry, exit, sold, ret, realised_r, bars_held, mfe, mae) of each entered trade, from its log and the bars that it was held; of an entry at zero, ret, mfe and mae are NULL."""
     sold = F.col("fraction") > 0
     agg = log.groupBy(trade).agg(
         F.max_by("state", "sequence_number").alias("state"), F.max(F.when(F.col("event") == "ENTRY", F.col("price"))).alias("entry"), F.min(F.when(F.col("event") == "ENTRY", F.col("session_date"))).alias("__from"),
@@ -202,7 +202,7 @@ def metrics(log: DataFrame, path: DataFrame, trade: str) -> DataFrame:
     held = bars.groupBy(trade).agg(F.count("*").alias("bars_held"), F.max("high").alias("__h"), F.min("low").alias("__l"), F.first("stop").alias("__s"))
     full = F.abs(F.col("sold") - 1) < 1e-9
     return agg.join(held, trade, "left").select(
-        trade, "state", "entry", F.try_divide(F.col("__gain"), F.when(F.col("sold") > 0, F.col("sold"))).alias("exit"), "sold", F.when(full, F.col("__gain") / F.col("entry") - 1).alias("ret"),
+        trade, "state", "entry", F.try_divide(F.col("__gain"), F.when(F.col("sold") > 0, F.col("sold"))).alias("exit"), "sold", F.when(full, F.try_divide(F.col("__gain"), F.col("entry")) - 1).alias("ret"),
         F.try_divide(F.coalesce("__gain", F.lit(0.0)) - F.col("sold") * F.col("entry"), F.col("entry") - F.col("__s")).alias("realised_r"), F.coalesce("bars_held", F.lit(0)).alias("bars_held"),
-        (F.col("__h") / F.col("entry") - 1).alias("mfe"), (F.col("__l") / F.col("entry") - 1).alias("mae"),
+        (F.try_divide(F.col("__h"), F.col("entry")) - 1).alias("mfe"), (F.try_divide(F.col("__l"), F.col("entry")) - 1).alias("mae"),
     )
