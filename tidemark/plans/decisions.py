@@ -79,8 +79,9 @@ def usable_months(spark, sf):
 def benchmark_choice(spark, sf):
     """Each customer's benchmark among the suppliers of its nation: the first approved in order of preference."""
     k, s = F.col("c_custkey"), F.col("s_suppkey")
-    c = table(spark, sf, "customer").join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(
-        "c_custkey", s.alias("bench"), F.struct((s % 10).alias("p"), s.alias("s")).alias("preference"), F.when(k % 2 == 0, "USD").otherwise("EUR").alias("currency"), F.when(k % 7 == 0, "PRICE_RETURN").otherwise("TOTAL_RETURN").alias("return_type"),
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.when(k % 2 == 0, "USD").otherwise("EUR").alias("currency"), F.when(k % 7 == 0, "PRICE_RETURN").otherwise("TOTAL_RETURN").alias("return_type"))
+    b = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("nation"), s.alias("bench"), F.struct((s % 10).alias("p"), s.alias("s")).alias("preference"),
         F.when(s % 3 == 0, "EUR").otherwise("USD").alias("bench_currency"), F.when(s % 4 == 0, "PRICE_RETURN").when(s % 4 == 1, "UNKNOWN").otherwise("TOTAL_RETURN").alias("bench_return_type"), F.when(s % 5 == 0, "ETF_PROXY").otherwise("INDEX").alias("bench_kind"),
     )
-    return G.first_approved(G.benchmark_quality(c, False), "c_custkey", "preference").select("c_custkey", "bench", "quality", "comparability", "skipped")
+    return G.choose_benchmarks(c, b, ["nation"], "preference").select("c_custkey", "bench", "quality", "comparability", "skipped")
