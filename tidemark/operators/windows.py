@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.scalars import divided
+
 YEAR = 252
 
 
@@ -31,6 +33,11 @@ def change(x: Column, w: WindowSpec, n: int = 1) -> Column:
     return F.try_divide(x, F.lag(x, n).over(w)) - 1
 
 
+def growth(x: Column, w: WindowSpec, n: int = 1) -> Column:
+    """x / x n bars before, divided as doubles are: from zero it is infinite or NaN, not NULL."""
+    return divided(x, F.lag(x, n).over(w))
+
+
 def log_return(x: Column, w: WindowSpec) -> Column:
     before = F.lag(x).over(w)
     return F.when((x > 0) & (before > 0), F.ln(x / before))
