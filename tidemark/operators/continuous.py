@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import log
+
 YEAR = 365
 
 
@@ -29,6 +31,7 @@ def daily_features(bars: DataFrame, key: str, day: str, days: Days = Days()) ->
     """(key, day, close, a column a feature): NULL where the window is not whole.
 
     bars: key, day, high, low, close, volume. A window of n days is whole if the bar n - 1 before is n - 1 days ago.
+    A close of zero has a log return of minus infinity, and skew and kurtosis are corrected for the returns that are there.
     """
     w = Window.partitionBy(key).orderBy(day)
     c, v = F.col("close"), F.col("volume")
@@ -43,7 +46,7 @@ def daily_features(bars: DataFrame, key: str, day: str, days: Days = Days()) ->
     step = {"__r": F.when((c > 0) & (before > 0), F.ln(c / before)), "__tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))}
     bars = bars.withColumns(step | {f"__sma_{n}": F.when(whole(n), F.avg(c).over(last(n))) for n in days.means})
     r = F.col("__r")
-    f = {f"log_return_{n}": F.when(whole(n + 1), F.ln(F.try_divide(c, F.lag("close", n).over(w)))) for n in days.returns}
+    f = {f"log_return_{n}": F.when(whole(n + 1), log(F.try_divide(c, F.lag("close", n).over(w)))) for n in days.returns}
     f |= {f"distance_sma_{n}": F.try_divide(c, F.col(f"__sma_{n}")) - 1 for n in days.means}
     f |= {f"sma_{a}_vs_{b}": F.try_divide(F.col(f"__sma_{a}"), F.col(f"__sma_{b}")) - 1 for a, b in zip(days.means, days.means[1:])}
     f |= {f"distance_high_{n}": F.when(whole(n), F.try_divide(c, F.max("high").over(last(n))) - 1) for n in days.highs}
@@ -54,8 +57,9 @@ def daily_features(bars: DataFrame, key: str, day: str, days: Days = Days()) ->
     f |= {f"realized_vol_{n}": F.when(whole(n + 1), F.stddev_samp(r).over(last(n)) * math.sqrt(YEAR)) for n in days.vols}
     f["atr"] = F.when(whole(days.ranges + 1), F.avg("__tr").over(last(days.ranges)))
     n = days.shape
-    f["skew"] = F.when(whole(n + 1), F.skewness(r).over(last(n)) * math.sqrt(n * (n - 1)) / (n - 2))
-    f["kurtosis"] = F.when(whole(n + 1), ((n + 1) * F.kurtosis(r).over(last(n)) + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    k = F.count(r).over(last(n)).cast("double")  # returns to or from a close of zero are not there
+    f["skew"] = F.when(whole(n + 1) & (k > 2), F.skewness(r).over(last(n)) * F.sqrt(k * (k - 1)) / (k - 2))
+    f["kurtosis"] = F.when(whole(n + 1) & (k > 3), ((k + 1) * F.kurtosis(r).over(last(n)) + 6) * (k - 1) / ((k - 2) * (k - 3)))
     f |= {f"volume_change_{k}": F.when(whole(k + 1), F.try_divide(v, F.lag("volume", k).over(w)) - 1) for k in days.volumes}
     f["volume_z"] = F.when(whole(n), F.try_divide(v - F.avg(v).over(last(n)), F.stddev_samp(v).over(last(n))))
     return bars.select(key, day, "close", *[x.alias(k) for k, x in f.items()])
