@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.plans import ORACLE_SQL, QUERIES
 
 
@@ -40,7 +42,7 @@ def both(spark, world, name):
     return got, sorted(tuple(text(r[names.index(n)]) for n in sorted(names)) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["horizon_targets", "benchmark_excess", "insights", "compound_momentum", "daily_features", "feature_snapshots", "research_dataset", "exact_horizon_returns", "rolling_vol"])
+@pytest.mark.parametrize("name", ["horizon_targets", "benchmark_excess", "insights", "compound_momentum", "daily_features", "feature_snapshots", "research_dataset", "exact_horizon_returns", "rolling_vol", "zones_as_of"])
 def test_query_equals_its_sql_with_zeros(spark, world, name):
     got, want = both(spark, world, name)
     assert got == want
@@ -58,3 +60,15 @@ def test_metrics_of_a_trade_entered_at_zero(spark, world):
     rows = QUERIES["trade_metrics"](spark, world).collect()
     free = [r for r in rows if r.entry == 0]
     assert free and all((r.ret, r.mfe, r.mae) == (None, None, None) for r in free) and all(r.mfe is not None for r in rows if r.entry)
+
+
+def test_rounding_parts_at_ties_as_sql_does(spark):
+    """Midpoint over close, less 1, at what would be ties of the fifth digit if doubles were decimals."""
+    pairs = [(round(m * 0.005, 3), c) for m in range(1, 30000, 7) for c in (0.64, 1.6, 32.0, 8.0, 12.8)]
+    df = spark.createDataFrame(pairs, "m double, c double")
+    got = [r.x for r in df.select(rounded(F.col("m") / F.col("c") - 1, 5).alias("x")).collect()]
+    c = duckdb.connect()
+    c.register("pairs", df.toPandas())
+    want = [x for (x,) in c.execute("select round(m / c - 1, 5) from pairs").fetchall()]
+    assert sorted(got) == sorted(want)
+    assert got != [r.x for r in df.select(F.round(F.col("m") / F.col("c") - 1, 5).alias("x")).collect()]

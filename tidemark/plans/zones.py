@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rounded
 from ..operators import features as T
 from ..operators import recursive as R
 from ..operators import zones as Z
@@ -51,7 +52,7 @@ def with_atr(spark, sf):
 
 
 def _r(df, digits, *names):
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: rounded(n, digits) for n in names})
 
 
 @query(f"""WITH RECURSIVE {ZONES_SQL} SELECT user_id, b.session_date, kind, place, round(lower, 5) AS lower, round(upper, 5) AS upper, round(midpoint, 5) AS midpoint, touches, first_touch, last_touch, age,
