@@ -42,7 +42,7 @@ def both(spark, world, name):
     return got, sorted(tuple(text(r[names.index(n)]) for n in sorted(names)) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["horizon_targets", "benchmark_excess", "insights", "compound_momentum", "daily_features", "feature_snapshots", "research_dataset", "exact_horizon_returns", "rolling_vol", "zones_as_of"])
+@pytest.mark.parametrize("name", ["horizon_targets", "benchmark_excess", "insights", "compound_momentum", "daily_features", "feature_snapshots", "research_dataset", "exact_horizon_returns", "rolling_vol", "zones_as_of", "total_return"])
 def test_query_equals_its_sql_with_zeros(spark, world, name):
     got, want = both(spark, world, name)
     assert got == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import log, rounded
 from ..operators import actions as A
 from ..operators import machine as M
 from ..operators import simulate as T
@@ -29,7 +30,7 @@ def actions(spark, sf):
 
 
 def _r(df, *names, digits=4):
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: rounded(n, digits) for n in names})
 
 
 @query(f"""WITH {BARS}, {ACTIONS}, g AS (SELECT b.user_id, b.session_date, coalesce(s, 1) * (close + coalesce(d, 0)) / nullif(lag(close) OVER w, 0) AS gross
@@ -37,7 +38,7 @@ def _r(df, *names, digits=4):
     SELECT user_id, session_date, round(gross, 7) AS gross, round(ln(product(coalesce(gross, 1)) OVER (PARTITION BY user_id ORDER BY session_date)), 4) AS log_level FROM g""")
 def total_return(spark, sf):
     df = A.total_return(bars(spark, sf), actions(spark, sf), "user_id")
-    return _r(_r(df.select("user_id", "session_date", "gross", F.ln("tr_level").alias("log_level")), "log_level"), "gross", digits=7)
+    return _r(_r(df.select("user_id", "session_date", "gross", log(F.col("tr_level")).alias("log_level")), "log_level"), "gross", digits=7)
 
 
 @query(f"""WITH {BARS}, {ACTIONS}, g AS (SELECT b.user_id, b.session_date, close, coalesce(1 / s, 1) * coalesce(1 - d * s / nullif(lag(close) OVER w, 0), 1) AS f
@@ -46,7 +47,7 @@ def total_return(spark, sf):
     SELECT user_id, session_date, CASE WHEN a > 0 THEN round(ln(a), 6) END AS log_adj_close FROM a""")
 def split_adjust(spark, sf):
     df = A.adjusted_closes(bars(spark, sf), actions(spark, sf), "user_id")
-    return df.select("user_id", "session_date", F.when(F.col("adj_close") > 0, F.round(F.ln("adj_close"), 6)).alias("log_adj_close"))
+    return df.select("user_id", "session_date", F.when(F.col("adj_close") > 0, rounded(F.ln("adj_close"), 6)).alias("log_adj_close"))
 
 
 #: Bars of views only, without a close on some days, so that most actions fall on days that have none.
@@ -68,7 +69,7 @@ def _gap_bars(spark, sf):
     SELECT user_id, session_date, round(gross, 7) AS gross, round(ln(product(coalesce(gross, 1)) OVER (PARTITION BY user_id ORDER BY session_date)), 4) AS log_level FROM g""")
 def total_return_off_calendar(spark, sf):
     df = A.total_return(_gap_bars(spark, sf), actions(spark, sf), "user_id")
-    return _r(_r(df.select("user_id", "session_date", "gross", F.ln("tr_level").alias("log_level")), "log_level"), "gross", digits=7)
+    return _r(_r(df.select("user_id", "session_date", "gross", log(F.col("tr_level")).alias("log_level")), "log_level"), "gross", digits=7)
 
 
 @query(f"""WITH {GAPS}, {ACTIONS}, {PLACED}, g AS (SELECT b.user_id, b.session_date, close, coalesce(1 / s, 1) * coalesce(1 - d * s / before, 1) AS f FROM b LEFT JOIN on_bar USING (user_id, session_date)),
@@ -76,7 +77,7 @@ def total_return_off_calendar(spark, sf):
     SELECT user_id, session_date, CASE WHEN a > 0 THEN round(ln(a), 5) END AS log_adj_close FROM a""")
 def split_adjust_off_calendar(spark, sf):
     df = A.adjusted_closes(_gap_bars(spark, sf), actions(spark, sf), "user_id")
-    return df.select("user_id", "session_date", F.when(F.col("adj_close") > 0, F.round(F.ln("adj_close"), 5)).alias("log_adj_close"))
+    return df.select("user_id", "session_date", F.when(F.col("adj_close") > 0, rounded(F.ln("adj_close"), 5)).alias("log_adj_close"))
 
 
 @query(f"""WITH {BARS}, {ACTIONS}, s AS (SELECT user_id, min(session_date) AS start, max(session_date) - 5 AS stop FROM bars GROUP BY 1)
