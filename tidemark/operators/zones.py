@@ -104,7 +104,7 @@ def _nearest(zones: str, below: bool, r: Rules) -> str:
     """Of the clusters that count and lie on their side of the close, the nearest, nearest first."""
     side = "z.midpoint < close" if below else "z.midpoint > close"
     counts = f"z.touches >= {r.least_touches} or z.rejection >= {r.least_rejection}D"
-    strength = f"round(100 * (0.4D * least(z.touches, 5) / 5 + 0.3D * z.recency + 0.3D * least(z.rejection / 3, 1D)), 1)"
+    strength = f"round(100 * (4 * least(z.touches, 5) / 10D / 5 + 0.3D * z.recency + 0.3D * least(z.rejection / 3, 1D)) * 10, 0) / 10"  # tenths whole first: 0.4 thrice is not 1.2
     kept = f"""transform(filter({zones}, z -> {side} and ({counts})), z -> struct(abs(z.midpoint - close) / atr as distance_atr, try_divide(z.midpoint, close) - 1 as distance, z.lower as lower, z.upper as upper, z.midpoint as midpoint,
         z.touches as touches, z.first_touch as first_touch, z.last_touch as last_touch, z.age as age, {strength} as strength, z.rejection as rejection, z.recency as recency, z.volume_confirmation as volume_confirmation))"""
     return f"slice(array_sort({kept}), 1, {r.nearest})"
