@@ -58,6 +58,12 @@ def _runs(spans: DataFrame, points: DataFrame, horizon: Column) -> DataFrame:
     return runs.unionByName(none, allowMissingColumns=True)
 
 
+def own_keys(runs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """runs with, for each of names, its column as a key to join on: a null joins nothing, but all nulls would be dealt to one task, so that each gets a key of its own."""
+    own = F.concat(F.lit("\0"), F.col("span").cast("string"), F.lit("\0"), F.coalesce(F.col("run").cast("string"), F.lit("")))
+    return runs.withColumns({k: F.coalesce(c, own) for k, c in names.items()})
+
+
 def identity_segments(spans: DataFrame, points: DataFrame, transitions: DataFrame, issues: DataFrame, horizon: Column, bridge_days: int = 366) -> DataFrame:
     """(span, start, end, status, isin, candidates, continuity): each span cut into the coarsest segments of one identity; end is NULL where open.
 
@@ -75,7 +81,9 @@ def identity_segments(spans: DataFrame, points: DataFrame, transitions: DataFram
     tr = transitions.select(F.col("old").alias("p_isin"), F.col("new").alias("isin"), F.col("day").alias("tr_day"), "continuity").dropDuplicates(["p_isin", "isin"])
     came = transitions.groupBy(F.col("new").alias("isin")).agg(F.min("day").alias("came"))
     facts = issues.groupBy("isin").agg(F.min("issuer").alias("issuer"), F.min("issued").alias("issued"))
-    r = r.join(tr, ["p_isin", "isin"], "left").join(came, "isin", "left").join(facts, "isin", "left").join(facts.select(F.col("isin").alias("p_isin"), F.col("issuer").alias("p_issuer")), "p_isin", "left")
+    r = own_keys(r, {"__i": "isin", "__p": "p_isin"})
+    issuer = facts.select(F.col("isin").alias("__p"), F.col("issuer").alias("p_issuer"))
+    r = r.join(tr.withColumnsRenamed({"p_isin": "__p", "isin": "__i"}), ["__p", "__i"], "left").join(came.withColumnRenamed("isin", "__i"), "__i", "left").join(facts.withColumnRenamed("isin", "__i"), "__i", "left").join(issuer, "__p", "left").drop("__i", "__p")
     official = F.col("confirmed") & (F.col("tr_day") >= F.col("p_until")) & (F.col("tr_day") <= F.date_add(horizon, 1))
     gap = F.col("confirmed") & (F.col("cursor") < F.col("first"))
     reissued = gap & ~F.col("first_run") & (F.col("issuer") == F.col("p_issuer")) & (F.col("issued") >= F.col("p_until")) & (F.col("issued") <= F.col("first"))
