@@ -60,11 +60,18 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def with_both_ranks(df: DataFrame, cohort: Sequence[str], a: str, b: str) -> DataFrame:
+    """df with ``__a`` and ``__b``: the average ranks of a and b in the cohort, by counts of values, so that no task sorts a cohort. Nulls in the cohort's keys are equal."""
+    rows = cut(df.select(*cohort, a, b).withColumn("__g", F.struct(*cohort)))
+    total = rows.count()
+    return with_group_rank(with_group_rank(rows, ["__g"], a, "__a", total), ["__g"], b, "__b", total).drop("__g")
+
+
 def rank_correlation(df: DataFrame, cohort: Sequence[str], a: str, b: str, least: int = 3) -> DataFrame:
     """(cohort, n, ic): Spearman's correlation; NULL for small or constant cohorts."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = both.withColumns({"__a": average_rank(a, cohort), "__b": average_rank(b, cohort)})
-    moved = (F.count_distinct(a) > 1) & (F.count_distinct(b) > 1) & (F.count("*") >= least)
+    ranked = with_both_ranks(both, cohort, a, b)
+    moved = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b)) & (F.count("*") >= least)
     return ranked.groupBy(*cohort).agg(F.count("*").alias("n"), F.when(moved, correlation(F.col("__a"), F.col("__b"))).alias("ic"))
 
 
