@@ -8,16 +8,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cross_section import average_rank, correlation
+from .cross_section import correlation, with_both_ranks
 from .ranks import quantiles
 
 
 def regression_metrics(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
     """(groups, n, mae, rmse, pearson, spearman)."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    ranked = rows.withColumns({"__a": average_rank(y, groups), "__b": average_rank(p, groups)})
+    ranked = with_both_ranks(rows, groups, y, p)
     e = F.col(y) - F.col(p)
-    moved = (F.count("*") >= 3) & (F.count_distinct(y) > 1) & (F.count_distinct(p) > 1)
+    moved = (F.count("*") >= 3) & (F.min(y) != F.max(y)) & (F.min(p) != F.max(p))
     return ranked.groupBy(*groups).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(moved, correlation(F.col(y), F.col(p))).alias("pearson"), F.when(moved, correlation(F.col("__a"), F.col("__b"))).alias("spearman")
     )
