@@ -5,6 +5,16 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+#: Most rows of a table that is broadcast.
+FEW = 20_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A table that was cut, to be broadcast where it has few rows, so that what it is joined with need not move; as it is, where it has more."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, few
 
 _NONE = "cast(array() as array<double>)"
 
@@ -53,7 +53,7 @@ def ridge(rows: DataFrame, groups: Sequence[str], features: Sequence[str], targe
     whole = rows.dropna(subset=[*features, target])
     # Shifted by the means first: sums of products about zero keep their digits.
     means = cut(whole.groupBy(*groups).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate([*x, y])]))
-    moved = whole.join(means, list(groups)) if groups else whole.crossJoin(means)
+    moved = whole.join(few(means), list(groups)) if groups else whole.crossJoin(means)
     parts = [c - F.col(f"__m{i}") for i, c in enumerate([*x, y])]
     sums = moved.groupBy(*groups, "n", *[f"__m{i}" for i in range(k + 1)]).agg(*_moments(parts, F.lit(1.0)))
     lam = lambda i, j: F.lit(float(penalty)) if i == j else F.lit(0.0)
@@ -85,7 +85,7 @@ def logistic(rows: DataFrame, groups: Sequence[str], features: Sequence[str], ta
         live = now.filter("not rests")
         if live.isEmpty():
             break
-        both = whole.join(live.select(*groups, "beta"), list(groups)) if groups else whole.crossJoin(live.select("beta"))
+        both = whole.join(few(live.select(*groups, "beta")), list(groups)) if groups else whole.crossJoin(live.select("beta"))
         score = sum((F.col("beta")[i] * c for i, c in enumerate(x)), F.lit(0.0))
         both = both.withColumn("__p", 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(500.0)), F.lit(-500.0)))))
         w = F.col("__p") * (1 - F.col("__p"))
@@ -118,6 +118,6 @@ def walk_forward(assigned: DataFrame, groups: Sequence[str], features: Sequence[
     train = ready.filter("role = 'TRAIN'")
     line, chance = ridge(train, groups, made, result, penalty), logistic(train, groups, made, outcome, penalty)
     late = ready.filter("role <> 'TRAIN'")
-    late = late.join(line.drop("n"), list(groups)).withColumn("predicted", linear(made)).drop("coefficients", "intercept")
-    late = late.join(chance.drop("n", "rounds"), list(groups), "left").withColumn("p", probability(made)).drop("coefficients", "intercept")
+    late = late.join(few(cut(line.drop("n"))), list(groups)).withColumn("predicted", linear(made)).drop("coefficients", "intercept")
+    late = late.join(few(chance.drop("n", "rounds")), list(groups), "left").withColumn("p", probability(made)).drop("coefficients", "intercept")
     return late.drop(*made, *[f"{c}_imputed" for c in features])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, few
 from .ranks import quantiles
 
 
@@ -54,7 +54,7 @@ def train_only_fit(rows: DataFrame, groups: Sequence[str], columns: Sequence[str
     for c in columns:
         cuts = cuts.join(quantiles(train, groups, c, {f"{c}_median": 0.5, f"{c}_lo": 0.01, f"{c}_hi": 0.99}), list(groups), "left")
     cuts = cut(cuts)  # a row a group: joined as its size allows
-    clipped = train.join(cuts, list(groups))
+    clipped = train.join(few(cuts), list(groups))
     value = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.col(f"{c}_median")), F.col(f"{c}_lo")), F.col(f"{c}_hi"))
     moments = clipped.groupBy(*groups).agg(*[x for c in columns for x in (F.avg(value(c)).alias(f"{c}_mean"), F.stddev_pop(value(c)).alias(f"__{c}"))])
     moments = moments.withColumns({f"{c}_std": F.when(F.col(f"__{c}") == 0, 1.0).otherwise(F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
@@ -63,7 +63,7 @@ def train_only_fit(rows: DataFrame, groups: Sequence[str], columns: Sequence[str
 
 def standardise(rows: DataFrame, fit: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """rows with <c>_x imputed, clipped and standardised by a fit, and <c>_imputed."""
-    joined = rows.join(fit, list(groups))
+    joined = rows.join(few(cut(fit)), list(groups))
     for c in columns:
         full = F.least(F.greatest(F.coalesce(F.col(c), F.col(f"{c}_median")), F.col(f"{c}_lo")), F.col(f"{c}_hi"))
         joined = joined.withColumns({f"{c}_x": (full - F.col(f"{c}_mean")) / F.col(f"{c}_std"), f"{c}_imputed": F.col(c).isNull()})
