@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, few
 
 SEG = ["pool", "a", "b"]
 _EVENT = "struct<lo:date,hi:date,kind:string,exact:boolean,status:string>"
@@ -51,6 +51,8 @@ def segments_of(anchors: DataFrame) -> DataFrame:
 
 def without_early(anchors: DataFrame, members: DataFrame, legs: DataFrame) -> DataFrame:
     """members less those that an early anchor holds ahead of a confirmed addition at its next session."""
+    if anchors.filter("early").isEmpty():
+        return members
     ahead = legs.filter("kind = 'ADD' and exact and security is not null").select("pool", "security", F.col("lo").alias("opens")).distinct()
     held = anchors.filter("early").select("pool", "as_of", "opens").join(ahead, ["pool", "opens"]).select("pool", "as_of", "security")
     return members.join(held, ["pool", "as_of", "security"], "left_anti")
@@ -60,11 +62,9 @@ def in_segments(legs: DataFrame, segments: DataFrame) -> DataFrame:
     """legs with their segment's a, b and opens: lo from opens to b, or said after a up to b. Legs outside all segments go."""
     day = F.coalesce("lo", "said")
     at = legs.withColumn("__d", day).filter("__d is not null")
-    ends = segments.select("pool", F.col("b").alias("__d"), F.struct("a", "b", "opens").alias("__seg"))
-    # The segment of a day is that of the first end on or after it: going backwards in time, the last end seen.
-    both = at.withColumn("__seg", F.lit(None).cast(ends.schema["__seg"].dataType)).unionByName(ends, allowMissingColumns=True)
-    ahead = Window.partitionBy("pool").orderBy(F.desc("__d"), F.col("__seg").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("__at", F.last("__seg", ignorenulls=True).over(ahead)).filter("__seg is null and __at is not null")
+    # The segment of a day is that of the first end on or after it; those of a pool, some dozens, are a row that meets its legs.
+    ends = few(cut(segments.groupBy("pool").agg(F.sort_array(F.collect_list(F.struct("b", "a", "opens"))).alias("__ends"))))
+    found = at.join(ends, "pool").withColumn("__at", F.expr("get(filter(__ends, e -> e.b >= __d), 0)")).filter("__at is not null")
     inside = F.when(F.col("lo").isNotNull(), F.col("lo") >= F.col("__at.opens")).otherwise(F.col("said") > F.col("__at.a"))
     return found.filter(inside).select("pool", "__at.a", "__at.b", "__at.opens", *[c for c in legs.columns if c != "pool"])
 
@@ -81,7 +81,8 @@ def lineage(states: DataFrame) -> DataFrame:
 def _states(segments: DataFrame, members: DataFrame) -> DataFrame:
     """(pool, a, b, security, in_a, in_b, issuer, name, shares_a, shares_b, weak) for each security of either anchor."""
     facts = ["security", "issuer", "name", "shares", "weak"]
-    one = lambda end, flag: segments.select(*SEG).join(members.select("pool", F.col("as_of").alias(end), *facts), ["pool", end]).select(*SEG, *facts, F.lit(flag).alias("at_a"))
+    near = few(segments)
+    one = lambda end, flag: near.select(*SEG).join(members.select("pool", F.col("as_of").alias(end), *facts), ["pool", end]).select(*SEG, *facts, F.lit(flag).alias("at_a"))
     both = one("a", True).unionByName(one("b", False))
     first = lambda c: F.coalesce(F.max(F.when(F.col("at_a"), F.col(c))), F.max(c))
     return both.groupBy(*SEG, "security").agg(
@@ -92,6 +93,8 @@ def _states(segments: DataFrame, members: DataFrame) -> DataFrame:
 
 def _renamed(states: DataFrame, lines: DataFrame) -> DataFrame:
     """states in which the first anchor's old security of a lineage is the new one."""
+    if lines.isEmpty():
+        return states.withColumn("changed", F.lit(False))
     moved = states.join(lines.select(*SEG, F.col("old").alias("security"), "new"), [*SEG, "security"], "left")
     return moved.withColumn("security", F.coalesce("new", "security")).groupBy(*SEG, "security").agg(
         *[F.max(c).alias(c) for c in ("in_a", "in_b")], F.max(F.when(F.col("new").isNull(), F.col("issuer"))).alias("issuer"), F.max(F.when(F.col("new").isNull(), F.col("name"))).alias("name"),
@@ -114,7 +117,7 @@ def _played(states: DataFrame, legs: DataFrame, segments: DataFrame) -> DataFram
     """A row for each security that changed or has legs: events, window, how it differs, and whether replays both ways agree."""
     order = F.struct(F.coalesce("lo", "opens").alias("at"), "kind", F.col("leg").alias("leg"), "lo", "hi", "exact", "status")
     stated = legs.filter("status <> 'CLAIM' and security is not null").groupBy(*SEG, "security").agg(F.sort_array(F.collect_list(order)).alias("legs"))
-    both = states.join(stated, [*SEG, "security"], "full_outer").join(segments.select(*SEG, "opens"), SEG)
+    both = states.join(stated, [*SEG, "security"], "full_outer").join(few(segments).select(*SEG, "opens"), SEG)
     empty = F.expr("cast(array() as array<struct<at:date,kind:string,leg:string,lo:date,hi:date,exact:boolean,status:string>>)")
     both = both.withColumns({"in_a": F.coalesce("in_a", F.lit(False)), "in_b": F.coalesce("in_b", F.lit(False)), "weak": F.coalesce("weak", F.lit(False)), "legs": F.coalesce("legs", empty)})
     both = both.withColumn("events", F.expr(_COLLAPSE)).withColumn("p", F.expr(_PLAY))
@@ -143,17 +146,24 @@ def _played(states: DataFrame, legs: DataFrame, segments: DataFrame) -> DataFram
 def _linked(securities: DataFrame) -> DataFrame:
     """securities in which a removal and an addition that nothing explains, alike in name (half of the words) and in size (within twice), are a gap of identity.
 
-    Names meet by their words, so that only those that share one become a pair.
+    Names of m and n words of which half of all are shared have (m + n) / 3 in common. So, its words in order from the rarest in the
+    segment, each has one of them among all but its last ones, and only those meet: words that very many names have make no pairs.
     """
     token = F.explode(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("name", "[^A-Za-z0-9]+", " ")), " "), lambda t: t != "")))
     open_ = securities.filter("difference in ('MISSING_ADDITION', 'MISSING_REMOVAL')").select(*SEG, "security", "name", "difference", "shares_a", "shares_b")
-    words = open_.withColumn("token", token)
-    size = words.groupBy(*SEG, "security").agg(F.count("*").alias("words"))
-    side = lambda d, s: words.filter(F.col("difference") == d).join(size, [*SEG, "security"]).select(*SEG, "token", F.col("security").alias(s), F.col("words").alias(f"{s}_n"), F.col("shares_a" if s == "gone" else "shares_b").alias(f"{s}_s"))
-    met = side("MISSING_REMOVAL", "gone").join(side("MISSING_ADDITION", "come"), [*SEG, "token"]).groupBy(*SEG, "gone", "come", "gone_n", "come_n", "gone_s", "come_s").agg(F.count("*").alias("shared"))
+    each = open_.withColumn("token", token).select(*SEG, "security", "difference", "token", F.when(F.col("difference") == "MISSING_REMOVAL", F.col("shares_a")).otherwise(F.col("shares_b")).alias("s"))
+    # Without shares on its side a name is never alike in size.
+    each = cut(each.filter("s is not null"))
+    often = each.groupBy(*SEG, "token").agg(F.count("*").alias("often"))
+    words = each.join(often, [*SEG, "token"]).groupBy(*SEG, "security", "difference", "s").agg(F.sort_array(F.collect_list(F.struct("often", "token")))["token"].alias("w"))
+    words = cut(words.withColumn("n", F.size("w")))
+    sizes = words.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") / 2).cast("int"), F.col("n") * 2)))
+    meets = sizes.withColumn("token", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil((F.col("n") + F.col("m")) / 3).cast("int") + 1)))
+    side = lambda d, s, n, m: meets.filter(F.col("difference") == d).select(*SEG, "token", F.col("n").alias(n), F.col("m").alias(m), F.col("security").alias(s), F.col("w").alias(f"{s}_w"), F.col("s").alias(f"{s}_s"))
+    met = side("MISSING_REMOVAL", "gone", "gone_n", "come_n").join(side("MISSING_ADDITION", "come", "come_n", "gone_n"), [*SEG, "token", "gone_n", "come_n"]).withColumn("shared", F.size(F.array_intersect("gone_w", "come_w")))
     alike = met.filter((F.col("shared") >= 0.5 * (F.col("gone_n") + F.col("come_n") - F.col("shared"))) & (F.col("gone_s") > 0) & F.try_divide("come_s", "gone_s").between(0.5, 2.0))
     both = alike.select(*SEG, F.explode(F.array(F.struct(F.col("gone").alias("security"), F.col("come").alias("linked")), F.struct(F.col("come").alias("security"), F.col("gone").alias("linked")))).alias("l")).select(*SEG, "l.*")
-    both = both.groupBy(*SEG, "security").agg(F.min("linked").alias("linked_with"))
+    both = few(cut(both.groupBy(*SEG, "security").agg(F.min("linked").alias("linked_with"))))
     return securities.join(both, [*SEG, "security"], "left").withColumn("difference", F.when(F.col("linked_with").isNotNull(), "IDENTITY_GAP").otherwise(F.col("difference")))
 
 
@@ -176,9 +186,9 @@ def _claims(legs: DataFrame, lines: DataFrame, securities: DataFrame, issuers: D
     open, by the anchors; or a change that the anchors show without an explanation can be what is meant, each once.
     NO_CHANGE: a security of which the anchors show no change. TRANSIENT: a ticker added and removed within the segment. EXCESS: more claims than changes.
     """
-    c = legs.filter("status = 'CLAIM'").join(issuers, ["pool", "security"], "left")
-    per_line = lines.select(*SEG, F.explode(F.array("old", "new")).alias("security")).withColumn("in_line", F.lit(True))
-    c = c.join(per_line, [*SEG, "security"], "left").join(lines.select(*SEG, F.col("issuer").alias("of_issuer")).distinct().withColumn("issuer_line", F.lit(True)), [*SEG, "of_issuer"], "left")
+    c = legs.filter("status = 'CLAIM'").join(few(cut(issuers)), ["pool", "security"], "left")
+    per_line = few(cut(lines.select(*SEG, F.explode(F.array("old", "new")).alias("security")))).withColumn("in_line", F.lit(True))
+    c = c.join(per_line, [*SEG, "security"], "left").join(few(cut(lines.select(*SEG, F.col("issuer").alias("of_issuer")).distinct())).withColumn("issuer_line", F.lit(True)), [*SEG, "of_issuer"], "left")
     known = securities.filter("lo is not null or size(pinned) > 0").select(*SEG, "security").distinct().withColumn("told", F.lit(True))
     c = c.join(known, [*SEG, "security"], "left")
     event = Window.partitionBy(*SEG, "event")
@@ -191,9 +201,10 @@ def _claims(legs: DataFrame, lines: DataFrame, securities: DataFrame, issuers: D
     first = F.when(F.col("alias"), "ALIAS").when(F.coalesce("told", F.lit(False)), "HINT").when(F.col("security").isNotNull() & ~F.col("transient"), "NO_CHANGE").when(F.col("transient"), "TRANSIENT")
     c = c.withColumn("outcome", first)
     room = securities.filter("lo is not null and in_a <> in_b").groupBy(*SEG, F.when(F.col("in_b"), "ADD").otherwise("REMOVE").alias("kind")).agg(F.count("*").alias("room"))
-    nth = F.row_number().over(Window.partitionBy(*SEG, "kind", F.col("outcome").isNull()).orderBy("event", "leg"))
-    c = c.withColumn("nth", nth).join(room, [*SEG, "kind"], "left")
-    return c.withColumn("outcome", F.coalesce("outcome", F.when(F.col("nth") <= F.coalesce("room", F.lit(0)), "HINT").otherwise("EXCESS"))).select(*SEG, "leg", "outcome")
+    c = cut(c.select(*SEG, "leg", "event", "kind", "outcome"))
+    rest = c.filter("outcome is null").withColumn("nth", F.row_number().over(Window.partitionBy(*SEG, "kind").orderBy("event", "leg"))).join(room, [*SEG, "kind"], "left")
+    rest = rest.withColumn("outcome", F.when(F.col("nth") <= F.coalesce("room", F.lit(0)), "HINT").otherwise("EXCESS"))
+    return c.filter("outcome is not null").select(*SEG, "leg", "outcome").unionByName(rest.select(*SEG, "leg", "outcome"))
 
 
 def reconcile(anchors: DataFrame, members: DataFrame, legs: DataFrame) -> Reconciled:
@@ -203,7 +214,7 @@ def reconcile(anchors: DataFrame, members: DataFrame, legs: DataFrame) -> Reconc
     segments = cut(segments_of(anchors))
     states = cut(_states(segments, members))
     lines = cut(lineage(states))
-    inside = in_segments(legs, segments).join(lines.select(*SEG, F.col("old").alias("security"), "new"), [*SEG, "security"], "left")
+    inside = in_segments(legs, segments).join(few(lines).select(*SEG, F.col("old").alias("security"), "new"), [*SEG, "security"], "left")
     inside = cut(inside.withColumn("security", F.coalesce("new", "security")).drop("new").select(*SEG, "opens", *legs.drop("pool").columns))
     securities = cut(_linked(cut(_played(_renamed(states, lines), inside, segments))))
     issuers = members.filter("issuer is not null").groupBy("pool", "security").agg(F.min("issuer").alias("of_issuer"))
@@ -212,7 +223,7 @@ def reconcile(anchors: DataFrame, members: DataFrame, legs: DataFrame) -> Reconc
     passing = told.filter("outcome = 'TRANSIENT' and said is not null").groupBy(*SEG, "ticker").agg(F.min("said").alias("lo"), F.max("said").alias("hi"), F.max("backed").alias("__b")).filter("__b and lo < hi")
     passing = passing.select(*SEG, F.concat(F.lit("transient:"), "ticker").alias("security"), "lo", "hi", F.lit("TRANSIENT").alias("difference"), F.lit("CLAIM").alias("story"))
     securities = securities.withColumn("security", F.col("security").cast("string"))
-    everything = cut(securities.unionByName(_open_legs(inside), allowMissingColumns=True).unionByName(passing, allowMissingColumns=True))
+    everything = securities.unionByName(cut(_open_legs(inside).unionByName(passing, allowMissingColumns=True)), allowMissingColumns=True)
     per = everything.groupBy(*SEG).agg(
         F.min(F.coalesce("forward_ok", F.lit(False))).alias("forward_ok"), F.min(F.coalesce("backward_ok", F.lit(False))).alias("backward_ok"), F.count("lo").alias("gaps"), F.count_if(F.col("in_a")).alias("members_a"), F.count_if(F.col("in_b")).alias("members_b"),
     )
