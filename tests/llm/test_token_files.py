@@ -71,3 +71,19 @@ def test_blocks(top):
         if n > 10:
             ids[3] = 2**32 - 1
         assert np.array_equal(tf.unpack_block(tf.pack_block(ids)), ids)
+
+
+def test_latin_words_are_learned_together_without_normalising(spark, monkeypatch):
+    """Parts in lower case need no normaliser and pattern, and documents of a group no call each."""
+    docs = [(i, f"Plain{chr(97 + i % 26)} WORD{chr(98 + i % 20)}é, don't x{i}!! Straße") for i in range(300)]
+    want = [Tokenizer.from_file(PATH).encode(x, add_special_tokens=False).ids for _, x in docs]
+    e, calls = tf.Encoder(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, of=e.of_parts, **kw):
+            calls.append(len(texts))
+            return of.encode_batch_fast(texts, **kw)
+
+    e.of_parts, e._single = Counted(), lambda words: iter(()) if not words else pytest.fail("by the whole tokenizer")
+    got = [np.frombuffer(b"".join(p), "<u4").tolist() for _, p in tf.encode_group([(i, x.encode()) for i, x in docs], e)]
+    assert got == want and calls == [1]

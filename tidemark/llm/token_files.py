@@ -13,7 +13,7 @@ count.
 
 A document's words are looked up in a bounded memory of words already encoded; unknown words are
 lower-cased, cut where the tokenizer's own pattern cuts them and encoded by the library in long
-batches. Words with other than Latin letters, or with what may be a special token, go to the library
+batches, without normalising and cutting again; ids that end a word say where each part ends. Words with other than Latin letters, or with what may be a special token, go to the library
 as they are, case included: it finds special tokens before it normalises, and composes before it
 lower-cases.
 
@@ -46,6 +46,8 @@ PERCENTILE = 98
 END_ID = 2
 #: Words kept in memory by a worker, some 200 bytes each.
 MEMORY_WORDS = 600_000
+#: Documents up to so many bytes together learn their words at once; fewer words than MEMORY_WORDS fit in.
+GROUP_BYTES = 1 << 20
 _FOOT = struct.Struct("<QQQQQ8s")
 _HEAD = struct.Struct("<IBHH")
 _LATIN = re.compile(r"[\x21-\x7Eß-öø-ÿ]+")
@@ -58,9 +60,16 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_parts = Tokenizer.from_file(path)  # for parts in lower case, cut and parted by blanks
+        self.of_parts.normalizer = None
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a part, and stand nowhere else
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -71,28 +80,30 @@ class Encoder:
     def _learn_parts(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            if len(of) and of[-1] + 1 == len(some):
-                cuts = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-                data = ids.tobytes()
-                self.parts.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, cuts, cuts[1:]))
+            ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                cuts, data = [0, *(4 * stops).tolist()], ids.tobytes()
+                self.parts.update((p, data[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
             else:
                 self.parts.update(zip(some, self._single(some)))
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.parts) > MEMORY_WORDS:
             self.parts.clear()
-        plain, other = {}, {}
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if "<|" not in s and _LATIN.fullmatch(s):
-                plain[w] = _CUT.findall(s.lower())
+        whole, pieces, other = {}, {}, {}  # words that are one part, those that are cut, those for the library
+        listed = list(words)
+        for w, s in zip(listed, b" ".join(listed).decode("utf-8", "replace").split(" ")):
+            if s.isalpha() and (s.isascii() or _LATIN.fullmatch(s)):
+                whole[w] = s.lower()
+            elif "<|" not in s and _LATIN.fullmatch(s):
+                pieces[w] = _CUT.findall(s.lower())
             else:
                 other[w] = s
-        self._learn_parts(list(set().union(*plain.values()).difference(self.parts)))
+        self._learn_parts(list(set(whole.values()).union(*pieces.values()).difference(self.parts)))
         part = self.parts.__getitem__
-        self.words.update((w, b"".join(map(part, p))) for w, p in plain.items())
+        self.words.update(zip(whole, map(part, whole.values())))
+        self.words.update((w, b"".join(map(part, p))) for w, p in pieces.items())
         self.words.update(zip(other, self._single(list(other.values()))))
 
     def encode(self, words: list[bytes]) -> bytes:
@@ -128,6 +139,31 @@ def encode_text(data: bytes, of: Encoder) -> Iterator[bytes]:
             yield of.encode(words)
 
 
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Documents in lists of a megabyte of text at most; a longer one stands alone."""
+    some, size = [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            if some and size + len(data) > GROUP_BYTES:
+                yield some
+                some, size = [], 0
+            some.append((doc_id, data))
+            size += len(data)
+    if some:
+        yield some
+
+
+def encode_group(some: list[tuple[int | None, bytes]], of: Encoder) -> Iterator[tuple[int | None, Iterable[bytes]]]:
+    """(id, ids of its text in pieces) of documents whose new words are learned together."""
+    if sum(len(data) for _, data in some) > GROUP_BYTES:
+        yield from ((doc_id, encode_text(data, of)) for doc_id, data in some)
+        return
+    texts = [data.split() for _, data in some]
+    of.learn(set().union(*texts))
+    yield from ((doc_id, (of.encode(words),)) for (doc_id, _), words in zip(some, texts))
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = ids.astype("<u4") - np.uint32(low)
@@ -249,11 +285,10 @@ def _writer(folder: str, tokenizer: str, end_id: int) -> Callable:
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, address, of = None, f"{folder}/{uuid.uuid4().hex}.tok", encoder(tokenizer)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                made = made or TokenFile(address)
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                made.add(doc_id, (p for ps in (encode_text(data, of), (end,)) for p in ps))
+        for some in _grouped(batches):
+            made = made or TokenFile(address)
+            for doc_id, pieces in encode_group(some, of):
+                made.add(doc_id, (p for ps in (pieces, (end,)) for p in ps))
         if made:
             made.close()
             row = [[TaskContext.get().partitionId()], [address], [len(made.ids)], [sum(made.lengths)]]
