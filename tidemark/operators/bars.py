@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def daily_bars(ticks: DataFrame, key: str, at: str, value: str, tie: str) -> DataFrame:
-    """(key, session_date, open, high, low, close, volume) from ticks; volume counts them."""
-    order = F.struct(at, tie)
+    """(key, session_date, open, high, low, close, volume) from ticks; volume counts them.
+
+    Of several ticks at a day's first or last instant the one with the smallest tie, a number, is its open or close, as SQL's arg_min and arg_max take the first.
+    """
+    first, last = F.struct(at, tie), F.struct(F.col(at), -F.col(tie))
     return ticks.groupBy(key, F.to_date(at).alias("session_date")).agg(
-        F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), F.count("*").alias("volume")
+        F.min_by(value, first).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, last).alias("close"), F.count("*").alias("volume")
     )
 
 
